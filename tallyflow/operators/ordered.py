@@ -1,7 +1,10 @@
-"""Order-based operators that never put a whole group into one task.
+"""Order-based operators that never put an unbounded group into one task.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task, which fails when one key
-holds a third of the table.  Here the rows are range-partitioned on ``(key, order)`` into slices of
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task.  That is the cheapest plan
+while no key holds more than ``ROWS_PER_TASK`` rows, which is counted first (a pass over the key
+columns alone, combined map-side), and it fails when one key holds a third of a large table.
+
+Beyond that bound the rows are range-partitioned on ``(key, order)`` into slices of
 about equal size, the window runs inside ``(slice, key)``, and what the earlier slices hold of a key
 is carried over.  A slice boundary cuts at most one key, so the carried table has fewer than
 ``2 * slices`` rows: a proven bound, whatever the data, which makes broadcasting it safe.
@@ -22,6 +25,9 @@ from tallyflow.session import settle, shuffle_width
 
 SLICE = "_slice"
 
+# The most rows of one key that a single task is given.
+ROWS_PER_TASK = 1_000_000
+
 
 def into_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Range-partition on ``order``, number the partitions, and fix the outcome."""
@@ -29,6 +35,13 @@ def into_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return settle(df.repartitionByRange(width, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
+def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Does every group stay within ``ROWS_PER_TASK``?"""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n").alias("n")).first()["n"]
+    return (largest or 0) <= ROWS_PER_TASK
+
+
 def _by_key(keys: Sequence[str]) -> list[Column]:
     return [F.col(k) for k in keys] or [F.lit(0)]
 
@@ -56,9 +69,15 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` in ``order``; ``total`` adds the sum per key."""
     kept = df.columns
+    of_key = Window.partitionBy(*_by_key(keys))
+    upto_here = [Window.unboundedPreceding, Window.currentRow]
+    if groups_fit(df, keys):
+        sums = {running: F.sum(value).over(of_key.orderBy(*order).rowsBetween(*upto_here))}
+        if total is not None:
+            sums[total] = F.sum(value).over(of_key)
+        return df.withColumns(sums)
     sliced = into_slices(df.withColumn("_x", value), [*keys, *order])
     per_slice = sliced.groupBy(SLICE, *keys).agg(F.sum("_x").alias("_part"))
-    of_key = Window.partitionBy(*_by_key(keys))
     earlier = of_key.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         per_slice.withColumn("_before", F.coalesce(F.sum("_part").over(earlier), F.lit(0)))
@@ -67,7 +86,7 @@ def running_total(
         .where(F.col("_spans") > 1)
     )
     in_slice = Window.partitionBy(SLICE, *keys)
-    so_far = in_slice.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = in_slice.orderBy(*order).rowsBetween(*upto_here)
     local = sliced.withColumn("_running", F.sum("_x").over(so_far))
     if total is not None:
         local = local.withColumn("_total", F.sum("_x").over(in_slice))
@@ -86,9 +105,14 @@ def next_value(
     Runs downwards from the end of a slice, so that the frame only ever grows.
     """
     kept = df.columns
+    of_key = Window.partitionBy(*_by_key(keys))
+    downwards = [F.desc(o) for o in order]
+    upto_here = [Window.unboundedPreceding, Window.currentRow]
+    if groups_fit(df, keys):
+        from_end = of_key.orderBy(*downwards).rowsBetween(*upto_here)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(from_end))
     sliced = into_slices(df, [*keys, *order])
     position = F.when(F.col(value).isNotNull(), F.struct(*order))
-    of_key = Window.partitionBy(*_by_key(keys))
     later = of_key.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     # The wanted value for a slice is the first one found in the slices after it that hold the key.
     carry = (
@@ -98,11 +122,7 @@ def next_value(
         .withColumn("_spans", F.count(F.lit(1)).over(of_key))
         .where(F.col("_spans") > 1)
     )
-    backwards = (
-        Window.partitionBy(SLICE, *keys)
-        .orderBy(*[F.desc(o) for o in order])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    backwards = Window.partitionBy(SLICE, *keys).orderBy(*downwards).rowsBetween(*upto_here)
     local = sliced.withColumn("_here", F.last(value, ignorenulls=True).over(backwards))
     out = _attach_carry(local, carry, keys, ["_later"])
     return out.select(*kept, F.coalesce("_here", "_later").alias(name))

@@ -72,6 +72,9 @@ def place_graph(merged: DataFrame, raw: DataFrame | None = None) -> PlacedGraph:
         fans, place = None, ["u"]
     spread = merged if fans is None else salted(merged, "u", fans, "v")
     edges = spread.repartition(width, *place).sortWithinPartitions(*place).persist(StorageLevel.MEMORY_AND_DISK)
+    # Filled now: only a cache whose adaptive plan is final tells the planner how it is partitioned
+    # and sorted.  Planned before that, every step would shuffle and sort the edges again.
+    edges.count()
     return PlacedGraph(vertices, edges, fans)
 
 
