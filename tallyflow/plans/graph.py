@@ -90,13 +90,17 @@ def _inflow(graph: PlacedGraph, ranks: DataFrame, outflow: Column) -> DataFrame:
     )
 
 
-def _iterate(graph: PlacedGraph, ranks: DataFrame, steps: int, outflow: Column, update: Column) -> DataFrame:
-    """``steps`` rounds over ``vertex, degree, rank``."""
+def _iterate(
+    graph: PlacedGraph, ranks: DataFrame, steps: int, outflow: Column, update: Column, history: bool = False
+) -> DataFrame:
+    """``steps`` rounds over ``vertex, degree, rank``; with ``history``, every rank is kept in ``ranks``."""
     for step in range(1, steps + 1):
-        inflow = _inflow(graph, ranks, outflow)
-        ranks = graph.vertices.join(inflow.hint("merge"), "vertex", "left").select(
-            "vertex", "degree", update.alias("rank")
-        )
+        inflow = _inflow(graph, ranks.select("vertex", "degree", "rank"), outflow).hint("merge")
+        if history:
+            joined = ranks.drop("rank").join(inflow, "vertex", "left").withColumn("rank", update)
+            ranks = joined.select("vertex", "degree", "rank", F.concat("ranks", F.array("rank")).alias("ranks"))
+        else:
+            ranks = graph.vertices.join(inflow, "vertex", "left").select("vertex", "degree", update.alias("rank"))
         if step % CHECKPOINT_EVERY == 0 and step < steps:
             ranks = settle(ranks)
     return ranks
@@ -112,19 +116,33 @@ def _looped(
         graph.release()
 
 
-def _integer_loop(merged: DataFrame, steps: int, raw: DataFrame | None = None) -> DataFrame:
-    outflow = whole_div(
-        F.col("rank") * F.lit(DAMPING_MUL).cast("bigint"), F.col("degree") * F.lit(DAMPING_DIV).cast("bigint")
-    )
+def integer_flow(rank: Column | str, degree: Column | str) -> Column:
+    """What a vertex sends along each of its edges."""
+    rank, degree = (F.col(c) if isinstance(c, str) else c for c in (rank, degree))
+    sent = whole_div(rank * F.lit(DAMPING_MUL).cast("bigint"), degree * F.lit(DAMPING_DIV).cast("bigint"))
+    return F.when(degree > 0, sent).otherwise(F.lit(0).cast("bigint"))
+
+
+def _integer_loop(
+    merged: DataFrame, steps: int, raw: DataFrame | None = None, history: bool = False
+) -> DataFrame:
     update = F.coalesce("inflow", F.lit(0).cast("bigint")) + F.lit(UNIT).cast("bigint")
 
     def body(graph: PlacedGraph) -> DataFrame:
         start = graph.vertices.withColumn("rank", F.lit(START_RANK).cast("bigint"))
-        return _iterate(graph, start, steps, outflow, update).select("vertex", "rank")
+        if history:
+            start = start.withColumn("ranks", F.array("rank"))
+        ranks = _iterate(graph, start, steps, integer_flow("rank", "degree"), update, history)
+        return ranks.select("vertex", "degree", "ranks") if history else ranks.select("vertex", "rank")
 
     return _looped(merged, body, raw)
 
 
+def pagerank_states(copies: DataFrame, steps: int = 5) -> DataFrame:
+    """``vertex, degree, ranks`` with the integer rank before the first and after every step."""
+    return _integer_loop(copies, steps, history=True)
+
+
 def pagerank_weighted(copies: DataFrame, steps: int = 5) -> DataFrame:
     """Integer PageRank of weighted edges ``u, v, copies`` (unique in ``u, v``) as ``vertex, rank``."""
     return _integer_loop(copies, steps)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -307,7 +308,9 @@ def _ranks_sql(start: str, step: str, last: int) -> str:
 def _stream_ranks(spark: SparkSession, sf: str, start: int, step: int) -> DataFrame:
     folder = scratch_path(spark, "ranks")
     state = graph.backfill_pagerank(event_edges(spark, sf), folder, start, step)
-    return spark.read.parquet(f"{state}/ranks").select("commit", "vertex", "rank")
+    done = spark.read.parquet(f"{state}/states").select("commit").distinct().collect()
+    versions = [graph.ranks_at(spark, state, r["commit"]).withColumn("commit", F.lit(r["commit"])) for r in done]
+    return reduce(DataFrame.unionByName, versions).select("commit", "vertex", "rank")
 
 
 @query("stream_pagerank", _ranks_sql("count(*) // 4", "count(*) // 4", 3))
@@ -316,7 +319,7 @@ def stream_pagerank(spark, sf):
     return _stream_ranks(spark, sf, quarter, quarter)
 
 
-@query("backfill_pagerank", _ranks_sql("count(*) * 3 // 4", "count(*) // 8", 2))
+@query("backfill_pagerank", _ranks_sql("count(*) - 2", "1", 2))
 def backfill_pagerank(spark, sf):
-    n = table(spark, sf, "events").count()
-    return _stream_ranks(spark, sf, n * 3 // 4, n // 8)
+    """All but the last two edges at once, then one at a time: small commits on a large graph."""
+    return _stream_ranks(spark, sf, table(spark, sf, "events").count() - 2, 1)

@@ -1,50 +1,200 @@
 """PageRank kept up to date over a stream of edges.
 
-Every commit adds its edges to a log and ranks the whole graph again, which costs time in the size of
-the graph rather than of the commit.  The log holds one folder per commit with copies already merged;
-every ``COMPACT_EVERY`` commits it is folded into one snapshot, so a commit reads one snapshot and at
-most that many small folders.  All folders are named by the commit and overwritten when a commit is
-repeated after a failure, so no edge counts twice.
+A commit does not rank the graph again.  For every vertex the state holds its degree and its rank after
+each step; a commit follows the changes it causes from step to step:
+
+* a vertex sends something else when its degree or its previous rank changed;
+* the difference goes along its old edges, the whole new flow along its new edges;
+* whoever receives a difference that is not zero has a changed rank in this step.
+
+Ranks are whole numbers, so small differences are rounded away and the changes die out.  Old edges and
+states are scanned but never shuffled: the affected vertices are broadcast, and their number is checked
+against ``AFFECTED_BOUND`` before.  Where a commit affects more than that, or touches a large part of
+the graph from the outset, the whole graph is ranked again, which gives the same ranks.
+
+Edges and states are logs with one folder per commit, overwritten when a commit is repeated after a
+failure.  Every ``COMPACT_EVERY`` commits a log is folded into a snapshot.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyflow.operators.joins import edge_copies
-from tallyflow.plans.graph import pagerank_weighted
+from tallyflow.plans.graph import START_RANK, UNIT, integer_flow, pagerank_states
+from tallyflow.session import settle
 from tallyflow.sinks.topics import changelog_retractions
 from tallyflow.sources.generators import gen_backfill_stream
 from tallyflow.streaming.commits import explicit_commit
 
-COMPACT_EVERY = 16
+COMPACT_EVERY = 64
+
+# The most affected vertices a commit may broadcast; a state row is below 200 bytes.
+AFFECTED_BOUND = 200_000
+
+# A commit that touches more than this part of the known vertices is faster ranked from the start.
+TOUCHED_PART = 0.25
 
 EDGE_STREAM_SCHEMA = "id BIGINT, u BIGINT, v BIGINT, commit_id BIGINT"
 
 
-def graph_upto(state_dir: str, commit: int, spark) -> DataFrame:
+SCHEMAS = {
+    "edges": "u BIGINT, v BIGINT, copies BIGINT",
+    "states": "vertex BIGINT, degree BIGINT, ranks ARRAY<BIGINT>, at BIGINT",
+}
+
+
+def _none() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def _log(spark: SparkSession, state_dir: str, kind: str, commit: int) -> DataFrame:
+    """Rows of a log up to ``commit``: the last snapshot and the commits after it."""
+    first = (commit // COMPACT_EVERY) * COMPACT_EVERY
+    folders = [f"{state_dir}/{kind}/commit={c}" for c in range(first, commit + 1)]
+    if first:
+        folders.append(f"{state_dir}/{kind}-snapshot/commit={first - 1}")
+    return spark.read.schema(SCHEMAS[kind]).parquet(*folders)
+
+
+def _latest(states: DataFrame) -> DataFrame:
+    newest = states.groupBy("vertex").agg(F.max_by(F.struct("degree", "ranks"), "at").alias("s"))
+    return newest.select("vertex", "s.degree", "s.ranks")
+
+
+def graph_upto(spark: SparkSession, state_dir: str, commit: int) -> DataFrame:
     """``u, v, copies`` of the graph after ``commit``."""
-    snapshot = (commit // COMPACT_EVERY) * COMPACT_EVERY - 1
-    folders = [f"{state_dir}/edges/commit={c}" for c in range(snapshot + 1, commit + 1)]
-    if snapshot >= 0:
-        folders.append(f"{state_dir}/snapshots/commit={snapshot}")
-    parts = spark.read.parquet(*folders)
-    return parts.groupBy("u", "v").agg(F.sum("copies").alias("copies"))
+    return _log(spark, state_dir, "edges", commit).groupBy("u", "v").agg(F.sum("copies").alias("copies"))
+
+
+def states_upto(spark: SparkSession, state_dir: str, commit: int) -> DataFrame:
+    return _latest(_log(spark, state_dir, "states", commit))
+
+
+def ranks_at(spark: SparkSession, state_dir: str, commit: int) -> DataFrame:
+    """``vertex, rank`` as they stood after ``commit``."""
+    return states_upto(spark, state_dir, commit).select("vertex", F.element_at("ranks", -1).alias("rank"))
+
+
+def _with_states(moved: DataFrame, states: DataFrame, sums: list[str]) -> DataFrame:
+    """``vertex, degree, ranks`` and the ``sums`` of a bounded frame of changes.
+
+    The vertices are broadcast to the scan of the log; the found rows and the changes meet in a single
+    aggregation.  A vertex not in the log has null ``degree`` and ``ranks``.
+    """
+    found = states.join(F.broadcast(moved.select("vertex")), "vertex", "left_semi")
+    together = moved.unionByName(found, allowMissingColumns=True)
+    newest = F.max_by(F.struct("degree", "ranks"), "at").alias("s")
+    known = together.groupBy("vertex").agg(newest, *[F.coalesce(F.sum(c), _none()).alias(c) for c in sums])
+    return known.select("vertex", "s.degree", "s.ranks", *sums)
+
+
+def _flows(moved: DataFrame, states: DataFrame, step: int) -> DataFrame:
+    """``u, sent_before, sent`` in ``step`` of all vertices that may send something else than before.
+
+    ``moved`` holds the changes of degree (``added``) and of the previous rank (``change``).
+    """
+    known = _with_states(moved, states, ["added", "change"])
+    fresh = START_RANK if step == 1 else UNIT  # without old edges a vertex stands at one unit
+    degree = F.coalesce("degree", _none())
+    rank = F.coalesce(F.element_at("ranks", step), F.lit(fresh).cast("bigint"))
+    return known.select(
+        F.col("vertex").alias("u"),
+        integer_flow(rank, degree).alias("sent_before"),
+        integer_flow(rank + F.col("change"), degree + F.col("added")).alias("sent"),
+    )
+
+
+def _changed_inflow(delta: DataFrame, edges: DataFrame, flows: DataFrame) -> DataFrame:
+    """``vertex, change``: by how much the inflow differs from what it was before the commit.
+
+    Along an old edge goes the difference, along a new one all of the flow; one broadcast serves both.
+    """
+    old = edges.select("u", "v", "copies", F.lit(False).alias("is_new"))
+    new = delta.select("u", "v", "copies", F.lit(True).alias("is_new"))
+    more = F.col("sent") - F.when(F.col("is_new"), 0).otherwise(F.col("sent_before"))
+    along = old.unionByName(new).join(F.broadcast(flows), "u").select("v", (more * F.col("copies")).alias("change"))
+    summed = along.where("change <> 0").groupBy(F.col("v").alias("vertex")).agg(F.sum("change").alias("change"))
+    return summed.where("change <> 0")
+
+
+def spread_changes(delta: DataFrame, edges: DataFrame, states: DataFrame, steps: int) -> DataFrame | None:
+    """Affected vertices as ``vertex, degree, before, after``; None where there are too many.
+
+    ``delta`` are the merged new edges, ``edges`` the old ones (copies may be split over rows),
+    ``states`` the log of old states.  ``before`` is null for a vertex that was not there.
+    """
+    ends = delta.select(F.expr("stack(2, u, copies, v, 0L)").alias("vertex", "added"))
+    touched = settle(ends.groupBy("vertex").agg(F.sum("added").alias("added")))
+    seen = touched.count()
+    if seen > AFFECTED_BOUND or seen > TOUCHED_PART * states.count():
+        return None
+    shifts = [f"shift_{k}" for k in range(1, steps + 1)]
+    log = touched.select("vertex", "added", *[_none().alias(s) for s in shifts])
+    moved = touched.select("vertex", "added", _none().alias("change"))
+    for step in range(1, steps + 1):
+        # Settled, for its size is checked before it is broadcast, and the plan stays one step deep.
+        change = settle(_changed_inflow(delta, edges, _flows(moved, states, step)))
+        seen += change.count()
+        if seen > AFFECTED_BOUND:
+            return None
+        moved = touched.select("vertex", "added", _none().alias("change")).unionByName(
+            change.select("vertex", _none().alias("added"), "change")
+        )
+        here = [(F.col("change") if s == f"shift_{step}" else _none()).alias(s) for s in shifts]
+        log = log.unionByName(change.select("vertex", _none().alias("added"), *here))
+    known = _with_states(log, states, ["added", *shifts])
+    start = F.coalesce(F.element_at("ranks", 1), F.lit(START_RANK).cast("bigint"))
+    later = [
+        F.coalesce(F.element_at("ranks", k + 1), F.lit(UNIT).cast("bigint")) + F.col(f"shift_{k}")
+        for k in range(1, steps + 1)
+    ]
+    return settle(
+        known.select(
+            "vertex",
+            (F.coalesce("degree", _none()) + F.col("added")).alias("degree"),
+            F.col("ranks").alias("before"),
+            F.array(start, *later).alias("after"),
+        )
+    )
+
+
+def _rank_changes(affected: DataFrame) -> DataFrame:
+    old, new = F.element_at("before", -1), F.element_at("after", -1)
+    sides = F.array(
+        F.struct(old.alias("rank"), F.lit(-1).cast("smallint").alias("diff")),
+        F.struct(new.alias("rank"), F.lit(1).cast("smallint").alias("diff")),
+    )
+    changed = affected.where(~old.eqNullSafe(new))
+    return changed.select("vertex", F.inline(sides).alias("rank", "diff")).where("rank is not null")
 
 
 def apply_commit(batch: DataFrame, commit: int, state_dir: str, steps: int) -> None:
-    """Add a commit's edges, rank the graph, record the ranks and what changed in them."""
+    """Add a commit's edges, bring the states up to date, record how the ranks changed."""
     spark = batch.sparkSession
     edge_copies(batch).write.mode("overwrite").parquet(f"{state_dir}/edges/commit={commit}")
-    graph = graph_upto(state_dir, commit, spark)
-    if (commit + 1) % COMPACT_EVERY == 0:
-        graph.write.mode("overwrite").parquet(f"{state_dir}/snapshots/commit={commit}")
-    ranks = pagerank_weighted(graph, steps)
-    ranks.write.mode("overwrite").parquet(f"{state_dir}/ranks/commit={commit}")
-    old = spark.read.parquet(f"{state_dir}/ranks/commit={commit - 1}") if commit else ranks.where("1 = 0")
-    changes = changelog_retractions(old, ranks, ["vertex"])
+    delta = spark.read.schema(SCHEMAS["edges"]).parquet(f"{state_dir}/edges/commit={commit}")
+    affected = None
+    if commit:
+        old_edges = _log(spark, state_dir, "edges", commit - 1)
+        affected = spread_changes(delta, old_edges, _log(spark, state_dir, "states", commit - 1), steps)
+    if affected is not None:
+        states = affected.select("vertex", "degree", F.col("after").alias("ranks"))
+        changes = _rank_changes(affected)
+    else:
+        states = pagerank_states(graph_upto(spark, state_dir, commit), steps)
+        ranks = states.select("vertex", F.element_at("ranks", -1).alias("rank"))
+        old = ranks_at(spark, state_dir, commit - 1) if commit else ranks.where("1 = 0")
+        changes = changelog_retractions(old, ranks, ["vertex"])
+    stamped = states.withColumn("at", F.lit(commit).cast("bigint"))
+    stamped.write.mode("overwrite").parquet(f"{state_dir}/states/commit={commit}")
     changes.write.mode("overwrite").parquet(f"{state_dir}/changes/commit={commit}")
+    if (commit + 1) % COMPACT_EVERY == 0:
+        folded = states_upto(spark, state_dir, commit).withColumn("at", F.lit(commit).cast("bigint"))
+        folded.write.mode("overwrite").parquet(f"{state_dir}/states-snapshot/commit={commit}")
+        merged = graph_upto(spark, state_dir, commit)
+        merged.write.mode("overwrite").parquet(f"{state_dir}/edges-snapshot/commit={commit}")
 
 
 def stream_pagerank(edges: DataFrame, state_dir: str, checkpoint: str, steps: int = 5) -> StreamingQuery:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,15 +21,14 @@ def part_edges(spark):
 
 
 def ranks_at(spark, state, commit):
-    rows = spark.read.parquet(f"{state}/ranks/commit={commit}").collect()
-    return {r["vertex"]: r["rank"] for r in rows}
+    return {r["vertex"]: r["rank"] for r in graph.ranks_at(spark, state, commit).collect()}
 
 
 def test_backfill_is_right_at_every_commit(spark):
     edges = part_edges(spark)
     state = graph.backfill_pagerank(edge_frame(spark, edges), scratch_path(spark, "bf"), 4500, 500)
     for commit, seen in enumerate((4500, 5000, 5500, 6000)):
-        upto = graph.graph_upto(state, commit, spark)
+        upto = graph.graph_upto(spark, state, commit)
         assert upto.agg(F.sum("copies")).first()[0] == seen
         assert ranks_at(spark, state, commit) == integer_pagerank(edges[:seen], 5)
     changes = spark.read.parquet(f"{state}/changes/commit=3").collect()
@@ -41,9 +42,13 @@ def test_backfill_is_right_at_every_commit(spark):
     assert len(changes) == 20
 
 
-def test_repeated_commit_and_compaction(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [200_000, 3])  # followed changes, or ranked again at every commit
+def test_repeated_commit_and_compaction(spark, monkeypatch, bound):
     monkeypatch.setattr(graph, "COMPACT_EVERY", 2)
-    edges = [(i % 7, (i * 5) % 11) for i in range(60)]
+    monkeypatch.setattr(graph, "AFFECTED_BOUND", bound)
+    monkeypatch.setattr(graph, "TOUCHED_PART", 1e9)
+    rng = random.Random(1)
+    edges = [(rng.randrange(12 + i // 4), rng.randrange(12 + i // 4)) for i in range(60)]
     state = scratch_path(spark, "state")
     for commit in range(5):
         batch = spark.createDataFrame(edges[commit * 12 : commit * 12 + 12], "u BIGINT, v BIGINT")
@@ -53,19 +58,45 @@ def test_repeated_commit_and_compaction(spark, monkeypatch):
         assert ranks_at(spark, state, commit) == integer_pagerank(edges[: commit * 12 + 12], 3)
 
 
+def test_following_changes_equals_ranking_again(spark, monkeypatch):
+    """Hub, repeated edge, self-loop, new vertices, and a commit that changes nothing but a degree."""
+    rng = random.Random(2)
+    first = [(5, 100 + i) for i in range(40)] + [(rng.randrange(30), rng.randrange(30)) for _ in range(120)]
+    commits_ = [first, [(5, 5), (5, 101), (5, 101), (900, 5)], [(901, 902)], [(902, 901), (7, 7)], [(5, 300)]]
+    monkeypatch.setattr(graph, "TOUCHED_PART", 1e9)
+    state, seen = scratch_path(spark, "state"), []
+    for commit, edges in enumerate(commits_):
+        seen += edges
+        graph.apply_commit(spark.createDataFrame(edges, "u BIGINT, v BIGINT"), commit, state, 5)
+        assert ranks_at(spark, state, commit) == integer_pagerank(seen, 5)
+    # an isolated edge touches its two ends only
+    assert spark.read.parquet(f"{state}/states/commit=2").count() == 2
+
+
+def test_old_edges_are_not_shuffled_by_a_commit(spark):
+    state = scratch_path(spark, "state")
+    graph.apply_commit(spark.createDataFrame([(i, i + 1) for i in range(50)], "u BIGINT, v BIGINT"), 0, state, 2)
+    delta = spark.createDataFrame([(3, 9, 1)], "u BIGINT, v BIGINT, copies BIGINT")
+    edges = graph._log(spark, state, "edges", 0)
+    flows = spark.createDataFrame([(3, 5000, 2500)], "u BIGINT, sent_before BIGINT, sent BIGINT")
+    plan = graph._changed_inflow(delta, edges, flows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_failing_commit_is_repeated(spark, monkeypatch):
     edges = [(i % 5, (i * 3) % 8) for i in range(40)]
     folder = scratch_path(spark, "fail")
     gen_backfill_stream(edge_frame(spark, edges), 20, 10, f"{folder}/staged")
-    real, failures = graph.pagerank_weighted, []
+    real, failures = graph.spread_changes, []
 
-    def fragile(copies, steps):
-        if copies.agg(F.sum("copies")).first()[0] == 30 and not failures:
+    def fragile(*args):
+        if not failures:
             failures.append(1)
             raise RuntimeError("lost after the edges were written")
-        return real(copies, steps)
+        return real(*args)
 
-    monkeypatch.setattr(graph, "pagerank_weighted", fragile)
+    monkeypatch.setattr(graph, "spread_changes", fragile)
 
     def run():
         source = spark.readStream.schema(graph.EDGE_STREAM_SCHEMA).parquet(f"{folder}/inbox")
