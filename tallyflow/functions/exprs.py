@@ -113,7 +113,7 @@ def cast_bytes(col: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case latin words of a text, as an array without empty entries."""
-    return F.filter(F.split(F.lower(_col(text)), "[^a-z]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(text)), "[^a-z]+"), "")
 
 
 def split_trim_unquote(col: Column | str) -> Column:

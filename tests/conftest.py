@@ -10,7 +10,10 @@ from tallyflow.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tallyflow-tests", 4, partitions=4)
+    # Many small plans, each run once: the quick compiler alone is faster than warming up the other.
+    session = local_session(
+        "tallyflow-tests", 4, partitions=4, **{"spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1"}
+    )
     yield session
     session.stop()
 
