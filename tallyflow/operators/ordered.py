@@ -170,9 +170,10 @@ def ranked_histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Dat
     """Histogram with ``upto`` (rows at or below the value) and ``size`` (rows of the key).
 
     The value at 0-based sorted position ``i`` is the one with ``upto - n <= i < upto``: sorted-array
-    indexing without an array, exact for any number of rows and distinct values.
+    indexing without an array, exact for any number of rows and distinct values.  The histogram is
+    settled: it is small beside the rows, which would otherwise be computed again for its group sizes.
     """
-    return running_total(histogram(df, value, keys), F.col("n"), [value], keys, running="upto", total="size")
+    return running_total(settle(histogram(df, value, keys)), F.col("n"), [value], keys, running="upto", total="size")
 
 
 def holds_position(position: Column) -> Column:

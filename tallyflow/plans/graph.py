@@ -107,11 +107,15 @@ def _iterate(
 
 
 def _looped(
-    merged: DataFrame, body: Callable[[PlacedGraph], DataFrame], raw: DataFrame | None = None
+    merged: DataFrame,
+    body: Callable[[PlacedGraph], DataFrame],
+    raw: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = settle,
 ) -> DataFrame:
+    """Run ``body`` on the placed graph; ``keep`` must store its outcome before the caches go."""
     graph = place_graph(merged, raw)
     try:
-        return settle(body(graph))
+        return keep(body(graph))
     finally:
         graph.release()
 
@@ -124,7 +128,11 @@ def integer_flow(rank: Column | str, degree: Column | str) -> Column:
 
 
 def _integer_loop(
-    merged: DataFrame, steps: int, raw: DataFrame | None = None, history: bool = False
+    merged: DataFrame,
+    steps: int,
+    raw: DataFrame | None = None,
+    history: bool = False,
+    keep: Callable[[DataFrame], DataFrame] = settle,
 ) -> DataFrame:
     update = F.coalesce("inflow", F.lit(0).cast("bigint")) + F.lit(UNIT).cast("bigint")
 
@@ -135,12 +143,14 @@ def _integer_loop(
         ranks = _iterate(graph, start, steps, integer_flow("rank", "degree"), update, history)
         return ranks.select("vertex", "degree", "ranks") if history else ranks.select("vertex", "rank")
 
-    return _looped(merged, body, raw)
+    return _looped(merged, body, raw, keep)
 
 
-def pagerank_states(copies: DataFrame, steps: int = 5) -> DataFrame:
+def pagerank_states(
+    copies: DataFrame, steps: int = 5, keep: Callable[[DataFrame], DataFrame] = settle
+) -> DataFrame:
     """``vertex, degree, ranks`` with the integer rank before the first and after every step."""
-    return _integer_loop(copies, steps, history=True)
+    return _integer_loop(copies, steps, history=True, keep=keep)
 
 
 def pagerank_weighted(copies: DataFrame, steps: int = 5) -> DataFrame:

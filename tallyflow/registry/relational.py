@@ -22,7 +22,7 @@ from tallyflow.registry.base import (
     sorted_values,
     table,
 )
-from tallyflow.session import settle
+from tallyflow.session import settle, use_all_cores
 
 DEGREES = "(select vertex, sum(d)::bigint as degree from (select u as vertex, 1 as d from e union all select v, 0 from e) group by vertex)"
 
@@ -151,7 +151,8 @@ WORDS = "select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as word fr
 
 
 def _document_words(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(tokens("text")).alias("word"))
+    texts = use_all_cores(table(spark, sf, "documents").select("text"))
+    return texts.select(F.explode(tokens("text")).alias("word"))
 
 
 @query("wordcount", f"""select word, count(*) as "count" from ({WORDS}) where word <> '' group by word""")

@@ -57,6 +57,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread the rows of an input with fewer splits than the session has cores.
+
+    A table of many files is left alone: it keeps every core busy without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint once: fixes partition ids and cuts the lineage."""
     shared_folder(df.sparkSession)

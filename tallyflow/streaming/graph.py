@@ -179,16 +179,20 @@ def apply_commit(batch: DataFrame, commit: int, state_dir: str, steps: int) -> N
     if commit:
         old_edges = _log(spark, state_dir, "edges", commit - 1)
         affected = spread_changes(delta, old_edges, _log(spark, state_dir, "states", commit - 1), steps)
+
+    def record(states: DataFrame) -> DataFrame:
+        folder = f"{state_dir}/states/commit={commit}"
+        states.withColumn("at", F.lit(commit).cast("bigint")).write.mode("overwrite").parquet(folder)
+        return spark.read.schema(SCHEMAS["states"]).parquet(folder)
+
     if affected is not None:
-        states = affected.select("vertex", "degree", F.col("after").alias("ranks"))
+        record(affected.select("vertex", "degree", F.col("after").alias("ranks")))
         changes = _rank_changes(affected)
     else:
-        states = pagerank_states(graph_upto(spark, state_dir, commit), steps)
+        states = pagerank_states(graph_upto(spark, state_dir, commit), steps, record)
         ranks = states.select("vertex", F.element_at("ranks", -1).alias("rank"))
         old = ranks_at(spark, state_dir, commit - 1) if commit else ranks.where("1 = 0")
         changes = changelog_retractions(old, ranks, ["vertex"])
-    stamped = states.withColumn("at", F.lit(commit).cast("bigint"))
-    stamped.write.mode("overwrite").parquet(f"{state_dir}/states/commit={commit}")
     changes.write.mode("overwrite").parquet(f"{state_dir}/changes/commit={commit}")
     if (commit + 1) % COMPACT_EVERY == 0:
         folded = states_upto(spark, state_dir, commit).withColumn("at", F.lit(commit).cast("bigint"))
