@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import reply_trees, url_filter
+from tallyflow.llm import byte_bpe, reply_trees, token_files, url_filter
 from tallyflow.llm.common import QUERIES, ORACLES, query, table  # noqa: F401
 
 RULES = [
@@ -84,3 +85,25 @@ def op10_reply_trees(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    folder = token_files.token_folder(docs)
+    manifest = token_files.write_token_files(docs, folder, vocabulary, end_id=2)
+    read = token_files.read_token_files(manifest, folder, vocabulary)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    done = byte_bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return done.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids_text", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
