@@ -100,11 +100,11 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             "k", F.col("id").alias("leaf"), F.row_number().over(by).alias("rank"), F.col("depth").alias("leaf_depth")
         ).where(F.col("rank") <= branches)
     path = best.select("k", "leaf", "rank", F.col("leaf_depth").alias("depth"), F.col("leaf").alias("id"))
+    path = stage(path, "paths")
     for i, jump in enumerate(jumps):
         # Every distance is a sum of different powers of two in one way only: no message comes twice.
-        path = path.union(
-            path.join(jump, ["k", "id"]).select("k", "leaf", "rank", F.col("depth") - (1 << i), F.col("jump"))
-        )
+        above = path.join(jump, ["k", "id"]).select("k", "leaf", "rank", F.col("depth") - (1 << i), F.col("jump"))
+        path = stage(path.union(above), "paths")
     return path.withColumnRenamed("k", "tree")
 
 
