@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import byte_bpe, reply_trees, token_files, url_filter
+from tallyflow.llm import byte_bpe, near_vectors, reply_trees, token_files, url_filter
 from tallyflow.llm.common import QUERIES, ORACLES, query, table  # noqa: F401
 
 RULES = [
@@ -107,3 +107,8 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids_text", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_near_vectors")
+def op9_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"), 0.9)
