@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import byte_bpe, near_vectors, reply_trees, token_files, url_filter
+from tallyflow.llm import byte_bpe, jaccard, near_vectors, reply_trees, token_files, url_filter
 from tallyflow.llm.common import QUERIES, ORACLES, query, table  # noqa: F401
 
 RULES = [
@@ -112,3 +112,33 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_near_vectors")
 def op9_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"), 0.9)
+
+
+#: Shingle sets, links and their closure, without any index.
+NEAR_SQL = r"""
+    words as materialized (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+      from docs),
+    sets as materialized (
+      select doc_id, unnest(list_distinct(case when len(w) >= 5
+          then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+          when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s
+      from words),
+    sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+    links as materialized (
+      select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as shared from sets x join sets y using (s)
+                            where x.doc_id <> y.doc_id group by all) p
+      join sizes na on na.doc_id = p.a join sizes nb on nb.doc_id = p.b where 100 * p.shared >= 80 * (na.n + nb.n - p.shared)),
+    reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+    near as (
+      select w.doc_id, coalesce(z.n, 0) as n_shingles,
+             least(w.doc_id, coalesce((select min(b) from reach r where r.a = w.doc_id), w.doc_id)) as component_id
+      from words w left join sizes z using (doc_id))"""
+
+
+@query(
+    "op4_ngram_jaccard",
+    f"with recursive docs as (select doc_id, text from documents), {NEAR_SQL} select doc_id, n_shingles, component_id from near",
+)
+def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
