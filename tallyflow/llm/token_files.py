@@ -9,7 +9,8 @@ the same bytes under the same name, so lost executors and repeated attempts do n
 
 A text is encoded by the tokenizers library. As a space before a non-space always begins a new pre-token of
 the byte-level pattern, the pieces between such spaces are encoded on their own, each distinct one once while
-it stays in a bounded table; a text with other runs of white space is encoded whole.
+it stays in a bounded table; a text with other runs of white space is encoded whole. A piece of Latin letters
+is one pre-token, so the library's BPE model is asked for it without the rest of its chain.
 """
 
 from __future__ import annotations
@@ -30,10 +31,19 @@ from tallyflow.session import scratch_path, shuffle_width
 
 #: Pieces a worker remembers; the table is emptied when full.
 REMEMBERED = 400_000
+#: Below it, what Python calls a letter is one for the pattern, whatever the versions of Unicode.
+LATIN_END = "\u0250"
 MANIFEST = "part int, n_docs long, n_nulls long, n_tokens long, stem string"
 #: A space before another white space, or any at the ends, makes pieces depend on each other.
 TANGLED = re.compile(r" (?=\s)|\s\Z")
 
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies show a byte by its Latin-1 character where that prints, else by the next from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_CHARACTERS = _byte_characters()
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -48,7 +58,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model
         self.seen: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, vocabulary: str) -> Encoder:
@@ -61,6 +73,27 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in done]
 
+    def _word(self, word: str) -> bytes:
+        """A space and Latin letters: one pre-token, in the characters that stand for its bytes."""
+        shown = (" " + word).encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        rest = []
+        for piece in pieces:
+            word = piece.rstrip(".,")
+            if not word.isalpha() or max(word) >= LATIN_END:
+                rest.append(piece)
+                continue
+            if word not in self.seen:
+                self.seen[word] = self._word(word)
+            if word != piece:
+                end = piece[len(word) :]
+                if end not in self.ends:
+                    self.ends[end] = self._packed([end])[0]
+                self.seen[piece] = self.seen[word] + self.ends[end]
+        self.seen.update(zip(rest, self._packed([" " + p for p in rest]), strict=True))
+
     def encode(self, text: str) -> bytes:
         if TANGLED.search(text):
             return self._packed([text])[0]
@@ -69,9 +102,10 @@ class Encoder:
         first, rest = pieces[0], pieces[1:]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
+            self.ends.clear()
         seen = self.seen
-        if new := list({p for p in rest if p not in seen}):
-            seen.update(zip(new, self._packed([" " + p for p in new]), strict=True))
+        if new := {p for p in rest if p not in seen}:
+            self._learn(new)
         head = self._packed([first])[0] if first else b""
         return head + b"".join(map(seen.__getitem__, rest))
 
