@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import byte_bpe, decontaminate, jaccard, near_vectors, reply_trees, token_files, url_filter
+from tallyflow.llm import byte_bpe, decontaminate, jaccard, near_vectors, reply_trees, token_files, toxicity, url_filter
 from tallyflow.llm.common import QUERIES, ORACLES, query, table  # noqa: F401
 
 RULES = [
@@ -148,3 +148,9 @@ def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf, "labels").select("doc_id", "toxic"))
