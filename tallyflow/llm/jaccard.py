@@ -13,7 +13,7 @@ one class, known by a 128-bit fingerprint of the set.
    which a group with m tokens in the prefix loses all only if it misses ``m - k + 1``. Two sets that link have a
    signature in common. ``G`` follows from a set's size; a set is signed for every ``G`` that one it may link with
    can have. Sets of up to ``TINY`` tokens also use the combinations of all and of all but one of their tokens.
-3. Pairs. First each signature's smallest class is paired with the others that have it, which is linear in their
+3. Pairs. First each signature's most central class is paired with the others that have it, which is linear in their
    number, and verified pairs are joined into components. Then, only where a signature has classes of several
    components, classes of different components are paired, so that a group of copies is never expanded.
 4. Pairs are verified by the tokens that are not in one class only: the intersection holds no others.
@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyflow.llm.common import stage, text_or_empty
 from tallyflow.llm.components import components
@@ -227,22 +227,31 @@ def shared_tokens(docs: DataFrame, width: int) -> DataFrame:
 
 
 def with_signatures(sets: DataFrame) -> DataFrame:
-    """``sig, fp, n``."""
+    """``sig, fp, n, own``: ``own`` counts the tokens that no other class has."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, fps, ns = [], [], []
+        names = ["sig", "fp", "n", "own"]
+        parts = (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500))
+        for batch in parts:
+            sigs, fps, ns, owns = [np.empty(0, np.uint64)], [], [], []
             for r in batch.to_pylist():
                 tokens, df = (np.frombuffer(b"".join(r[c]), kind) for c, kind in (("tokens", "<u8"), ("df", "<u4")))
                 s = signatures(r["n"], tokens.astype(np.uint64), df.astype(np.int64))
-                sigs.append(s), fps.extend([r["fp"]] * len(s)), ns.extend([r["n"]] * len(s))
-                if sum(map(len, sigs)) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(ns, pa.int64())], names=["sig", "fp", "n"])
-                    sigs, fps, ns = [], [], []
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(ns, pa.int64())], names=["sig", "fp", "n"])
+                sigs.append(s), fps.extend([r["fp"]] * len(s)), ns.extend([r["n"]] * len(s)), owns.extend([r["n"] - len(tokens)] * len(s))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(owns, pa.int64())], names=names
+            )
+
+    return sets.mapInArrow(sign, "sig long, fp binary, n long, own long")
+
+
+#: Two classes share no more tokens than either shares with any, so only such pairs can link.
+FITS = f"100 * least(n_a - own_a, n_b - own_b) >= {PERCENT} * (n_a + n_b - least(n_a - own_a, n_b - own_b))"
 
-    return sets.mapInArrow(sign, "sig long, fp binary, n long")
+
+def sets_sizes(posts: DataFrame) -> DataFrame:
+    """``fp, n, own`` of the classes that share a signature."""
+    return posts.select("fp", "n", "own").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,27 +284,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stage(with_sets(docs), "sets")
     sets = stage(shared_tokens(docs, width), "shared-tokens")
     sigs = with_signatures(sets)
-    several = sigs.groupBy("sig").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("sig", "a")
+    # Of near copies, the one with the fewest tokens of its own is the likeliest to link with all others.
+    central = F.min(F.struct("own", "fp"))["fp"].alias("a")
+    several = sigs.groupBy("sig").agg(central, F.count(F.lit(1)).alias("classes")).where("classes > 1").select("sig", "a")
     posts = stage(sigs.join(several, "sig"), "signatures")
-    sizes = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"))
-    stars = stage(posts.where("a <> fp").select("a", F.col("fp").alias("b"), F.col("n").alias("n_b")).distinct(), "stars")
-    fits = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
-    links = stage(verified(stars.join(sizes, "a").where(fits).select("a", "b"), sets), "links")
+    sizes = sets_sizes(posts).withColumnsRenamed({"fp": "a", "n": "n_a", "own": "own_a"})
+    stars = stage(posts.where("a <> fp").select("a", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b")).distinct(), "stars")
+    links = stage(verified(stars.join(sizes, "a").where(FITS).select("a", "b"), sets), "links")
     root = components(links)
-    # What is left: classes of different components that share a signature and were not compared.
-    placed = posts.select("sig", "fp", "n").join(root.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "sig", "fp", "n", F.coalesce("root", "fp").alias("root")
-    )
+    # What is left: classes of different components that share a signature and were not compared. Most classes of a group
+    # have too many tokens of their own to link with any size of set that has the signature.
+    reach = Window.partitionBy("sig")
+    partner = F.greatest(F.least(F.col("n") - F.col("own"), F.max("n").over(reach)), F.min("n").over(reach))
+    both = F.least(F.col("n") - F.col("own"), partner)
+    able = posts.select("sig", "fp", "n", "own", (100 * both >= PERCENT * (F.col("n") + partner - both)).alias("able")).where("able")
+    placed = able.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "n", "own", F.coalesce("root", "fp").alias("root"))
     mixed_sigs = placed.groupBy("sig").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("sig")
     left = stage(placed.join(mixed_sigs, "sig"), "unsettled")
-    parts = left.select("sig", "root").distinct()
-    apart = parts.join(parts.withColumnRenamed("root", "root_b"), "sig").where("root < root_b")
-    one = left.select("sig", "root", F.col("fp").alias("x"), F.col("n").alias("n_a"))
-    other = left.select("sig", F.col("root").alias("root_b"), F.col("fp").alias("y"), F.col("n").alias("n_b"))
+    parts = left.groupBy("sig", "root").agg(F.max(F.col("n") - F.col("own")).alias("most"), F.min("n").alias("least_n"))
+    apart = (
+        parts.join(parts.withColumnsRenamed({"root": "root_b", "most": "most_b", "least_n": "least_n_b"}), "sig")
+        .where(f"root < root_b and 100 * least(most, most_b) >= {PERCENT} * (least_n + least_n_b - least(most, most_b))")
+        .select("sig", "root", "root_b")
+    )
+    one = left.select("sig", "root", F.col("fp").alias("x"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
+    other = left.select("sig", F.col("root").alias("root_b"), F.col("fp").alias("y"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
     crossed = (
-        apart.join(one, ["sig", "root"]).join(other, ["sig", "root_b"]).where(fits)
+        apart.join(one, ["sig", "root"]).join(other, ["sig", "root_b"]).where(FITS)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     )
     more = stage(verified(crossed, sets), "links")
     root = components(links.union(more))
