@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from tallyflow.llm.text import mixed, word_hashes
 WORD = re.compile(r"\w+")
 #: Edits allowed, as a percentage of an item's words; items of fewer than 5 words match exactly.
 EDIT_PERCENT = 20
-#: Steps of a walk for each word, positions in a key, and the share of steps that an edit may throw out of step.
-STRETCH, POSITIONS, THROWN = 3, 3, 3.0
+#: Positions in a key, and how much larger than its share of edits a window's share of steps out of step may be.
+POSITIONS, THROWN = 3, 3.0
 RECALL = 0.999
 #: Texts and windows that are looked at together.
 TEXTS, WINDOWS = 2_000, 20_000
@@ -55,44 +56,51 @@ def repetitions(recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** POSITIONS))
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Between two sequences, or ``most + 1`` if it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+def best_prefix(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int]:
+    """The smallest edit distance between ``a`` and a beginning of ``b``, and how long that is (of equals, the one
+    nearest to ``a`` in length); ``most + 1`` if it is larger."""
     steps = np.arange(len(b) + 1)
-    row = steps.copy()
+    row = steps
     for i, x in enumerate(a, 1):
         best = np.minimum(row[1:] + 1, row[:-1] + (b != x))
         # The smallest over insertions: a running minimum of what each cell costs less its place.
         row = np.minimum.accumulate(np.concatenate(([i], best)) - steps) + steps
         if row.min() > most:
-            return most + 1
-    return int(min(row[-1], most + 1))
+            return most + 1, 0
+    n = int(np.lexsort((np.abs(steps - len(a)), row))[0])
+    return int(min(row[n], most + 1)), n
+
+
+def sampled_steps(length: int) -> int:
+    """Steps of a walk that keys sample: those that walks seldom have left."""
+    return max(1, 2 * length - length // 4)
 
 
 def embed(windows: np.ndarray, walk: int) -> np.ndarray:
     """CGK embeddings of windows of one length, a row each; 0 once a walk is past the end."""
     n, length = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, STRETCH * length), np.uint64)
-    for step in range(STRETCH * length):
-        word = padded[rows, at]
-        out[:, step] = word
-        with np.errstate(over="ignore"):
-            bit = mixed(word + np.uint64((walk << 32) + step + 1)) >> np.uint64(63)
-        at = np.minimum(at + bit.astype(np.int64), length)
-    return out
+    at, first = np.zeros(n, np.int64), np.arange(n) * (length + 1)
+    out = np.empty((sampled_steps(length), n), np.uint64)
+    for step in range(len(out)):
+        if step % 64 == 0:  # a random bit for each word and each of the next steps
+            with np.errstate(over="ignore"):
+                bits = mixed(padded + np.uint64((walk << 32) + step + 1)).ravel()
+        place = first + at
+        out[step] = padded.ravel()[place]
+        at += (bits[place] >> np.uint64(step % 64) & np.uint64(1)).astype(np.int64)
+        np.minimum(at, length, out=at)
+    return out.T
 
 
 def keys_of(windows: np.ndarray, repeats: int) -> np.ndarray:
-    """An LSH key of each window for each repetition. Samples are from the part that walks seldom have left."""
+    """An LSH key of each window for each repetition; four samples are taken of a walk."""
     n, length = windows.shape
     out = np.empty((n, repeats), np.uint64)
     for r in range(repeats):
-        if r % 4 == 0:  # four samples of a walk
+        if r % 4 == 0:
             embedded = embed(windows, r // 4)
-        picks = np.random.default_rng((length, r)).choice(max(1, length * 2 - length // 4), min(POSITIONS, length), replace=False)
+        picks = np.random.default_rng((length, r)).choice(embedded.shape[1], min(POSITIONS, length), replace=False)
         with np.errstate(over="ignore"):
             key = np.full(n, r + 1, np.uint64)
             for p in np.sort(picks):
@@ -114,6 +122,7 @@ class Benchmark:
         self.table = np.zeros(1 << max(10, (32 * sum(len(p) for p, _ in pairs)).bit_length()), np.uint64)
         for p, bit in pairs:
             np.bitwise_or.at(self.table, self._slot(p), np.uint64(1) << bit)
+        self.repeated = {n: max(len(p) - len(np.unique(p)) for p in (pairs_of(w) for w in words if len(w) == n)) for n in self.lengths if n > 1}
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         for length in self.lengths:
             items = [i for i, w in enumerate(words) if len(w) == length]
@@ -146,8 +155,11 @@ class Benchmark:
             if not (known[least - 1 :] - known[: len(known) - least + 1] <= length - 2).any():
                 continue
             first = np.arange(max(1, len(words) - length + allowed(length) + 1))
-            inside = np.searchsorted(known, first + length - 1) - np.searchsorted(known, first)
-            yield length, first[inside >= least]
+            low, high = np.searchsorted(known, first), np.searchsorted(known, first + length - 1)
+            enough = np.flatnonzero(high - low >= least)
+            # A word list that repeats one known pair has only one of the item's.
+            pairs, distinct = pairs_of(words)[known], least - self.repeated[length]
+            yield length, np.array([first[k] for k in enough.tolist() if len(set(pairs[low[k] : high[k]].tolist())) >= distinct], np.int64)
 
     def search(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """For each text and item that match: the least distance, its place, and how many words there are."""
@@ -168,18 +180,18 @@ class Benchmark:
         for row, (t, start) in enumerate(zip(owner, starts, strict=True)):
             part = texts[t][start : start + length]
             windows[row, : len(part)] = part
-        found = set()
+        votes: Counter[tuple[int, int]] = Counter()
         for table, column in zip(self.tables[length], keys_of(windows, self.repeats).T.tolist(), strict=True):
-            found.update((row, i) for row, key in enumerate(column) if key in table for i in table[key])
-        for row, i in sorted(found):
+            votes.update((row, i) for row, key in enumerate(column) if key in table for i in table[key])
+        # The window that lies best shares most keys, and once it is verified the others end early.
+        for (row, i), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
             t, start = owner[row], starts[row]
             most = best[t, i][0] - 1 if (t, i) in best else allowed(length)
-            # A match may be shorter or longer than the item by as many words as it has edits.
-            for n in sorted(range(max(1, length - most), length + most + 1), key=lambda n: abs(n - length)):
-                if abs(n - length) <= most and start + n <= len(texts[t]):
-                    d = edit_distance(self.words[i], texts[t][start : start + n], most)
-                    if d <= most:
-                        best[t, i], most = (d, start, n), d - 1
+            if most >= 0:
+                # A match may be shorter or longer than the item by as many words as it has edits.
+                d, n = best_prefix(self.words[i], texts[t][start : start + length + most], most)
+                if d <= most:
+                    best[t, i] = d, start, n
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:

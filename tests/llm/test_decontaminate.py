@@ -48,12 +48,14 @@ def edited(rng, w, edits):
     return w
 
 
-def test_edit_distance():
+def test_best_prefix():
     rng = np.random.default_rng(1)
     for _ in range(300):
         a, b = (rng.integers(0, 4, rng.integers(0, 12)).astype(np.uint64) for _ in range(2))
-        assert d.edit_distance(a, b, 20) == distance(a.tolist(), b.tolist())
-        assert d.edit_distance(a, b, 2) == min(3, distance(a.tolist(), b.tolist()))
+        want = min(distance(a.tolist(), b[:n].tolist()) for n in range(len(b) + 1))
+        d_, n = d.best_prefix(a, b, 20)
+        assert d_ == want == distance(a.tolist(), b[:n].tolist())
+        assert d.best_prefix(a, b, 2)[0] == min(3, want)
 
 
 def test_recall_and_precision_against_brute_force(spark):
