@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import byte_bpe, decontaminate, jaccard, near_vectors, quality, reply_trees, token_files, toxicity, url_filter
+from tallyflow.llm import byte_bpe, decontaminate, jaccard, near_vectors, quality, reply_trees, secret_scan, token_files, toxicity, url_filter
 from tallyflow.llm.common import QUERIES, ORACLES, query, table  # noqa: F401
 
 RULES = [
@@ -160,3 +160,8 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality.quality(docs, table(spark, sf, "labels").select("doc_id", "quality"))
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf, "documents").select("doc_id", "text", "source"))
