@@ -30,11 +30,11 @@ NAME_FIELDS = (
 
 # Metric names looked for in an engine log, in the order they are tried.
 LOG_GAUGES = (
-    ("heap", "jobmanager.Status.JVM.Memory.Heap.Used"),
-    ("nonheap", "jobmanager.Status.JVM.Memory.NonHeap.Used"),
-    ("managed", "Status.Flink.Memory.Managed.Used"),
-    ("task_heap", ".taskmanager.+Status.JVM.Memory.Heap.Used"),
-    ("task_nonheap", ".taskmanager.+Status.JVM.Memory.NonHeap.Used"),
+    ("heap", ("jobmanager.Status.JVM.Memory.Heap.Used",)),
+    ("nonheap", ("jobmanager.Status.JVM.Memory.NonHeap.Used",)),
+    ("managed", ("Status.Flink.Memory.Managed.Used",)),
+    ("task_heap", (".taskmanager.", "Status.JVM.Memory.Heap.Used")),
+    ("task_nonheap", (".taskmanager.", "Status.JVM.Memory.NonHeap.Used")),
 )
 REPORT_END = "Finished metrics report"
 JOB_START = "Received JobGraph submission"
@@ -190,9 +190,9 @@ def log_extract(df: DataFrame, col: str = "value") -> DataFrame:
     """Add ``gauge, amount, report_end, started_at, ended_at`` (epoch seconds) to log lines."""
     line = F.col(col)
     gauge = F.lit(None).cast("string")
-    for name, needle in reversed(LOG_GAUGES):
+    for name, parts in reversed(LOG_GAUGES):
         hit = F.lit(True)
-        for part in needle.split("+"):
+        for part in parts:
             hit = hit & line.contains(part)
         gauge = F.when(hit, F.lit(name)).otherwise(gauge)
     gauge = F.when(line.contains(REPORT_END), F.lit(None)).otherwise(gauge)

@@ -56,7 +56,9 @@ def neighbour_list(edges: DataFrame) -> DataFrame:
     no list grows with the number of edges of a hub.
     """
     distinct = edges.select("u", "v").distinct()
-    chunk = F.floor(F.col("v") / F.lit(CHUNK)).alias("chunk")
+    # Whole numbers throughout: a double would misplace targets above 2^53.
+    size = F.lit(CHUNK).cast("bigint")
+    chunk = F.call_function("div", F.col("v") - F.pmod("v", size), size).alias("chunk")
     return distinct.groupBy("u", chunk).agg(
         F.sort_array(F.collect_list("v")).alias("neighbours"),
         F.count(F.lit(1)).alias("degree_part"),
@@ -75,13 +77,14 @@ def integrity_check(df: DataFrame, n: int) -> DataFrame:
     """One row of aggregates over ``k, name, value, flag[, diff]`` and whether all of them fit.
 
     Keys must be ``0..n-1``, names ``item_<k>``, no column null and, where changes are recorded,
-    every row an insertion.
+    every row an insertion.  Keys are summed exactly whatever their size; ``sum_k`` is null where it does not
+    fit into 64 bits.
     """
     measures = [
         F.count(F.lit(1)).alias("count"),
         F.coalesce(F.min("k"), F.lit(-1)).alias("min_k"),
         F.coalesce(F.max("k"), F.lit(-1)).alias("max_k"),
-        F.coalesce(F.sum(F.col("k").cast("bigint")), F.lit(0)).alias("sum_k"),
+        F.coalesce(F.sum(F.col("k").cast("decimal(20,0)")), F.lit(0)).alias("exact_sum"),
         F.count_if(F.col("name") != F.concat(F.lit("item_"), F.col("k").cast("string"))).alias("bad_name"),
         F.count_if(F.col("value").isNull() | F.col("flag").isNull() | F.col("name").isNull()).alias("null_cols"),
     ]
@@ -89,14 +92,17 @@ def integrity_check(df: DataFrame, n: int) -> DataFrame:
         (F.col("count") == n)
         & (F.col("min_k") == (0 if n else -1))
         & (F.col("max_k") == n - 1)
-        & (F.col("sum_k") == n * (n - 1) // 2)
+        & (F.col("exact_sum") == F.lit(str(n * (n - 1) // 2)).cast("decimal(38,0)"))
         & (F.col("bad_name") == 0)
         & (F.col("null_cols") == 0)
     )
     if "diff" in df.columns:
         measures.append(F.coalesce(F.sum(F.col("diff").cast("bigint")), F.lit(0)).alias("sum_diff"))
         fits = fits & (F.col("sum_diff") == n)
-    return df.agg(*measures).withColumn("ok", fits)
+    return (
+        df.agg(*measures).withColumn("ok", fits)
+        .withColumn("exact_sum", F.col("exact_sum").try_cast("bigint")).withColumnRenamed("exact_sum", "sum_k")
+    )
 
 
 def message_count_check(df: DataFrame, n: int) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyflow.functions.exprs import CONTROL_WORDS  # noqa: F401  (re-exported for readers of topics)
 from tallyflow.operators.ordered import next_value, ranked_histogram
 from tallyflow.session import shuffle_width
 

@@ -1,11 +1,7 @@
 """Order-based operators that never put an unbounded group into one task.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task.  That is the cheapest plan
-while no key holds more than ``ROWS_PER_TASK`` rows, which is counted first (a pass over the key
-columns alone, combined map-side), and it fails when one key holds a third of a large table.
-
-Beyond that bound the rows are range-partitioned on ``(key, order)`` into slices of
-about equal size, the window runs inside ``(slice, key)``, and what the earlier slices hold of a key
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task, which fails when one key holds
+a third of a large table.  So the rows are range-partitioned on ``(key, order)`` into slices of about equal size, the window runs inside ``(slice, key)``, and what the earlier slices hold of a key
 is carried over.  A slice boundary cuts at most one key, so the carried table has fewer than
 ``2 * slices`` rows: a proven bound, whatever the data, which makes broadcasting it safe.
 
@@ -25,8 +21,9 @@ from tallyflow.session import settle, shuffle_width
 
 SLICE = "_slice"
 
-# The most rows of one key that a single task is given.
-ROWS_PER_TASK = 1_000_000
+# True puts each key's rows into one task, in one shuffle less.  A choice of who knows that all keys are
+# small; it does not look at the data.
+ONE_TASK_PER_KEY = False
 
 
 def into_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
@@ -35,13 +32,6 @@ def into_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return settle(df.repartitionByRange(width, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
-def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Does every group stay within ``ROWS_PER_TASK``?"""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n").alias("n")).first()["n"]
-    return (largest or 0) <= ROWS_PER_TASK
-
-
 def _by_key(keys: Sequence[str]) -> list[Column]:
     return [F.col(k) for k in keys] or [F.lit(0)]
 
@@ -71,7 +61,7 @@ def running_total(
     kept = df.columns
     of_key = Window.partitionBy(*_by_key(keys))
     upto_here = [Window.unboundedPreceding, Window.currentRow]
-    if groups_fit(df, keys):
+    if ONE_TASK_PER_KEY:
         sums = {running: F.sum(value).over(of_key.orderBy(*order).rowsBetween(*upto_here))}
         if total is not None:
             sums[total] = F.sum(value).over(of_key)
@@ -108,7 +98,7 @@ def next_value(
     of_key = Window.partitionBy(*_by_key(keys))
     downwards = [F.desc(o) for o in order]
     upto_here = [Window.unboundedPreceding, Window.currentRow]
-    if groups_fit(df, keys):
+    if ONE_TASK_PER_KEY:
         from_end = of_key.orderBy(*downwards).rowsBetween(*upto_here)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(from_end))
     sliced = into_slices(df, [*keys, *order])

@@ -213,10 +213,17 @@ def commit_interval(spark, sf):
 def minibatch_size(spark, sf):
     path, out, checkpoint = _word_topic(spark, sf, "topic"), scratch_path(spark, "words"), scratch_path(spark, "checkpoint")
     reader = commits.minibatch_size(spark.readStream.schema("value STRING"), 1, "text")
-    done = commits.drain_until_complete(_append(topics.parse_json_values(reader.text(path)), out, checkpoint))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/commit={batch_id}")
+
+    sdf = topics.parse_json_values(reader.text(path))
+    writer = sdf.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    commits.drain_until_complete(writer.foreachBatch(write).start())
+    # Reports of progress are kept for the last batches only; the folders tell of all.
     parts = spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().count()
-    batches = sum(1 for p in done.recentProgress if p["numInputRows"] > 0)
-    return global_count(spark.read.parquet(out), "rows").withColumn("bounded", F.lit(batches == parts))
+    seen = spark.read.parquet(out)
+    return seen.agg(F.count(F.lit(1)).alias("rows"), (F.countDistinct("commit") == parts).alias("bounded"))
 
 
 @query("watermark_ascending", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,9 +43,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where none is named."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share (master is {master!r})")
         folder = tempfile.mkdtemp(prefix="tallyflow-")
         spark.conf.set(CHECKPOINT_CONF, folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -57,15 +61,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread the rows of an input with fewer splits than the session has cores.
-
-    A table of many files is left alone: it keeps every core busy without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint once: fixes partition ids and cuts the lineage."""
     shared_folder(df.sparkSession)

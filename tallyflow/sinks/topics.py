@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -23,12 +24,15 @@ def sink_topic_json(df: DataFrame, options: Mapping[str, str], fmt: str = "kafka
 def changelog_retractions(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Changes that turn ``old`` into ``new``: their rows with ``diff`` -1 (retracted) or 1 (inserted).
 
-    Both sides are unique in ``keys``; rows that stay the same do not appear.
+    Both sides are unique in ``keys``; rows that stay the same do not appear.  Null keys are keys like others: the
+    sides meet in a grouping, which, unlike a join, puts them together.
     """
     values = [c for c in new.columns if c not in keys]
     before = old.select(*keys, F.struct(*values).alias("_before"))
     after = new.select(*keys, F.struct(*values).alias("_after"))
-    both = before.join(after, list(keys), "full").where(~F.col("_before").eqNullSafe(F.col("_after")))
+    met = before.unionByName(after, allowMissingColumns=True).groupBy(*keys)
+    both = met.agg(F.first("_before", True).alias("_before"), F.first("_after", True).alias("_after"))
+    both = both.where(~F.col("_before").eqNullSafe(F.col("_after")))
     sides = F.array(
         F.struct(F.col("_before").alias("row"), F.lit(-1).cast("smallint").alias("diff")),
         F.struct(F.col("_after").alias("row"), F.lit(1).cast("smallint").alias("diff")),
@@ -119,4 +123,6 @@ def rows_before(batch: DataFrame, log_path: str, keys: Sequence[str], batch_id:
     if batch_id == 0:
         return batch.where("1 = 0")
     history = batch.sparkSession.read.parquet(log_path).where(F.col("commit") < batch_id)
-    return read_upserted(history.join(batch.select(*keys), list(keys), "left_semi"), keys)
+    wanted = batch.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return read_upserted(history.join(wanted, same, "left_semi"), keys)

@@ -18,8 +18,7 @@ OUT = "timestamp BIGINT, word STRING, count BIGINT, engine_time BIGINT"
 
 @pytest.fixture(autouse=True, params=["windows", "slices"])
 def either_way(request, monkeypatch):
-    if request.param == "slices":
-        monkeypatch.setattr(ordered, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(ordered, "ONE_TASK_PER_KEY", request.param == "windows")
 
 
 def timelines(seed):

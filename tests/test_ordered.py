@@ -9,9 +9,8 @@ from tallyflow.operators import aggregates as agg, joins, ordered
 
 @pytest.fixture(autouse=True, params=["windows", "slices"])
 def either_way(request, monkeypatch):
-    """Every test runs with groups that fit one task, and with none that do."""
-    if request.param == "slices":
-        monkeypatch.setattr(ordered, "ROWS_PER_TASK", 10)
+    """Every test runs with plain windows and with slices."""
+    monkeypatch.setattr(ordered, "ONE_TASK_PER_KEY", request.param == "windows")
 
 
 def skewed(seed, n=400):
@@ -151,3 +150,6 @@ def test_integrity_check_finds_faults(spark):
     changed = spark.createDataFrame([(*r, 1) for r in good[:-1]] + [(*good[-1], -1)], schema + ", diff SMALLINT")
     assert not agg.integrity_check(changed, 10).first()["ok"]
     assert verdict([], 0)
+    large = [(i, f"item_{i}", 0.5, True) for i in range(2**62, 2**62 + 4)]
+    row = agg.integrity_check(spark.createDataFrame(large, schema), 4).first()
+    assert not row["ok"] and row["sum_k"] is None and row["max_k"] == 2**62 + 3

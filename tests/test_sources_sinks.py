@@ -91,6 +91,10 @@ def test_changelog_nets_to_the_new_table(spark):
     new = spark.createDataFrame([("a", 1), ("b", 5), ("d", 1)], "word STRING, count BIGINT")
     rows = sinks.changelog_retractions(old, new, ["word"]).collect()
     assert sorted(tuple(r) for r in rows) == [("b", 2, -1), ("b", 5, 1), ("c", 3, -1), ("d", 1, 1)]
+    keyless = "word STRING, count BIGINT"
+    nulls = spark.createDataFrame([(None, 1), ("a", None)], keyless), spark.createDataFrame([(None, 1), ("a", 2)], keyless)
+    rows = sinks.changelog_retractions(*nulls, ["word"]).collect()
+    assert sorted((tuple(r) for r in rows), key=repr) == [("a", 2, 1), ("a", None, -1)]
     lines = sinks.sink_changelog_dsv(old, new, ["word"], 9).collect()
     assert sorted(r["value"] for r in lines) == ["b,2,9,-1", "b,5,9,1", "c,3,9,-1", "d,1,9,1"]
 

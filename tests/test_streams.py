@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyflow.sinks import topics as sinks
 from tallyflow.session import scratch_path
 from tallyflow.sources.files import scan_event_time_table
 from tallyflow.sources.generators import gen_backfill_stream
@@ -114,6 +115,14 @@ def test_failing_commit_is_repeated(spark, monkeypatch):
         assert ranks_at(spark, f"{folder}/state", commit) == integer_pagerank(edges[:seen], 4)
 
 
+def test_rows_before_finds_null_keys(spark):
+    log = scratch_path(spark, "log")
+    schema = "word STRING, count BIGINT"
+    sinks.sink_upsert_keyed(spark.createDataFrame([(None, 1), ("a", 4)], schema), log, ["word"], 0)
+    batch = spark.createDataFrame([(None, 2)], schema)
+    assert [tuple(r) for r in sinks.rows_before(batch, log, ["word"], 1).collect()] == [(None, 1)]
+
+
 def test_changelog_is_right_at_every_commit(spark):
     words = ["a", "b", "a", "c", "a", "b", "d", "a", "a", "a", "b", "d"]
     frame = spark.createDataFrame(list(enumerate(words)), "id BIGINT, word STRING")
