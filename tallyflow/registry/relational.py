@@ -22,6 +22,7 @@ from tallyflow.registry.base import (
     sorted_values,
     table,
 )
+from tallyflow.functions.exprs import pointer_key
 from tallyflow.session import settle
 
 DEGREES = "(select vertex, sum(d)::bigint as degree from (select u as vertex, 1 as d from e union all select v, 0 from e) group by vertex)"
@@ -408,6 +409,21 @@ def pagerank(spark, sf):
     return graph.pagerank(part_edges(spark, sf))
 
 
+LINK_CTES, LINK_LAST = pagerank_ctes("e", "l", 5)
+
+
+@query("pagerank_links", f"""
+with e as (
+  select md5(length(site) || ':' || site) as u, md5(length(link) || ':' || link) as v
+  from (select regexp_extract(url, '://([^/?#]*)', 1) as site, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as link from pages)),
+{LINK_CTES} select vertex, rank from {LINK_LAST}""")
+def pagerank_links(spark, sf):
+    """Vertices are texts, sites and what their pages link to, ranked by their pointers."""
+    links = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link")
+    named = table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("site"), links)
+    return graph.pagerank(named.select(pointer_key("site").alias("u"), pointer_key("link").alias("v")))
+
+
 def _neighbour_ctes(steps: int) -> tuple[str, str]:
     parts = [
         "d as materialized (select distinct u, v from e)",
