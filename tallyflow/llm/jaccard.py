@@ -15,7 +15,8 @@ one class, known by a 128-bit fingerprint of the set.
    can have. Sets of up to ``TINY`` tokens also use the combinations of all and of all but one of their tokens.
 3. Pairs. First each signature's most central class is paired with the others that have it, which is linear in their
    number, and verified pairs are joined into components. Then, only where a signature has classes of several
-   components, classes of different components are paired, so that a group of copies is never expanded.
+   components, classes of different components are paired, so that a group of copies is never expanded; a sketch of
+   each set gives a lower bound of how much two sets differ, which most pairs that do not link exceed.
 4. Pairs are verified by the tokens that are not in one class only: the intersection holds no others.
 """
 
@@ -38,6 +39,8 @@ NGRAM, PERCENT = 5, 80
 CLASS_BOUNDS = (64, 4096)
 #: Sets so small that no prefix is certain to hold a combination.
 TINY = 6
+#: 64-bit words of a sketch.
+SKETCH = 8
 #: Tokens of a set for each group of its frequent tokens.
 GROUP = 12
 #: Tokens of a batch that are sent to the buckets together.
@@ -55,7 +58,7 @@ def tokens_of(text: str) -> np.ndarray:
         with np.errstate(over="ignore"):
             sums = np.zeros(n, np.uint64)
             for i in range(NGRAM):
-                sums += mixed(h[i : i + n] * _MULTIPLIERS[i])
+                sums += h[i : i + n] * _MULTIPLIERS[i]
             return np.unique(mixed(sums))
     if len(h):
         with np.errstate(over="ignore"):
@@ -226,29 +229,47 @@ def shared_tokens(docs: DataFrame, width: int) -> DataFrame:
     return gathered.where(F.col("n") - F.col("shared") <= F.expr(f"n - (({PERCENT} * n + 99) div 100)")).select("fp", "n", "tokens", "df")
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``64 * SKETCH`` bits whether an odd number of tokens falls on it, as signed numbers.
+
+    Two sets differ in at least as many tokens as their sketches do in bits.
+    """
+    with np.errstate(over="ignore"):
+        at = (mixed(tokens + np.uint64(5)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def with_signatures(sets: DataFrame) -> DataFrame:
-    """``sig, fp, n, own``: ``own`` counts the tokens that no other class has."""
+    """``sig, fp, n, own, sketch``: ``own`` counts the tokens that no other class has."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "fp", "n", "own"]
+        names = ["sig", "fp", "n", "own", "sketch"]
         parts = (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500))
         for batch in parts:
-            sigs, fps, ns, owns = [np.empty(0, np.uint64)], [], [], []
+            sigs, fps, ns, owns, sketches = [np.empty(0, np.uint64)], [], [], [], [np.empty((0, SKETCH), np.int64)]
             for r in batch.to_pylist():
                 tokens, df = (np.frombuffer(b"".join(r[c]), kind) for c, kind in (("tokens", "<u8"), ("df", "<u4")))
                 s = signatures(r["n"], tokens.astype(np.uint64), df.astype(np.int64))
                 sigs.append(s), fps.extend([r["fp"]] * len(s)), ns.extend([r["n"]] * len(s)), owns.extend([r["n"] - len(tokens)] * len(s))
+                sketches.append(np.tile(sketch_of(tokens.astype(np.uint64)), (len(s), 1)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(owns, pa.int64())], names=names
-            )
+                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(owns, pa.int64()),
+                 pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(sketches).T.copy()], [f"s{i}" for i in range(SKETCH)])],
+                names=names,
+            )
 
-    return sets.mapInArrow(sign, "sig long, fp binary, n long, own long")
+    parity = ", ".join(f"s{i}: long" for i in range(SKETCH))
+    return sets.mapInArrow(sign, f"sig long, fp binary, n long, own long, sketch struct<{parity}>")
 
 
 #: Two classes share no more tokens than either shares with any, so only such pairs can link.
 FITS = f"100 * least(n_a - own_a, n_b - own_b) >= {PERCENT} * (n_a + n_b - least(n_a - own_a, n_b - own_b))"
 
 
+#: What two classes differ in, at least: their own tokens and the bits in which the sketches of the others differ.
+DIFFER = "own_a + own_b + " + " + ".join(f"bit_count(sketch_a.s{i} ^ sketch_b.s{i})" for i in range(SKETCH))
+
+
 def sets_sizes(posts: DataFrame) -> DataFrame:
     """``fp, n, own`` of the classes that share a signature."""
     return posts.select("fp", "n", "own").distinct()
@@ -297,8 +318,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reach = Window.partitionBy("sig")
     partner = F.greatest(F.least(F.col("n") - F.col("own"), F.max("n").over(reach)), F.min("n").over(reach))
     both = F.least(F.col("n") - F.col("own"), partner)
-    able = posts.select("sig", "fp", "n", "own", (100 * both >= PERCENT * (F.col("n") + partner - both)).alias("able")).where("able")
-    placed = able.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "n", "own", F.coalesce("root", "fp").alias("root"))
+    able = posts.select("sig", "fp", "n", "own", "sketch", (100 * both >= PERCENT * (F.col("n") + partner - both)).alias("able")).where("able")
+    placed = able.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "n", "own", "sketch", F.coalesce("root", "fp").alias("root"))
     mixed_sigs = placed.groupBy("sig").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("sig")
     left = stage(placed.join(mixed_sigs, "sig"), "unsettled")
     parts = left.groupBy("sig", "root").agg(F.max(F.col("n") - F.col("own")).alias("most"), F.min("n").alias("least_n"))
@@ -307,10 +328,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where(f"root < root_b and 100 * least(most, most_b) >= {PERCENT} * (least_n + least_n_b - least(most, most_b))")
         .select("sig", "root", "root_b")
     )
-    one = left.select("sig", "root", F.col("fp").alias("x"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
-    other = left.select("sig", F.col("root").alias("root_b"), F.col("fp").alias("y"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
+    one = left.select("sig", "root", F.col("fp").alias("x"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("sketch").alias("sketch_a"))
+    other = left.select("sig", F.col("root").alias("root_b"), F.col("fp").alias("y"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("sketch").alias("sketch_b"))
     crossed = (
-        apart.join(one, ["sig", "root"]).join(other, ["sig", "root_b"]).where(FITS)
+        apart.join(one, ["sig", "root"]).join(other, ["sig", "root_b"]).where(FITS).where(f"{100 + PERCENT} * ({DIFFER}) <= {100 - PERCENT} * (n_a + n_b)")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     )

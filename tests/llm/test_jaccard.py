@@ -98,3 +98,11 @@ def test_linked_sets_share_a_signature(monkeypatch, bounds):
             shared = np.array([t for t in z if int(t) not in own], np.uint64)
             s.append(set(jaccard.signatures(len(z), shared, np.array([df[int(t)] for t in shared])).tolist()))
         assert s[0] & s[1]
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 400, rng.integers(0, 300))).astype(np.uint64) for _ in range(2))
+        bits = np.unpackbits((jaccard.sketch_of(x) ^ jaccard.sketch_of(y)).view(np.uint8)).sum()
+        assert bits <= len(np.setxor1d(x, y))
