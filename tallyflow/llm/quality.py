@@ -46,6 +46,21 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
 
 
+def company(ids: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """For each bucket the sum of the index vectors of its words' neighbours, in a row; -1 parts the texts of ``ids``."""
+    total = np.zeros(BUCKETS * DIM)
+    for step in range(1, REACH + 1):
+        a, b = ids[:-step], ids[step:]
+        ok = (a >= 0) & (b >= 0)
+        for between in range(1, step):
+            ok &= ids[between : len(ids) - step + between] >= 0
+        a, b = a[ok], b[ok]
+        for x, y in ((a, b), (b, a)):
+            for e in range(ENTRIES):
+                total += np.bincount(x * DIM + places[y, e], signs[y, e], BUCKETS * DIM)
+    return total
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors of all buckets, from the neighbours of every word of ``docs`` (``text``).
 
@@ -57,16 +72,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS * DIM)
 
         def learn(ids: np.ndarray) -> None:
-            # -1 parts the texts.
-            for step in range(1, REACH + 1):
-                a, b = ids[:-step], ids[step:]
-                ok = (a >= 0) & (b >= 0)
-                if step > 1:
-                    ok &= ids[1 : len(ids) - step + 1] >= 0
-                a, b = a[ok], b[ok]
-                for x, y in ((a, b), (b, a)):
-                    for e in range(ENTRIES):
-                        np.add(total, np.bincount(x * DIM + places[y, e], signs[y, e], BUCKETS * DIM), out=total)
+            np.add(total, company(ids, places, signs), out=total)
 
         held, n = [], 0
         for batch in batches:

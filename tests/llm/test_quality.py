@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from tallyflow.llm import quality as q
 from tallyflow.llm.queries import op6_quality
@@ -8,33 +7,21 @@ DOCS = "doc_id long, text string, y int, x string"
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def test_vectors_are_sums_of_the_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(q, "BUCKETS", 64)
-    texts = ["a b c d e", "b a b", "", None, "x", "a!! b"]
+def test_vectors_are_sums_of_the_neighbours():
+    texts = ["a b c d e", "b a b", "", "x", "a!! b", "y"]
     places, signs = q.index_vectors()
-    want = np.zeros((64, q.DIM))
+    want = np.zeros((q.BUCKETS, q.DIM))
+    joined = []
     for t in texts:
-        ids = q.buckets_of(t or "")
+        ids = q.buckets_of(t)
+        joined += [ids, np.array([-1])]
         for i, x in enumerate(ids):
             for j in range(max(0, i - q.REACH), min(len(ids), i + q.REACH + 1)):
                 if j != i:
                     for e in range(q.ENTRIES):
                         want[x, places[ids[j], e]] += signs[ids[j], e]
-    norms = np.linalg.norm(want, axis=1, keepdims=True)
-    # Patched constants do not reach the workers, so the sums are made in this process.
-    got = {}
-    monkeypatch.setattr(q.DataFrame, "mapInArrow", lambda self, f, schema: got.setdefault(schema, (self, f)) and self, raising=True)
-    frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    with pytest.raises(Exception):  # noqa: B017, PT011  (only the function is wanted)
-        q.word_vectors(frame)
-    import pyarrow as pa
-
-    add = got["bucket int, part binary"][1]
-    out = np.zeros((64, q.DIM))
-    for batch in add(iter([pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts])], names=["text"])])):
-        for b, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            out[b] += np.frombuffer(part, "<f4")
-    assert np.allclose(out, want) and norms.any()
+    got = q.company(np.concatenate(joined), places, signs).reshape(q.BUCKETS, q.DIM)
+    assert np.allclose(got, want) and want.any()
 
 
 def test_network_is_calibrated_and_learns():
