@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +33,22 @@ EDIT_PERCENT = 20
 POSITIONS, THROWN = 3, 3.0
 RECALL = 0.999
 #: Texts and windows that are looked at together.
-TEXTS, WINDOWS = 2_000, 20_000
+TEXTS, WINDOWS = 10_000, 20_000
 #: Bytes of all items' words that are handed to the tasks; a larger benchmark is taken in parts.
 MOST_BYTES = 64 << 20
 
 
-def words_of(text: str) -> np.ndarray:
-    return word_hashes(WORD.findall(text.lower()))
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
-def pairs_of(words: np.ndarray) -> np.ndarray:
+def mixed_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+        return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    return mixed_pairs(words[:-1], words[1:])
 
 
 def allowed(n: int) -> int:
@@ -110,10 +115,12 @@ def keys_of(windows: np.ndarray, repeats: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Items (``ids``, ``words``) ready for tasks."""
+    """Items (``ids``, and ``texts`` as lists of words) ready for tasks."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], repeats: int) -> None:
+    def __init__(self, ids: list[int], texts: list[list[str]], repeats: int) -> None:
+        words = [word_hashes(t) for t in texts]
         self.ids, self.words, self.repeats = ids, words, repeats
+        self.vocabulary = {w: int(h) for t, hashes in zip(texts, words, strict=True) for w, h in zip(t, hashes, strict=True)}
         self.lengths = sorted({len(w) for w in words})
         self.single = np.unique(np.concatenate([w for w in words if len(w) == 1] or [np.empty(0, np.uint64)]))
         # A table by hash tells of each pair of words in items of which lengths it occurs, a bit for each
@@ -132,6 +139,11 @@ class Benchmark:
                 for r, key in enumerate(row):
                     self.tables[length][r].setdefault(key, []).append(i)
 
+    def read(self, text: str) -> np.ndarray:
+        """The words of a text; 0 for those that no item has."""
+        words = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+
     def _slot(self, pairs: np.ndarray) -> np.ndarray:
         return (pairs & np.uint64(len(self.table) - 1)).astype(np.int64)
 
@@ -141,25 +153,28 @@ class Benchmark:
             yield 1, np.flatnonzero(np.isin(words, self.single))
         if len(words) < 2:
             return
-        masks = self.table[self._slot(pairs_of(words))]
-        at = np.flatnonzero(masks)
-        if not len(at):
+        both = np.flatnonzero((words[:-1] != 0) & (words[1:] != 0))
+        pairs = mixed_pairs(words[both], words[both + 1])
+        masks = self.table[self._slot(pairs)]
+        hit = np.flatnonzero(masks)
+        if not len(hit):
             return
-        bits = masks[at]
+        at, bits, pairs = both[hit], masks[hit], pairs[hit]
         counts = (bits[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).sum(axis=0)
         for length in self.lengths:
             least = length - 1 - 2 * allowed(length)
             if length == 1 or counts[length % 64] < least:
                 continue
-            known = at[bits >> np.uint64(length % 64) & np.uint64(1) == 1]
+            own = bits >> np.uint64(length % 64) & np.uint64(1) == 1
+            known = at[own]
             if not (known[least - 1 :] - known[: len(known) - least + 1] <= length - 2).any():
                 continue
             first = np.arange(max(1, len(words) - length + allowed(length) + 1))
             low, high = np.searchsorted(known, first), np.searchsorted(known, first + length - 1)
             enough = np.flatnonzero(high - low >= least)
             # A word list that repeats one known pair has only one of the item's.
-            pairs, distinct = pairs_of(words)[known], least - self.repeated[length]
-            yield length, np.array([first[k] for k in enough.tolist() if len(set(pairs[low[k] : high[k]].tolist())) >= distinct], np.int64)
+            there, distinct = pairs[own], least - self.repeated[length]
+            yield length, np.array([first[k] for k in enough.tolist() if len(set(there[low[k] : high[k]].tolist())) >= distinct], np.int64)
 
     def search(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """For each text and item that match: the least distance, its place, and how many words there are."""
@@ -219,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL)
             parts = (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS))
             for batch in parts:
                 ids = batch.column("doc_id").to_pylist()
-                found = known.search([words_of(t) for t in batch.column("text").to_pylist()])
+                found = known.search([known.read(t) for t in batch.column("text").to_pylist()])
                 rows = [
                     {"doc_id": ids[t], "item_id": known.ids[i], "edit_distance": d, "first_word": first, "n_words": n}
                     for (t, i), (d, first, n) in found.items()
