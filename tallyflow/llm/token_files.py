@@ -16,8 +16,8 @@ is one pre-token, so the library's BPE model is asked for it without the rest of
 from __future__ import annotations
 
 import os
-import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +30,11 @@ from tallyflow.llm.common import stage, text_or_empty
 from tallyflow.session import scratch_path, shuffle_width
 
 #: Pieces a worker remembers; the table is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Below it, what Python calls a letter is one for the pattern, whatever the versions of Unicode.
 LATIN_END = "\u0250"
 MANIFEST = "part int, n_docs long, n_nulls long, n_tokens long, stem string"
-#: A space before another white space, or any at the ends, makes pieces depend on each other.
-TANGLED = re.compile(r" (?=\s)|\s\Z")
+
 
 def _byte_characters() -> dict[int, str]:
     """Byte-level vocabularies show a byte by its Latin-1 character where that prints, else by the next from 256 on."""
@@ -59,6 +58,8 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.line_feed = self._packed(["\n"])[0]
         self.seen: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
 
@@ -73,40 +74,62 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in done]
 
-    def _word(self, word: str) -> bytes:
-        """A space and Latin letters: one pre-token, in the characters that stand for its bytes."""
-        shown = (" " + word).encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        rest = []
+    def _word(self, word: str, space: str) -> bytes:
+        """Latin letters with or without a space before: one pre-token, in the characters that stand for its bytes."""
+        shown = space + word if word.isascii() else space + word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _line(self, text: str, space: str) -> bytes | None:
+        """A word and the points or commas behind it; None if the text is anything else."""
+        word = text.rstrip(".,")
+        if not word.isalpha() or max(word) >= LATIN_END:
+            return None
+        if word == text:
+            return self._word(word, space)
+        end = text[len(word) :]
+        if end not in self.ends:
+            self.ends[end] = self._packed([end])[0]
+        known = self.seen.get(word) if space else None
+        return (known or self._word(word, space)) + self.ends[end]
+
+    def _piece(self, piece: str, space: str) -> bytes | None:
+        """A piece whose lines are words; a line feed before a letter is a pre-token of its own."""
+        first, *more = [piece] if piece.isalpha() else piece.split("\n")
+        out = [self._line(first, space)]
+        for line in more:
+            out += [self.line_feed, self._line(line, "")]
+        return None if None in out else b"".join(out)
+
+    def _learn(self, pieces: set[str]) -> bool:
+        """Encode pieces that a space was cut from; False if one of them hangs together with the next space."""
+        rest, space, seen = [], BYTE_CHARACTERS[32], self.seen
+        tokenize, code = self.model.tokenize, self.code
         for piece in pieces:
-            word = piece.rstrip(".,")
-            if not word.isalpha() or max(word) >= LATIN_END:
+            if piece.isascii() and piece.isalpha():  # most of them: the short way
+                seen[piece] = array(code, [t.id for t in tokenize(space + piece)]).tobytes()
+            elif not piece or piece[0].isspace():
+                return False
+            elif (packed := self._piece(piece, space)) is not None:
+                seen[piece] = packed
+            else:
                 rest.append(piece)
-                continue
-            if word not in self.seen:
-                self.seen[word] = self._word(word)
-            if word != piece:
-                end = piece[len(word) :]
-                if end not in self.ends:
-                    self.ends[end] = self._packed([end])[0]
-                self.seen[piece] = self.seen[word] + self.ends[end]
-        self.seen.update(zip(rest, self._packed([" " + p for p in rest]), strict=True))
+        if rest:
+            seen.update(zip(rest, self._packed([" " + p for p in rest]), strict=True))
+        return True
 
     def encode(self, text: str) -> bytes:
-        if TANGLED.search(text):
-            return self._packed([text])[0]
-        pieces = text.split(" ")
         # All pieces but the first one begin with the space that was cut out; the key leaves it out.
-        first, rest = pieces[0], pieces[1:]
+        first, *rest = text.split(" ")
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.ends.clear()
         seen = self.seen
-        if new := {p for p in rest if p not in seen}:
-            self._learn(new)
-        head = self._packed([first])[0] if first else b""
+        new = {p for p in rest if p not in seen}
+        if new and not self._learn(new):
+            return self._packed([text])[0]
+        head = b""
+        if first:
+            head = self._piece(first, "") or self._packed([first])[0]
         return head + b"".join(map(seen.__getitem__, rest))
 
 
