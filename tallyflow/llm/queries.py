@@ -164,4 +164,4 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op1_secret_scan")
 def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return secret_scan.secrets(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return secret_scan.secret_spans(table(spark, sf, "documents").select("doc_id", "text", "source"))

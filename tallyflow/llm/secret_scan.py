@@ -10,6 +10,7 @@ document with a million of them is no different from any other.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -27,25 +28,51 @@ DICTIONARY, SHORT = 150, r"(?<![\p{L}\d])[a-z]{2,6}(?![\p{L}\d])"
 LABELLED = 3_000
 TREES, DEPTH = 20, 5
 THRESHOLD = 0.5
+#: Candidates whose lengths are summed together on the way to their positions.
+BLOCK = 128
 MASK = "[SECRET]"
 
 NAMING = r"(?i)(pass(word|wd)?|token|secret|key|auth|bearer|credential)[\w-]*[\"'\s:=]*$"
 FEATURES = ("chars", "kinds", "digits", "uppers", "covered", "steps", "sample_path", "named", "assigned", "quoted", "hex")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _starts(f: Column) -> Column:
+    """Where each of ``f.matches`` begins, from 0: the lengths of all ``f.pieces`` and matches before, summed by blocks."""
+    zero = F.lit(0).cast("bigint")
+    total = lambda numbers: F.aggregate(numbers, zero, lambda a, b: a + b)
+    n = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("bigint")
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+
+    def of_lengths(lengths: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), block(F.size(lengths) - 1)), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+        bases = let(blocks, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))))
+        return let(bases, lambda base: F.transform(
+            f["matches"],
+            lambda _, i: F.get(base, block(i)) + total(F.slice(lengths, block(i) * BLOCK + 1, i % BLOCK)) + n(F.get(f["pieces"], i)),
+        ))
+
+    return let(F.zip_with(f["pieces"], f["matches"], lambda piece, match: n(piece) + n(match)), of_lengths)
+
+
 def candidates(text: Column, source: Column, dictionary: list[str]) -> Column:
-    """Array of a text's distinct candidates: ``candidate, start`` (from 0, of its first occurrence) and the features."""
+    """Array of all candidates of a text, each as often as it occurs: ``candidate, start`` (from 0) and the features."""
     words = "|".join(sorted(map(re.escape, dictionary), key=lambda w: (-len(w), w))) or r"(?!)"
 
-    def described(c: Column) -> Column:
-        start = F.call_function("instr", text, c)
+    def described(f: Column, starts: Column, c: Column, i: Column) -> Column:
         n = F.length(c)
-        before = text.substr(F.greatest(start - BESIDE, F.lit(1)), F.least(start - 1, F.lit(BESIDE)))
-        after = text.substr(start + n, F.lit(BESIDE))
+        # As candidates have half of BESIDE or more, two of them and the pieces around hold all that counts as beside.
+        near = [F.get(f["pieces"], i - 2), F.get(f["matches"], i - 2), F.get(f["pieces"], i - 1), F.get(f["matches"], i - 1), F.get(f["pieces"], i)]
+        before = F.substring(F.concat_ws("", *near), -BESIDE, BESIDE)
+        after = F.get(f["pieces"], i + 1)
         share = lambda pattern: (n - F.length(F.regexp_replace(c, pattern, ""))) / n
         flag = lambda condition: condition.cast("double")
         return F.struct(
-            c.alias("candidate"), (start - 1).alias("start"),
+            c.alias("candidate"), F.get(starts, i).alias("start"),
             n.cast("double").alias("chars"),
             (F.length(F.regexp_replace(c, "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+", "x")) / n).alias("kinds"),
             share("[0-9]").alias("digits"), share("[A-Z]").alias("uppers"),
@@ -55,7 +82,8 @@ def candidates(text: Column, source: Column, dictionary: list[str]) -> Column:
             flag(after.rlike("^[\"']")).alias("quoted"), flag(c.rlike("^[0-9a-fA-F]+$")).alias("hex"),
         )
 
-    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(SHAPE), F.lit(0))), described)
+    found = F.struct(F.regexp_extract_all(text, F.lit(SHAPE), F.lit(0)).alias("matches"), F.split(text, SHAPE, -1).alias("pieces"))
+    return let(found, lambda f: let(_starts(f), lambda starts: F.transform(f["matches"], lambda c, i: described(f, starts, c, i))))
 
 
 def dictionary_of(docs: DataFrame) -> list[str]:
@@ -113,8 +141,8 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | float:
 def with_findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with an array ``findings`` (``candidate, start, n_chars, score``) of the secrets in ``text``.
 
-    Null and empty texts have none; a null ``source`` is an empty path. A candidate that occurs again in its text is one
-    finding. ``labelled`` holds findings with a label ``y`` and the features; without it they are labelled by form.
+    Null and empty texts have none; a null ``source`` is an empty path. Each place of a candidate is judged by what stands
+    beside it; where one is a secret, all places of it in the text are findings, each with its own score. ``labelled`` holds findings with a label ``y`` and the features; without it they are labelled by form.
     Repeated rows, null ids and other columns stay as they are.
     """
     dictionary = dictionary_of(docs)
@@ -122,21 +150,35 @@ def with_findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
     score = lambda x: F.lit(model) if isinstance(model, float) else forest_score(model, x)
     scored = F.transform(
         candidates(text_or_empty("text"), F.coalesce("source", F.lit("")), dictionary),
-        lambda x: F.struct(x["candidate"].alias("candidate"), x["start"].cast("bigint").alias("start"), x["chars"].cast("bigint").alias("n_chars"), score(x).alias("score")),
+        lambda x: F.struct(x["candidate"].alias("candidate"), x["start"].alias("start"), x["chars"].cast("bigint").alias("n_chars"), score(x).alias("score")),
     )
-    return docs.withColumn("findings", F.filter(scored, lambda f: f["score"] >= THRESHOLD))
+    names = lambda places: F.array_distinct(F.transform(F.filter(places, lambda f: f["score"] >= THRESHOLD), lambda f: f["candidate"]))
+    every = lambda places: let(names(places), lambda known: F.filter(places, lambda f: F.array_contains(known, f["candidate"])))
+    return docs.withColumn("findings", let(scored, every))
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with each secret of ``text`` replaced; texts without any, and all other columns, as they were."""
     columns = docs.columns
-    clean = F.aggregate("findings", F.col("text"), lambda text, f: F.replace(text, f["candidate"], F.lit(MASK)))
+    # Long ones first: a secret within another one would leave the other's rest.
+    by_length = F.array_sort(F.array_distinct(F.transform("findings", lambda f: F.struct((-f["n_chars"]).alias("k"), f["candidate"].alias("candidate")))))
+    clean = F.aggregate(by_length, F.col("text"), lambda text, f: F.replace(text, f["candidate"], F.lit(MASK)))
     return with_findings(docs, labelled).select(*[clean.alias(c) if c == "text" else F.col(c) for c in columns])
 
 
-def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``doc_id, start, n_chars, secret_sha256, score``: a row for each secret of each row of ``docs``, not the secret itself."""
-    found = with_findings(docs.select("doc_id", "text", "source"), labelled)
+def _rows(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode("findings").alias("f")).select(
         "doc_id", "f.start", "f.n_chars", F.sha2("f.candidate", 256).alias("secret_sha256"), "f.score"
     )
+
+
+def secret_spans(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """``doc_id, start, n_chars, secret_sha256, score``: a row for each place of each secret of each row of ``docs``."""
+    return _rows(with_findings(docs.select("doc_id", "text", "source"), labelled))
+
+
+def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """As ``secret_spans``, but one row for each secret of each row of ``docs``, that of its first place."""
+    found = with_findings(docs.select("doc_id", "text", "source"), labelled)
+    first = lambda names: F.filter("findings", lambda f, i: F.array_position(names, f["candidate"]) == i + 1)
+    return _rows(found.withColumn("findings", let(F.transform("findings", lambda f: f["candidate"]), first)))

@@ -68,3 +68,31 @@ def test_empty_and_unlabelled(spark):
     assert s.secrets(docs.limit(0)).count() == 0
     none = s.labelled_by_form(docs.limit(0), [])
     assert s.secrets(docs.where("doc_id is null"), none).count() == 1
+
+
+def test_every_place_has_a_span_of_its_own(spark):
+    docs, key = documents(spark)
+    sevens = "0a1b2c3d4e5f6a7b70"
+    many = " é😀 ".join(f"{'=' * (i % 3)}Abcdefghijklmnop{i:04d}" for i in range(700))
+    late = f"line the {sevens} of log and then password={sevens} and"
+    more = spark.createDataFrame([(200, late, "src", 1, "s"), (201, f"{key},{key} {key}", "src", 1, "s"), (202, many, "src", 1, "s")], DOCS)
+    docs = docs.union(more)
+    got = {}
+    for r in s.secret_spans(docs).where("doc_id in (200, 201)").collect():
+        got.setdefault(r.doc_id, set()).add((r.start, r.n_chars))
+    n = len(sevens)
+    assert got == {200: {(late.find(sevens), n), (late.rfind(sevens), n)}, 201: {(0, 20), (21, 20), (42, 20)}}
+    assert {r.text for r in s.redacted(docs).where("doc_id = 200").collect()} == {late.replace(sevens, "[SECRET]")}
+    all_of = s.secret_spans(more, s.labelled_by_form(docs.limit(0), []))
+    places = {(r.doc_id, r.start, r.n_chars) for r in all_of.collect()}
+    assert places == {(r.doc_id, m.start(), len(m.group())) for r in more.collect() for m in re.finditer(s.SHAPE, r.text)} and len(places) == 705
+
+
+def test_every_place_in_the_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text like '%token = \"%'")
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = {(i, m.start()) for i, t in texts for m in re.finditer('(?<=token = ")[0-9a-f]{40}', t)}
+    labelled = s.labelled_by_form(docs, [])
+    assert want <= {(r.doc_id, r.start) for r in s.secret_spans(docs, labelled).collect()}
+    assert len(want) > len({(i, t[a : a + 40]) for i, a in want for j, t in texts if i == j})
