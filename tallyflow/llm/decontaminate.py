@@ -16,14 +16,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyflow.llm.common import stage, text_or_empty
+from tallyflow.llm.common import text_or_empty
 from tallyflow.llm.text import mixed, word_hashes
 
 WORD = re.compile(r"\w+")
@@ -218,21 +218,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL)
     Repeated documents come out as often; equal ids of items count once for each text. Tasks get the items
     in parts of bounded size; extra columns are left behind; an empty table on either side gives an empty result.
     """
-    repeats = repetitions(recall)
-    usable = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), text_or_empty("text").alias("text")).distinct()
-    size = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // MOST_BYTES))
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
     out = None
-    for p in range(parts):
-        items = [(r.item_id, words_of(r.text)) for r in usable.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).toLocalIterator()]
-        items = [(i, w) for i, w in items if len(w)]
-        shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in items], [w for _, w in items]))
+    for begin in searchers(benchmark, recall):
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Benchmark(*shared.value, repeats)
-            parts = (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS))
-            for batch in parts:
+        def scan(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
+            known = begin()
+            for batch in _slices(batches):
                 ids = batch.column("doc_id").to_pylist()
                 found = known.search([known.read(t) for t in batch.column("text").to_pylist()])
                 rows = [
@@ -246,10 +238,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL)
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS))
+
+
+def searchers(benchmark: DataFrame, recall: float = RECALL) -> list[Callable[[], Benchmark]]:
+    """What tasks call for the items that they search for, one for each part of bounded size."""
+    repeats = repetitions(recall)
+    usable = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), text_or_empty("text").alias("text")).distinct()
+    size = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // MOST_BYTES))
+    out = []
+    for p in range(parts):
+        items = [(r.item_id, words_of(r.text)) for r in usable.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).toLocalIterator()]
+        items = [(i, w) for i, w in items if len(w)]
+        shared = benchmark.sparkSession.sparkContext.broadcast(([i for i, _ in items], [w for _, w in items]))
+        out.append(lambda shared=shared: Benchmark(*shared.value, repeats))
+    return out
+
+
 def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, less those that hold an item; rows with a null id are judged by their text.
+    """``docs`` with all its columns (of types that Arrow has), less the rows whose text holds an item.
 
-    Ids are unique here; where they repeat, all rows of an id go with the one that holds an item.
+    Each row is judged by its own text, whatever its id and whichever other rows have that id.
     """
-    bad = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    for begin in searchers(benchmark):
+
+        def keep(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
+            known = begin()
+            for batch in _slices(batches):
+                held = {t for t, _ in known.search([known.read(t or "") for t in batch.column("text").to_pylist()])}
+                yield batch.filter(pa.array([t not in held for t in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

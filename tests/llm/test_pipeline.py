@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tallyflow.llm import toxicity
+from tallyflow.llm import decontaminate, toxicity
 from tests.llm.test_decontaminate import least, words
 from tests.llm.test_jaccard import brute
 from tests.llm.test_secret_scan import TRUE
@@ -39,6 +39,28 @@ def test_stages_take_odd_rows(spark, sf, k):
     assert function(spark, docs.limit(0), sf).count() == 0
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_are_told_apart_without_ids(spark, sf, shared):
+    """A bad and a clean row of the same id, or of none, have each their own fate."""
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = lambda function, texts: sorted(
+        (r.text for r in function(spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(texts)], docs)).collect()), key=str
+    )
+    clean = "plain words of no group at all here"
+    labels = spark.createDataFrame([(i, int(i < 140)) for i in range(100, 200)], "doc_id long, toxic int")
+    taught = [(i, f"the {'moron' if i < 140 else 'house'} thing{i} number{i}") for i in range(100, 200)]
+    rest = kept(lambda d: toxicity.without_toxic(d, labels), [*taught, (shared, clean), (shared, "what a moron"), (shared, None)])
+    assert {clean, None} <= set(rest) and "what a moron" not in rest
+    item = spark.createDataFrame([(5, "a b c d e f g h")], "item_id long, text string")
+    texts = [(shared, clean), (shared, "x a b c d e f g h y"), (shared, None)]
+    assert kept(lambda d: decontaminate.without_items(d, item), texts) == [None, clean]
+    one = " ".join(f"w{k}" for k in range(40))
+    texts = [(shared, one), (shared, one), (shared, one + " more"), (shared, clean), (shared, None), (shared, ""), (shared, "")]
+    assert len(kept(lambda d: corpus_pipeline.drop_near_duplicates(spark, d, sf), texts)) == 5
+    texts = [(None, one), (9, one + " more"), (3, one + " end"), (3, one + " end")]
+    assert kept(lambda d: corpus_pipeline.drop_near_duplicates(spark, d, sf), texts) == [one + " end"]
+
+
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
