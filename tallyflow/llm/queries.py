@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import byte_bpe, decontaminate, jaccard, near_vectors, quality, reply_trees, secret_scan, token_files, toxicity, url_filter, whitening
+from tallyflow.llm import byte_bpe, decontaminate, jaccard, language_id, near_vectors, quality, reply_trees, secret_scan, token_files, toxicity, url_filter, whitening
 from tallyflow.llm.common import QUERIES, ORACLES, query, table  # noqa: F401
 
 RULES = [
@@ -172,3 +172,8 @@ def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
     done = whitening.whitened(table(spark, sf, "embeddings").select("vec_id", "embedding"), 32)
     # A deviation that passes 64 bits is null here; the operator has it as a decimal.
     return done.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.languages(table(spark, sf, "documents").select("doc_id", "text", "lang"))
