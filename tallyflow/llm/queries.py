@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import byte_bpe, decontaminate, jaccard, language_id, near_vectors, quality, reply_trees, secret_scan, token_files, toxicity, url_filter, whitening
+from tallyflow.llm import byte_bpe, decontaminate, jaccard, language_id, near_vectors, phrases, quality, reply_trees, secret_scan, token_files, toxicity, url_filter, whitening
 from tallyflow.llm.common import QUERIES, ORACLES, query, table  # noqa: F401
 
 RULES = [
@@ -177,3 +177,41 @@ def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_language_id")
 def op12_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.languages(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+
+
+#: Every phrase and every cut spelt out, without a tree.
+PHRASES_SQL = r"""
+    with pieces as (
+      select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+      from documents),
+    words as materialized (
+      select lang, row_number() over () as piece, w from (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces) where len(w) > 0),
+    totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+    grams as (
+      select lang, w[i : i + k - 1] as p, k
+      from (select lang, w, unnest(range(1, len(w) + 1)) as i from words), (select unnest(range(1, 6)) as k) where i + k - 1 <= len(w)),
+    counts as materialized (
+      select lang, array_to_string(p, ' ') as phrase, any_value(p) as p, k, count(*) as f from grams group by lang, phrase, k having count(*) >= 100),
+    cuts as (
+      select c.lang, c.phrase, c.p, c.k, c.f as a, x.f as l, y.f as r, i, n, ((1000::hugeint * c.f * n) // (x.f::hugeint * y.f))::bigint as score
+      from (select *, unnest(range(1, k)) as i from counts where k >= 2) c
+      join totals using (lang)
+      join counts x on x.lang = c.lang and x.phrase = array_to_string(c.p[1 : i], ' ')
+      join counts y on y.lang = c.lang and y.phrase = array_to_string(c.p[i + 1 :], ' ')),
+    weakest as (
+      select lang, phrase, any_value(p) as p, k, a, n, min(score) as score, arg_min(l, score * 8 + i) as l, arg_min(r, score * 8 + i) as r
+      from cuts group by lang, phrase, k, a, n),
+    inside as (
+      select distinct lang, array_to_string(p[i : j], ' ') as phrase, f
+      from (select *, unnest(range(i, k + 1)) as j from (select *, unnest(range(1, k + 1)) as i from counts)) where j - i + 1 between 2 and k - 1),
+    kept as (
+      select * from weakest w
+      where not exists (select 1 from inside s where s.lang = w.lang and s.phrase = w.phrase and 100 * s.f >= 100 * w.a))
+    select lang, rank, phrase, a, l, r, n, score
+    from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000"""
+
+
+@query("op11_phrases", PHRASES_SQL)
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents").select("lang", "text"), 100, 2000)
