@@ -1,9 +1,9 @@
 """Phrase collocations by vertical partitioning of depth-truncated suffix trees over words.
 
 Every word of a piece of text begins a suffix of at most ``DEPTH`` words. A first pass over the texts counts words and
-pairs of neighbours in 2 ** 32 buckets; a suffix ends before the first pair whose bucket holds fewer than ``least``
-occurrences, as no phrase with that pair can be frequent. What is left is told by prefixes: prefixes of one
-word fall in classes, classes that hold more suffixes than the memory budget are extended by the next word, again and
+pairs of neighbours in 2 ** 32 buckets, a second one longer runs of pairs whose buckets hold ``least`` occurrences; a
+suffix ends before its first beginning whose bucket holds fewer, as no phrase around it can be frequent. What is left is
+told by prefixes: prefixes of one word fall in classes, classes that hold more suffixes than the memory budget are extended by the next word, again and
 again, and classes are packed into groups of about one budget. Each group is one task that sorts its suffixes
 and builds their subtree from the outside in: equal suffixes are a leaf with a total, and the count of an inner node, a
 phrase, is the sum of its leaves. Nodes above an extended prefix have leaves in several groups; their partial
@@ -27,6 +27,8 @@ from tallyflow.llm.text import mixed
 from tallyflow.session import shuffle_width
 
 DEPTH, LEAST, TOP = 5, 100, 2000
+#: Words of the runs that the first pass counts.
+PAIRS = 2
 UNKNOWN = "und"
 
 #: Suffixes (distinct ones of a task of the pass before) that a group holds, about; classes of prefixes of one length.
@@ -34,7 +36,7 @@ BUDGET, CLASSES = 1_000_000, 1 << 13
 #: Ranges of buckets, each counted by itself; bits of the table of frequent buckets, whose size is fixed.
 RANGES, BITS = 256, 1 << 26
 #: Bytes of text, and words or suffixes, that a task looks at together or holds before it passes them on.
-CHUNK, HELD = 1 << 19, 1 << 21
+CHUNK, HELD = 1 << 19, 1 << 19
 
 #: For each byte 0 in a word, 1 for blanks between words, 2 between pieces; A-Z as a-z.
 _KIND = np.zeros(256, np.uint8)
@@ -116,12 +118,29 @@ class Words:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]
         self.hash, self.piece, self.begin, self.end, self.doc = columns
 
-    def pairs(self) -> np.ndarray:
-        """Hashes of the pairs of each word and the next one; 0 where a piece ends."""
-        h = np.zeros(len(self.hash), np.uint64)
-        if len(h) > 1:
-            h[:-1] = np.where(self.piece[1:] == self.piece[:-1], mixed(self.hash[:-1] + mixed(self.hash[1:])) | np.uint64(1), 0)
-        return h
+    def grams(self, tables: list[np.ndarray], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1, 2, ... ``longest`` words: where a run of so many begins, and its hash.
+
+        With the first of ``tables`` runs with a pair that is not frequent are left out, with the second one longer runs
+        that begin with a run that is not, and words of no frequent pair.
+        """
+        at, g, on = np.arange(len(self.hash)), self.hash, None
+        for k in range(1, longest + 1):
+            if k > 1:
+                go = at + k - 1 < len(self.hash)
+                go[go] = self.piece[at[go] + k - 1] == self.piece[at[go]]
+                if on is not None:
+                    go[go] = on[at[go] + k - 2]  # the pair that ends the run
+                at, g = at[go], g[go]
+                g = mixed(g + mixed(self.hash[at + k - 1])) | np.uint64(1)
+            table = tables[0] if tables and k == PAIRS or len(tables) == 1 and k < PAIRS else tables[1] if len(tables) > 1 else None
+            if table is not None:
+                often = _frequent(g, table)
+                at, g = at[often], g[often]
+                if k == PAIRS:
+                    on = np.zeros(len(self.hash), bool)
+                    on[at] = True
+            yield at, g
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
@@ -143,14 +162,17 @@ def bucket_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def counted_buckets(texts: DataFrame) -> DataFrame:
-    """Per task: rows of ``lang, n`` (words) and rows of ``part, buckets`` (counts of the words' and pairs' buckets).
+def counted_buckets(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """Per task: rows of ``lang, n`` (words) and rows of ``part, buckets``, counts of the buckets of runs of words.
 
-    A bucket takes 32 bits: 24 tell it within its range of buckets, 8 its count, of which 255 stands for more.
+    Without ``tables`` runs of one and two words are counted, with the first table the longer ones that it leaves over and the
+    words of frequent pairs. A bucket takes 32 bits: 24 tell it within its range of buckets, 8 its count, of which 255 stands for more.
     """
+    broadcast = texts.sparkSession.sparkContext.broadcast(tables)
     schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("part", pa.int32()), ("buckets", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = broadcast.value
         words: dict[str, int] = {}
         held, size = [], 0
 
@@ -166,10 +188,14 @@ def counted_buckets(texts: DataFrame) -> DataFrame:
         for w, langs in _words(batches):
             for doc, n in enumerate(np.bincount(w.doc, minlength=len(langs)).tolist()):
                 words[langs[doc]] = words.get(langs[doc], 0) + n
-            pairs = w.pairs()
-            held += [bucket_of(w.hash), bucket_of(pairs[pairs > 0])]
-            size += 2 * len(w.hash)
-            if size > 2 * HELD:
+            grams = list(w.grams(tables, DEPTH if tables else PAIRS))
+            if tables:
+                # Words of frequent pairs: each as often as it is in one.
+                at = grams[PAIRS - 1][0]
+                grams[:PAIRS] = [(at, w.hash[at]), (at, w.hash[at + 1])]
+            held += [bucket_of(g) for _, g in grams]
+            size += sum(len(g) for _, g in grams)
+            if size > 8 * HELD:
                 yield from flush()
                 size = 0
         if held:
@@ -184,22 +210,24 @@ def frequent_buckets(counted: DataFrame, least: int) -> np.ndarray:
     fold = (1 << 32) // BITS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        bits: dict[int, np.ndarray] = {}
+        """Rows come sorted by range, so that one range is counted at a time."""
+        total, current = np.zeros(1 << 24, np.uint8), None
+
+        def bits() -> pa.RecordBatch:
+            found = np.packbits((total >= least).reshape(-1, fold).any(axis=1)).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([found], pa.binary())], names=["part", "bits"])
+
         for batch in batches:
-            for part, packed in zip(batch.column("part").to_pylist(), batch.column("buckets").to_pylist(), strict=True):
-                if part not in held:
-                    held[part] = np.zeros(1 << 24, np.uint8)
-                told = np.frombuffer(packed, np.uint32)
+            for part, packed in zip(batch.column("part"), batch.column("buckets"), strict=True):
+                if part.as_py() != current:
+                    if current is not None:
+                        yield bits()
+                    total[:], current = 0, part.as_py()
+                told = np.frombuffer(packed.as_buffer(), np.uint32)
                 at, n = told >> np.uint32(8), (told & np.uint32(255)).astype(np.uint16)
-                held[part][at] = np.minimum(held[part][at] + n, 255).astype(np.uint8)
-            # Rows come sorted by range: all but the last one are complete.
-            for part in sorted(held)[:-1]:
-                bits[part] = np.packbits((held.pop(part) >= least).reshape(-1, fold).any(axis=1))
-        for part, total in held.items():
-            bits[part] = np.packbits((total >= least).reshape(-1, fold).any(axis=1))
-        for part, found in bits.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["part", "bits"])
+                total[at] = np.minimum(total[at] + n, 255).astype(np.uint8)
+        if current is not None:
+            yield bits()
 
     told = counted.where("part is not null").select("part", "buckets")
     dealt = told.repartition(min(RANGES, shuffle_width(counted.sparkSession)), "part").sortWithinPartitions("part")
@@ -230,34 +258,40 @@ def _distinct(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
-def suffixes(texts: DataFrame, table: np.ndarray) -> DataFrame:
+def suffixes(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
     """Partial counts of suffixes as ``w1..w5, n, lang`` (0 after the last word), and words of phrases as ``key, word``.
 
-    A task passes on the distinct suffixes of each ``HELD`` words.
+    A task adds up equal suffixes as it goes and passes them on when it holds ``HELD`` different ones.
     """
-    broadcast = texts.sparkSession.sparkContext.broadcast(table)
+    broadcast = texts.sparkSession.sparkContext.broadcast(tables)
     schema = pa.schema([*[(k, pa.int64()) for k in KEYS], ("n", pa.int64()), ("lang", pa.string()), ("key", pa.binary()), ("word", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = broadcast.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        tables = broadcast.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         codes: dict[str, int] = {}
         spelled: dict[int, str] = {}
         size = 0
 
+        def add_up() -> int:
+            rows, n, lang = (np.concatenate(c) for c in zip(*held, strict=True))
+            at, n = _distinct(rows, n)
+            held[:] = [(rows[at], n, lang[at])]
+            return len(at)
+
         def flush() -> Iterator[pa.RecordBatch]:
-            rows, lang = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            at, n = _distinct(rows, np.ones(len(rows), np.int64))
             names = pa.array(list(codes))
-            rows, lang = rows[at], lang[at]
-            for first in range(0, len(at), 1 << 16):
-                part = slice(first, first + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c.view(np.int64)) for c in np.ascontiguousarray(rows[part].T)], pa.array(n[part]), names.take(pa.array(lang[part])),
-                     pa.nulls(len(at[part]), pa.binary()), pa.nulls(len(at[part]), pa.string())],
-                    schema=schema,
-                )
+            for all_rows, all_n, all_lang in held:
+                order = np.lexsort(all_rows.T[::-1])  # like stands beside like, which packs well
+                for first in range(0, len(order), 1 << 16):
+                    at = order[first : first + (1 << 16)]
+                    rows, n, lang = all_rows[at], all_n[at], all_lang[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array(c.view(np.int64)) for c in np.ascontiguousarray(rows.T)], pa.array(n), names.take(pa.array(lang)),
+                         pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.string())],
+                        schema=schema,
+                    )
+            held.clear()
             if spelled:
                 words = pa.array([np.uint64(h).byteswap().tobytes() for h in spelled], pa.binary())
                 empty = pa.nulls(len(spelled), pa.int64())
@@ -265,32 +299,28 @@ def suffixes(texts: DataFrame, table: np.ndarray) -> DataFrame:
                 spelled.clear()
 
         for w, langs in _words(batches):
-            often = _frequent(w.hash, table)
-            pairs = w.pairs()
-            on = (pairs > 0) & often & _frequent(pairs, table)
-            on[:-1] &= often[1:]
-            alive = np.concatenate([on, np.zeros(DEPTH, bool)])
-            first = np.flatnonzero(often)
-            rows = np.zeros((len(first), DEPTH), np.uint64)
-            rows[:, 0] = w.hash[first]
-            goes_on = np.ones(len(first), bool)
-            for d in range(1, DEPTH):
-                goes_on &= alive[first + d - 1]
-                rows[goes_on, d] = w.hash[first[goes_on] + d]
+            where, in_phrase = np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash), bool)
+            for k, (at, _) in enumerate(w.grams(tables, DEPTH)):
+                if k == 0:
+                    first = at
+                    rows = np.zeros((len(first), DEPTH), np.uint64)
+                    where[first] = np.arange(len(first))
+                rows[where[at], k] = w.hash[at + k]
+                if k == 1:
+                    in_phrase[at] = in_phrase[at + 1] = True
             told = np.array([codes.setdefault(lang, len(codes)) for lang in langs], np.int64)
-            held.append((rows, told[w.doc[first]]))
-            in_phrase = on.copy()
-            in_phrase[1:] |= on[:-1]
-            hashes, where = np.unique(w.hash[in_phrase], return_index=True)
-            where = np.flatnonzero(in_phrase)[where]
-            for h, i in zip(hashes.tolist(), where.tolist(), strict=True):
+            held.append((rows, np.ones(len(rows), np.int64), told[w.doc[first]]))
+            hashes, one = np.unique(w.hash[in_phrase], return_index=True)
+            for h, i in zip(hashes.tolist(), np.flatnonzero(in_phrase)[one].tolist(), strict=True):
                 if h not in spelled:
                     spelled[h] = _LOWER[w.data[w.begin[i] : w.end[i]]].tobytes().decode()
             size += len(first)
-            if size > HELD or len(spelled) > HELD // 8:
+            if size > HELD and (add_up() > HELD // 2 or len(spelled) > HELD // 8):
                 yield from flush()
-                size = 0
+            if size > HELD:
+                size = sum(len(n) for _, n, _ in held)
         if held:
+            add_up()
             yield from flush()
 
     return texts.mapInArrow(cut, ", ".join(f"{k} long" for k in KEYS) + ", n long, lang string, key binary, word string")
@@ -389,9 +419,11 @@ def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, Data
     Single words are there if they may be in a phrase. ``key`` holds eight bytes a word.
     """
     spark = texts.sparkSession
-    counted = stage(counted_buckets(texts), "buckets")
+    counted = stage(counted_buckets(texts, []), "buckets")
     words = counted.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    cut = stage(suffixes(texts, frequent_buckets(counted, least)), "suffixes")
+    short = frequent_buckets(counted, least)
+    longer = frequent_buckets(counted_buckets(texts, [short]), least)
+    cut = stage(suffixes(texts, [short, longer]), "suffixes")
     leaves = cut.where("word is null").select(*KEYS, "n", "lang")
     spelled = cut.where("word is not null").groupBy("key").agg(F.min("word").alias("word"))
     width = shuffle_width(spark)

@@ -69,8 +69,9 @@ def words_of(texts, chunk, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], names=["lang", "text"])
     out = []
     for w, _ in ph._words(iter([batch.slice(1)])):
+        pairs = set(list(w.grams([], 2))[1][0].tolist())
         for k in range(len(w.hash)):
-            out.append((w.hash[k], w.data[w.begin[k] : w.end[k]].tobytes().decode().translate(LOWER), bool(w.pairs()[k])))
+            out.append((w.hash[k], w.data[w.begin[k] : w.end[k]].tobytes().decode().translate(LOWER), k in pairs))
     return out
 
 
