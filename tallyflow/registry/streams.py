@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tallyflow.functions.exprs import increment, ts_from_id
+from tallyflow.functions.exprs import batch_of_id, increment, ts_from_id
 from tallyflow.operators.aggregates import global_count
 from tallyflow.registry.base import (
     COMMITS,
@@ -31,10 +30,10 @@ WORD_COMMITS = "id BIGINT, word STRING, commit_id BIGINT"
 COMMIT_OF_EDGE = "case when id + 1 <= start then 0 else (id + 1 - start + step - 1) // step end"
 
 
-def _append(sdf: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def _append(sdf: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Parquet file sink: exactly once by its own log."""
     writer = sdf.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start(out)
+    return writer.trigger(**(trigger or {"availableNow": True})).start(out)
 
 
 def _word_topic(spark: SparkSession, sf: str, label: str) -> str:
@@ -48,8 +47,8 @@ def _word_topic(spark: SparkSession, sf: str, label: str) -> str:
 
 def _replayed_words(
     spark: SparkSession, sf: str, start: Callable[[DataFrame, str, str], StreamingQuery]
-) -> tuple[str, list[StreamingQuery]]:
-    """Replay the events as words, one micro-batch per commit; ``start(counts, folder, checkpoint)``."""
+) -> str:
+    """Replay the events as words, one micro-batch per commit; ``start(counts, folder, checkpoint)`` keeps running."""
     folder = scratch_path(spark, "replay")
     words = event_words(spark, sf)
     gen_backfill_stream(words, *commit_sizes(words.count()), f"{folder}/staged")
@@ -58,7 +57,8 @@ def _replayed_words(
         sdf = spark.readStream.schema(WORD_COMMITS).parquet(f"{folder}/inbox")
         return start(stream_wordcount(sdf), folder, f"{folder}/checkpoint")
 
-    return folder, commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)
+    commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)
+    return folder
 
 
 # --- sources -------------------------------------------------------------------------------
@@ -131,19 +131,19 @@ def running_words(spark, sf):
 
 @query("explicit_commit", f"""with {COMMITS} select word, commit_id as commit, "count" from changed""")
 def explicit_commit(spark, sf):
-    folder, _ = _replayed_words(spark, sf, lambda counts, f, c: write_upserts(counts, f"{f}/log", c))
+    folder = _replayed_words(spark, sf, lambda counts, f, c: write_upserts(counts, f"{f}/log", c, trigger=commits.ON_ARRIVAL))
     return spark.read.parquet(f"{folder}/log").select("word", F.col("commit").cast("bigint").alias("commit"), "count")
 
 
 @query("sink_upsert_keyed", """select event_type as word, count(*) as "count" from events group by 1""")
 def upsert_keyed(spark, sf):
-    folder, _ = _replayed_words(spark, sf, lambda counts, f, c: write_upserts(counts, f"{f}/log", c))
+    folder = _replayed_words(spark, sf, lambda counts, f, c: write_upserts(counts, f"{f}/log", c, trigger=commits.ON_ARRIVAL))
     return sinks.read_upserted(spark.read.parquet(f"{folder}/log"), ["word"])
 
 
 @query("sink_update_text", f"""with {COMMITS} select commit_id as commit, word || ',' || "count" as value from changed""")
 def update_text(spark, sf):
-    folder, _ = _replayed_words(spark, sf, lambda counts, f, c: sinks.sink_update_text(counts, f"{f}/text", c))
+    folder = _replayed_words(spark, sf, lambda counts, f, c: sinks.sink_update_text(counts, f"{f}/text", c, commits.ON_ARRIVAL))
     return spark.read.text(f"{folder}/text").select(F.col("commit").cast("bigint").alias("commit"), "value")
 
 
@@ -157,13 +157,13 @@ union all select word, before, time, -1::smallint from steps where before is not
 
 @query("sink_changelog_dsv", f"""select word || ',' || "count" || ',' || time || ',' || diff as value from ({CHANGES})""")
 def changelog_dsv(spark, sf):
-    folder, _ = _replayed_words(spark, sf, lambda counts, f, c: write_changelog(counts, f, c, as_text=True))
+    folder = _replayed_words(spark, sf, lambda counts, f, c: write_changelog(counts, f, c, as_text=True, trigger=commits.ON_ARRIVAL))
     return spark.read.text(f"{folder}/changes").select("value")
 
 
 @query("changelog_retractions", CHANGES)
 def changelog(spark, sf):
-    folder, _ = _replayed_words(spark, sf, lambda counts, f, c: write_changelog(counts, f, c))
+    folder = _replayed_words(spark, sf, lambda counts, f, c: write_changelog(counts, f, c, trigger=commits.ON_ARRIVAL))
     return spark.read.parquet(f"{folder}/changes").select("word", "count", "time", F.col("diff").cast("smallint").alias("diff"))
 
 
@@ -185,7 +185,7 @@ def subscribe(spark, sf):
     def run() -> StreamingQuery:
         sdf = spark.readStream.schema(WORD_COMMITS).parquet(f"{folder}/inbox")
         total = sdf.groupBy(F.lit("all").alias("scope")).agg(F.count(F.lit(1)).alias("cnt"))
-        return sinks.sink_subscribe(total, on_change, ["scope"], f"{folder}/log", f"{folder}/checkpoint")
+        return sinks.sink_subscribe(total, on_change, ["scope"], f"{folder}/log", f"{folder}/checkpoint", commits.ON_ARRIVAL)
 
     commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)
     return spark.read.parquet(f"{folder}/seen").select("cnt", "time", "is_addition")
@@ -239,7 +239,7 @@ def watermark_ascending(spark, sf):
         sdf = spark.readStream.schema(WORD_COMMITS).parquet(f"{folder}/inbox")
         timed = commits.watermark_ascending(sdf.select(ts_from_id("id", 0).alias("ts")))
         closed = timed.groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
-        return _append(closed, f"{folder}/out", f"{folder}/checkpoint")
+        return _append(closed, f"{folder}/out", f"{folder}/checkpoint", commits.ON_ARRIVAL)
 
     commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)
     return spark.read.parquet(f"{folder}/out").select(F.unix_millis("ts").alias("ts_ms"), "n")
@@ -265,15 +265,14 @@ def persist_and_resume(spark, sf):
         writer = stream_wordcount(sdf).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
         return writer.trigger(availableNow=True).foreachBatch(write).start()
 
-    def run() -> StreamingQuery:
+    for _ in commits.published(spark, f"{folder}/staged", f"{folder}/inbox"):
+        known = len(failures)
         try:
-            return commits.persist_and_resume(start, f"{folder}/checkpoint")
+            commits.persist_and_resume(start, f"{folder}/checkpoint")
         except Exception:
-            if not failures:
+            if len(failures) == known:
                 raise
-            return commits.persist_and_resume(start, f"{folder}/checkpoint")
-
-    commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)
+            commits.persist_and_resume(start, f"{folder}/checkpoint")
     return sinks.read_upserted(spark.read.parquet(f"{folder}/log"), ["word"])
 
 
@@ -313,11 +312,10 @@ def _ranks_sql(start: str, step: str, last: int) -> str:
 
 
 def _stream_ranks(spark: SparkSession, sf: str, start: int, step: int) -> DataFrame:
-    folder = scratch_path(spark, "ranks")
-    state = graph.backfill_pagerank(event_edges(spark, sf), folder, start, step)
-    done = spark.read.parquet(f"{state}/states").select("commit").distinct().collect()
-    versions = [graph.ranks_at(spark, state, r["commit"]).withColumn("commit", F.lit(r["commit"])) for r in done]
-    return reduce(DataFrame.unionByName, versions).select("commit", "vertex", "rank")
+    edges, folder = event_edges(spark, sf), scratch_path(spark, "ranks")
+    state = graph.backfill_pagerank(edges, folder, start, step)
+    last = edges.agg(F.max(batch_of_id("id", start, step)).cast("int")).first()[0]
+    return graph.rank_versions(spark, state, last)
 
 
 @query("stream_pagerank", _ranks_sql("count(*) // 4", "count(*) // 4", 3))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyflow.functions.exprs import concat_fields, json_build
+from tallyflow.sinks import logs
 
 
 def topic_rows(df: DataFrame) -> DataFrame:
@@ -73,30 +74,26 @@ def sink_upsert_keyed(batch: DataFrame, path: str, keys: Sequence[str], batch_id
     """Record the rows a micro-batch upserts.
 
     Only what changed is written, never the whole table; repeating a micro-batch overwrites its own
-    folder.  ``read_upserted`` merges on read, ``compact_upserts`` folds the history.
+    folder.  ``read_upserted`` merges on read; every so many commits the log is folded into a snapshot.
     """
-    batch.write.mode("overwrite").parquet(f"{path}/commit={batch_id}")
+    logs.append(batch, path, keys, batch_id)
+    logs.fold(batch.sparkSession, path, batch.schema, keys, batch_id, lambda log: read_upserted(log, keys))
 
 
 def read_upserted(source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Latest row per key of an upsert log (a frame with ``commit``); combines map-side."""
-    values = [c for c in source.columns if c not in (*keys, "commit")]
+    values = [c for c in source.columns if c not in (*keys, "commit", logs.BUCKET)]
     latest = source.groupBy(*keys).agg(F.max_by(F.struct(*values), "commit").alias("_row"))
     return latest.select(*keys, *[F.col(f"_row.{v}").alias(v) for v in values])
 
 
-def compact_upserts(log: DataFrame, keys: Sequence[str], path: str, upto: int) -> None:
-    """Fold the commits up to ``upto`` into one folder of a new log."""
-    old = log.where(F.col("commit") <= upto)
-    read_upserted(old, keys).write.mode("overwrite").parquet(f"{path}/commit={upto}")
-
-
 def sink_subscribe(
     sdf: DataFrame,
     on_change: Callable[[DataFrame, int], None],
     keys: Sequence[str],
     log_path: str,
     checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Call ``on_change(changes, time)`` for every commit of an update-mode aggregate.
 
@@ -115,14 +112,18 @@ def sink_subscribe(
             batch.unpersist(blocking=True)
 
     writer = sdf.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).foreachBatch(react).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(react).start()
 
 
 def rows_before(batch: DataFrame, log_path: str, keys: Sequence[str], batch_id: int) -> DataFrame:
-    """Rows of the batch's keys as they stood before this commit."""
+    """Rows of the batch's keys as they stood before this commit.
+
+    Read are the last snapshot and the commits after it, and of these the buckets the batch's keys fall in.
+    """
     if batch_id == 0:
         return batch.where("1 = 0")
-    history = batch.sparkSession.read.parquet(log_path).where(F.col("commit") < batch_id)
+    buckets = logs.bucket_list(batch.agg(logs.buckets_in(keys)).first()[0])
+    history = logs.read(batch.sparkSession, log_path, batch.schema, batch_id - 1, buckets)
     wanted = batch.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return read_upserted(history.join(wanted, same, "left_semi"), keys)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamReader, DataStreamWriter
 
+# Trigger of a query that keeps running and takes up what arrives at once.
+ON_ARRIVAL = {"processingTime": "0 seconds"}
+
 
 def commit_interval(writer: DataStreamWriter, ms: int) -> DataStreamWriter:
     """Commit at most every ``ms`` milliseconds."""
@@ -33,21 +36,41 @@ def drain_until_complete(query: StreamingQuery, timeout_s: float | None = None)
     return query
 
 
+def published(spark: SparkSession, staged: str, inbox: str) -> Iterator[int]:
+    """Move the ``commit_id=N`` folders of ``staged`` into ``inbox``, in order; yields N after each.
+
+    A folder arrives by a rename, all of its files at once, so a reader sees a commit whole or not at all.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(inbox))
+    names = [status.getPath().getName() for status in fs.listStatus(path(staged))]
+    for commit in sorted(int(n.partition("=")[2]) for n in names if n.startswith("commit_id=")):
+        if not fs.rename(path(f"{staged}/commit_id={commit}"), path(f"{inbox}/commit_id={commit}")):
+            raise OSError(f"commit {commit} could not be moved to {inbox}")
+        yield commit
+
+
 def explicit_commit(
     spark: SparkSession, staged: str, inbox: str, run: Callable[[], StreamingQuery]
-) -> list[StreamingQuery]:
-    """Replay ``commit_id=N`` folders so that each becomes exactly one micro-batch.
+) -> StreamingQuery:
+    """Replay ``commit_id=N`` folders so that each becomes exactly one micro-batch of one running query.
 
-    A commit is delivered whole (by all executors) before the query starts, and the query stops after
-    it, so the outcome depends neither on file times nor on how many files a commit has.  ``run`` must
-    start an ``availableNow`` query with a fixed checkpoint on ``inbox``.
+    A commit is delivered whole, and the next one only when the query has worked it off, so the outcome depends
+    neither on file times nor on how many files a commit has.  ``run`` must start a query on ``inbox``
+    that keeps running (``ON_ARRIVAL``); it is stopped after the last commit and returned.
     """
-    commits = [r["commit_id"] for r in spark.read.parquet(staged).select("commit_id").distinct().collect()]
-    done = []
-    for commit in sorted(commits):
-        spark.read.parquet(f"{staged}/commit_id={commit}").write.mode("overwrite").parquet(f"{inbox}/commit_id={commit}")
-        done.append(drain_until_complete(run()))
-    return done
+    commits = published(spark, staged, inbox)
+    first = next(commits, None)  # a stream of files needs a folder to look at
+    running = run()
+    try:
+        if first is not None:
+            running.processAllAvailable()
+        for _ in commits:
+            running.processAllAvailable()
+    finally:
+        running.stop()
+    return running
 
 
 def persist_and_resume(query_fn: Callable[[str], StreamingQuery], checkpoint: str) -> StreamingQuery:

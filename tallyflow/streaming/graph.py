@@ -7,41 +7,36 @@ each step; a commit follows the changes it causes from step to step:
 * the difference goes along its old edges, the whole new flow along its new edges;
 * whoever receives a difference that is not zero has a changed rank in this step.
 
-Ranks are whole numbers, so small differences are rounded away and the changes die out.  Old edges and
-states are scanned but never shuffled: the affected vertices are broadcast, and their number is checked
-against ``AFFECTED_BOUND`` before.  Where a commit affects more than that, or touches a large part of
-the graph from the outset, the whole graph is ranked again, which gives the same ranks.
+Ranks are whole numbers, so small differences are rounded away and the changes die out.
 
-Edges and states are logs with one folder per commit, overwritten when a commit is repeated after a
-failure.  Every ``COMPACT_EVERY`` commits a log is folded into a snapshot.
+Edges and states are logs laid out by bucket of the vertex (see ``sinks.logs``).  Each step writes its changes
+and notes, on the way, how many they are and which buckets they fall in; the next step reads those buckets of
+the two logs and no others.  Changes of up to ``BROADCAST_ROWS`` vertices are broadcast, so that old edges and
+states are not shuffled; beyond that both sides are, with the edges of a source spread over salts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tallyflow.operators.joins import edge_copies
+from tallyflow.operators.joins import SALT, edge_copies
 from tallyflow.plans.graph import START_RANK, UNIT, integer_flow, pagerank_states
-from tallyflow.session import settle
-from tallyflow.sinks.topics import changelog_retractions
+from tallyflow.session import shuffle_width
+from tallyflow.sinks import logs
 from tallyflow.sources.generators import gen_backfill_stream
-from tallyflow.streaming.commits import explicit_commit
-
-COMPACT_EVERY = 64
+from tallyflow.streaming.commits import ON_ARRIVAL, explicit_commit
 
-# The most affected vertices a commit may broadcast; a state row is below 200 bytes.
-AFFECTED_BOUND = 200_000
-
-# A commit that touches more than this part of the known vertices is faster ranked from the start.
-TOUCHED_PART = 0.25
+# Vertices whose changes (below 100 bytes each) a step broadcasts.
+BROADCAST_ROWS = 100_000
 
 EDGE_STREAM_SCHEMA = "id BIGINT, u BIGINT, v BIGINT, commit_id BIGINT"
 
-
 SCHEMAS = {
     "edges": "u BIGINT, v BIGINT, copies BIGINT",
-    "states": "vertex BIGINT, degree BIGINT, ranks ARRAY<BIGINT>, at BIGINT",
+    "states": "vertex BIGINT, degree BIGINT, ranks ARRAY<BIGINT>, before BIGINT",
 }
 
 
@@ -49,53 +44,75 @@ def _none() -> Column:
     return F.lit(0).cast("bigint")
 
 
-def _log(spark: SparkSession, state_dir: str, kind: str, commit: int) -> DataFrame:
-    """Rows of a log up to ``commit``: the last snapshot and the commits after it."""
-    first = (commit // COMPACT_EVERY) * COMPACT_EVERY
-    folders = [f"{state_dir}/{kind}/commit={c}" for c in range(first, commit + 1)]
-    if first:
-        folders.append(f"{state_dir}/{kind}-snapshot/commit={first - 1}")
-    return spark.read.schema(SCHEMAS[kind]).parquet(*folders)
+def _parts(spark: SparkSession) -> int:
+    """Parts of a bucket of edges: a source with very many targets keeps so many tasks busy."""
+    return -(-8 * shuffle_width(spark) // logs.BUCKETS)
+
+
+def _part(spark: SparkSession, vertex: str) -> Column:
+    return F.pmod(F.xxhash64(vertex), F.lit(_parts(spark)))
+
+
+def _log(spark: SparkSession, state_dir: str, kind: str, commit: int, buckets: list[int] | None = None) -> DataFrame:
+    return logs.read(spark, f"{state_dir}/{kind}", SCHEMAS[kind], commit, buckets)
+
+
+def _merged_edges(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u", "v").agg(F.sum("copies").alias("copies"))
 
 
 def _latest(states: DataFrame) -> DataFrame:
-    newest = states.groupBy("vertex").agg(F.max_by(F.struct("degree", "ranks"), "at").alias("s"))
-    return newest.select("vertex", "s.degree", "s.ranks")
+    newest = states.groupBy("vertex").agg(F.max_by(F.struct("degree", "ranks"), "commit").alias("s"))
+    return newest.select("vertex", "s.degree", "s.ranks", F.lit(None).cast("bigint").alias("before"))
 
 
 def graph_upto(spark: SparkSession, state_dir: str, commit: int) -> DataFrame:
     """``u, v, copies`` of the graph after ``commit``."""
-    return _log(spark, state_dir, "edges", commit).groupBy("u", "v").agg(F.sum("copies").alias("copies"))
-
-
-def states_upto(spark: SparkSession, state_dir: str, commit: int) -> DataFrame:
-    return _latest(_log(spark, state_dir, "states", commit))
+    return _merged_edges(_log(spark, state_dir, "edges", commit))
 
 
 def ranks_at(spark: SparkSession, state_dir: str, commit: int) -> DataFrame:
     """``vertex, rank`` as they stood after ``commit``."""
-    return states_upto(spark, state_dir, commit).select("vertex", F.element_at("ranks", -1).alias("rank"))
+    states = _latest(_log(spark, state_dir, "states", commit))
+    return states.select("vertex", F.element_at("ranks", -1).alias("rank"))
+
 
+def rank_versions(spark: SparkSession, state_dir: str, last: int) -> DataFrame:
+    """``commit, vertex, rank`` after each commit up to ``last``, in one pass over the states."""
+    states = logs.read_commits(spark, f"{state_dir}/states", SCHEMAS["states"], range(last + 1))
+    following = F.lead("commit").over(Window.partitionBy("vertex").orderBy("commit"))
+    lasted = states.withColumn("_until", F.coalesce(following - 1, F.lit(last)))
+    commits = F.explode(F.sequence("commit", "_until")).alias("commit")
+    return lasted.select(commits, "vertex", F.element_at("ranks", -1).alias("rank"))
 
-def _with_states(moved: DataFrame, states: DataFrame, sums: list[str]) -> DataFrame:
-    """``vertex, degree, ranks`` and the ``sums`` of a bounded frame of changes.
 
-    The vertices are broadcast to the scan of the log; the found rows and the changes meet in a single
-    aggregation.  A vertex not in the log has null ``degree`` and ``ranks``.
+def _counted(rows: DataFrame, key: str, write: Callable[[DataFrame], None]) -> tuple[int, list[int]]:
+    """Write ``rows``; their number and the buckets of their keys, observed in the same job."""
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("n"), logs.buckets_in([key]).alias("buckets")))
+    return seen.get["n"], logs.bucket_list(seen.get["buckets"])
+
+
+def _with_states(moved: DataFrame, states: DataFrame, sums: list[str], rows: int) -> DataFrame:
+    """``vertex, degree, ranks`` and the ``sums`` of a frame of changes (at most ``rows`` vertices).
+
+    The found rows and the changes meet in a single aggregation.  A vertex not in the log has null
+    ``degree`` and ``ranks``.
     """
-    found = states.join(F.broadcast(moved.select("vertex")), "vertex", "left_semi")
-    together = moved.unionByName(found, allowMissingColumns=True)
-    newest = F.max_by(F.struct("degree", "ranks"), "at").alias("s")
+    wanted = moved.select("vertex")
+    found = states.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted, "vertex", "left_semi")
+    together = moved.unionByName(found.drop("before"), allowMissingColumns=True)
+    newest = F.max_by(F.struct("degree", "ranks"), "commit").alias("s")
     known = together.groupBy("vertex").agg(newest, *[F.coalesce(F.sum(c), _none()).alias(c) for c in sums])
     return known.select("vertex", "s.degree", "s.ranks", *sums)
 
 
-def _flows(moved: DataFrame, states: DataFrame, step: int) -> DataFrame:
+def _flows(moved: DataFrame, states: DataFrame, step: int, rows: int) -> DataFrame:
     """``u, sent_before, sent`` in ``step`` of all vertices that may send something else than before.
 
     ``moved`` holds the changes of degree (``added``) and of the previous rank (``change``).
     """
-    known = _with_states(moved, states, ["added", "change"])
+    known = _with_states(moved, states, ["added", "change"], rows)
     fresh = START_RANK if step == 1 else UNIT  # without old edges a vertex stands at one unit
     degree = F.coalesce("degree", _none())
     rank = F.coalesce(F.element_at("ranks", step), F.lit(fresh).cast("bigint"))
@@ -106,108 +123,111 @@ def _flows(moved: DataFrame, states: DataFrame, step: int) -> DataFrame:
     )
 
 
-def _changed_inflow(delta: DataFrame, edges: DataFrame, flows: DataFrame) -> DataFrame:
+def _changed_inflow(delta: DataFrame, edges: DataFrame, flows: DataFrame, rows: int, ends: bool = False) -> DataFrame:
     """``vertex, change``: by how much the inflow differs from what it was before the commit.
 
-    Along an old edge goes the difference, along a new one all of the flow; one broadcast serves both.
+    Along an old edge goes the difference, along a new one all of the flow; one join serves both.  With
+    ``ends``, the ends of new edges are there whatever they receive.
     """
     old = edges.select("u", "v", "copies", F.lit(False).alias("is_new"))
-    new = delta.select("u", "v", "copies", F.lit(True).alias("is_new"))
-    more = F.col("sent") - F.when(F.col("is_new"), 0).otherwise(F.col("sent_before"))
-    along = old.unionByName(new).join(F.broadcast(flows), "u").select("v", (more * F.col("copies")).alias("change"))
-    summed = along.where("change <> 0").groupBy(F.col("v").alias("vertex")).agg(F.sum("change").alias("change"))
-    return summed.where("change <> 0")
-
-
-def spread_changes(delta: DataFrame, edges: DataFrame, states: DataFrame, steps: int) -> DataFrame | None:
-    """Affected vertices as ``vertex, degree, before, after``; None where there are too many.
-
-    ``delta`` are the merged new edges, ``edges`` the old ones (copies may be split over rows),
-    ``states`` the log of old states.  ``before`` is null for a vertex that was not there.
+    along = old.unionByName(delta.select("u", "v", "copies", F.lit(True).alias("is_new")))
+    if rows <= BROADCAST_ROWS:
+        met = along.join(F.broadcast(flows), "u")
+    else:
+        spark = edges.sparkSession
+        salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_parts(spark) - 1).cast("bigint")))
+        met = along.withColumn(SALT, _part(spark, "v")).join(flows.withColumn(SALT, salts), ["u", SALT])
+    more = (F.col("sent") - F.when(F.col("is_new"), 0).otherwise(F.col("sent_before"))) * F.col("copies")
+    moved = met.select(F.col("v").alias("vertex"), more.alias("change"), "is_new")
+    if not ends:
+        moved = moved.where("change <> 0")
+    summed = moved.groupBy("vertex").agg(F.sum("change").alias("change"), F.max("is_new").alias("is_new"))
+    return summed.where(F.col("is_new") | (F.col("change") != 0) if ends else F.col("change") != 0).select("vertex", "change")
+
+
+def spread_changes(
+    spark: SparkSession, state_dir: str, commit: int, rows: int, buckets: list[int], steps: int
+) -> DataFrame:
+    """New states (as logged) of all vertices that ``commit`` affects.
+
+    ``rows`` and ``buckets`` tell the number of its distinct edges and the buckets of their sources.
     """
-    ends = delta.select(F.expr("stack(2, u, copies, v, 0L)").alias("vertex", "added"))
-    touched = settle(ends.groupBy("vertex").agg(F.sum("added").alias("added")))
-    seen = touched.count()
-    if seen > AFFECTED_BOUND or seen > TOUCHED_PART * states.count():
-        return None
+    delta = logs.read_commits(spark, f"{state_dir}/edges", SCHEMAS["edges"], [commit]).drop("commit")
+    added = delta.groupBy(F.col("u").alias("vertex")).agg(F.sum("copies").alias("added"))
+    moved = added.withColumn("change", _none())
     shifts = [f"shift_{k}" for k in range(1, steps + 1)]
-    log = touched.select("vertex", "added", *[_none().alias(s) for s in shifts])
-    moved = touched.select("vertex", "added", _none().alias("change"))
+    log = added.select("vertex", "added", *[_none().alias(s) for s in shifts])
+    seen, here = rows, buckets  # of the vertices that may send something else in the next step
+    everywhere, total = set(buckets), rows
     for step in range(1, steps + 1):
-        # Settled, for its size is checked before it is broadcast, and the plan stays one step deep.
-        change = settle(_changed_inflow(delta, edges, _flows(moved, states, step)))
-        seen += change.count()
-        if seen > AFFECTED_BOUND:
-            return None
-        moved = touched.select("vertex", "added", _none().alias("change")).unionByName(
-            change.select("vertex", _none().alias("added"), "change")
-        )
-        here = [(F.col("change") if s == f"shift_{step}" else _none()).alias(s) for s in shifts]
-        log = log.unionByName(change.select("vertex", _none().alias("added"), *here))
-    known = _with_states(log, states, ["added", *shifts])
+        states, edges = (_log(spark, state_dir, kind, commit - 1, here) for kind in ("states", "edges"))
+        change = _changed_inflow(delta, edges, _flows(moved, states, step, seen), seen, ends=step == 1)
+        path = f"{state_dir}/steps/step={step}"
+        changed, fell = _counted(change, "vertex", lambda c, p=path: c.write.mode("overwrite").parquet(p))
+        change = spark.read.schema("vertex BIGINT, change BIGINT").parquet(path)
+        moved = added.withColumn("change", _none()).unionByName(change.select("vertex", _none().alias("added"), "change"))
+        seen, here = rows + changed, sorted({*buckets, *fell})
+        total, everywhere = total + changed, everywhere | set(fell)
+        of_step = [(F.col("change") if s == f"shift_{step}" else _none()).alias(s) for s in shifts]
+        log = log.unionByName(change.select("vertex", _none().alias("added"), *of_step))
+    known = _with_states(log, _log(spark, state_dir, "states", commit - 1, sorted(everywhere)), ["added", *shifts], total)
     start = F.coalesce(F.element_at("ranks", 1), F.lit(START_RANK).cast("bigint"))
     later = [
         F.coalesce(F.element_at("ranks", k + 1), F.lit(UNIT).cast("bigint")) + F.col(f"shift_{k}")
         for k in range(1, steps + 1)
     ]
-    return settle(
-        known.select(
-            "vertex",
-            (F.coalesce("degree", _none()) + F.col("added")).alias("degree"),
-            F.col("ranks").alias("before"),
-            F.array(start, *later).alias("after"),
-        )
+    return known.select(
+        "vertex",
+        (F.coalesce("degree", _none()) + F.col("added")).alias("degree"),
+        F.array(start, *later).alias("ranks"),
+        F.element_at("ranks", -1).alias("before"),
     )
 
 
-def _rank_changes(affected: DataFrame) -> DataFrame:
-    old, new = F.element_at("before", -1), F.element_at("after", -1)
+def _rank_changes(states: DataFrame) -> DataFrame:
+    old, new = F.col("before"), F.element_at("ranks", -1)
     sides = F.array(
         F.struct(old.alias("rank"), F.lit(-1).cast("smallint").alias("diff")),
         F.struct(new.alias("rank"), F.lit(1).cast("smallint").alias("diff")),
     )
-    changed = affected.where(~old.eqNullSafe(new))
+    changed = states.where(~old.eqNullSafe(new))
     return changed.select("vertex", F.inline(sides).alias("rank", "diff")).where("rank is not null")
 
 
 def apply_commit(batch: DataFrame, commit: int, state_dir: str, steps: int) -> None:
     """Add a commit's edges, bring the states up to date, record how the ranks changed."""
     spark = batch.sparkSession
-    edge_copies(batch).write.mode("overwrite").parquet(f"{state_dir}/edges/commit={commit}")
-    delta = spark.read.schema(SCHEMAS["edges"]).parquet(f"{state_dir}/edges/commit={commit}")
-    affected = None
-    if commit:
-        old_edges = _log(spark, state_dir, "edges", commit - 1)
-        affected = spread_changes(delta, old_edges, _log(spark, state_dir, "states", commit - 1), steps)
+    edges, states = f"{state_dir}/edges", f"{state_dir}/states"
+    rows, buckets = _counted(edge_copies(batch), "u", lambda e: logs.append(e, edges, ["u"], commit, _part(spark, "v")))
 
-    def record(states: DataFrame) -> DataFrame:
-        folder = f"{state_dir}/states/commit={commit}"
-        states.withColumn("at", F.lit(commit).cast("bigint")).write.mode("overwrite").parquet(folder)
-        return spark.read.schema(SCHEMAS["states"]).parquet(folder)
+    def record(after: DataFrame) -> DataFrame:
+        logs.append(after, states, ["vertex"], commit)
+        return logs.read_commits(spark, states, SCHEMAS["states"], [commit])
 
-    if affected is not None:
-        record(affected.select("vertex", "degree", F.col("after").alias("ranks")))
-        changes = _rank_changes(affected)
+    if commit:
+        done = record(spread_changes(spark, state_dir, commit, rows, buckets, steps))
     else:
-        states = pagerank_states(graph_upto(spark, state_dir, commit), steps, record)
-        ranks = states.select("vertex", F.element_at("ranks", -1).alias("rank"))
-        old = ranks_at(spark, state_dir, commit - 1) if commit else ranks.where("1 = 0")
-        changes = changelog_retractions(old, ranks, ["vertex"])
-    changes.write.mode("overwrite").parquet(f"{state_dir}/changes/commit={commit}")
-    if (commit + 1) % COMPACT_EVERY == 0:
-        folded = states_upto(spark, state_dir, commit).withColumn("at", F.lit(commit).cast("bigint"))
-        folded.write.mode("overwrite").parquet(f"{state_dir}/states-snapshot/commit={commit}")
-        merged = graph_upto(spark, state_dir, commit)
-        merged.write.mode("overwrite").parquet(f"{state_dir}/edges-snapshot/commit={commit}")
-
-
-def stream_pagerank(edges: DataFrame, state_dir: str, checkpoint: str, steps: int = 5) -> StreamingQuery:
+        fresh = lambda s: record(s.withColumn("before", F.lit(None).cast("bigint")))
+        done = pagerank_states(graph_upto(spark, state_dir, 0), steps, fresh)
+    _rank_changes(done).write.mode("overwrite").parquet(f"{state_dir}/changes/commit={commit}")
+    logs.fold(spark, states, SCHEMAS["states"], ["vertex"], commit, _latest)
+    logs.fold(spark, edges, SCHEMAS["edges"], ["u"], commit, _merged_edges, _part(spark, "v"))
+
+
+def stream_pagerank(
+    edges: DataFrame, state_dir: str, checkpoint: str, steps: int = 5, trigger: dict | None = None
+) -> StreamingQuery:
     """Refresh the ranks below ``state_dir`` at every commit of the edge stream ``u, v``."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
+        # Settings of the stream's own session: the driver lists the folders of a log, which are few, without a job, and
+        # the many small shuffles of a commit, of merged sums, run inside its jobs instead of one job each.
+        own = batch.sparkSession.conf
+        own.set("spark.sql.sources.parallelPartitionDiscovery.threshold", str(2 * logs.FOLD_EVERY * logs.BUCKETS))
+        own.set("spark.sql.adaptive.enabled", "false")
         apply_commit(batch, batch_id, state_dir, steps)
 
-    writer = edges.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = edges.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
     return writer.foreachBatch(commit).start()
 
 
@@ -219,7 +239,7 @@ def backfill_pagerank(edges: DataFrame, folder: str, start: int, step: int, step
 
     def run() -> StreamingQuery:
         source = spark.readStream.schema(EDGE_STREAM_SCHEMA).parquet(inbox)
-        return stream_pagerank(source.select("u", "v"), state, f"{folder}/checkpoint", steps)
+        return stream_pagerank(source.select("u", "v"), state, f"{folder}/checkpoint", steps, ON_ARRIVAL)
 
     explicit_commit(spark, staged, inbox, run)
     return state

@@ -27,12 +27,12 @@ def write_upserts(counts: DataFrame, path: str, checkpoint: str, key: str = "wor
 
 
 def write_changelog(
-    counts: DataFrame, folder: str, checkpoint: str, key: str = "word", as_text: bool = False
+    counts: DataFrame, folder: str, checkpoint: str, key: str = "word", as_text: bool = False, trigger: dict | None = None
 ) -> StreamingQuery:
     """Retractions and insertions of every commit below ``folder/changes/commit=N``.
 
-    The state before the commit comes from the upsert log in ``folder/log``, restricted to the keys
-    the commit touches.
+    The state before the commit comes from the upsert log in ``folder/log``: a snapshot and a short tail, restricted to
+    the keys the commit touches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -50,4 +50,4 @@ def write_changelog(
             batch.unpersist(blocking=True)
 
     writer = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).foreachBatch(write).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()

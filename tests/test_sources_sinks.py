@@ -112,9 +112,6 @@ def test_upserts(spark):
     want = [("a", 2), ("b", 1), ("c", 7)]
     log = spark.read.parquet(path)
     assert sorted(tuple(r) for r in sinks.read_upserted(log, ["word"]).collect()) == want
-    compact = scratch_path(spark, "compact")
-    sinks.compact_upserts(log, ["word"], compact, 2)
-    assert sorted(tuple(r) for r in sinks.read_upserted(spark.read.parquet(compact), ["word"]).collect()) == want
 
 
 def test_jdbc_options():

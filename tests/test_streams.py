@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.sinks import topics as sinks
+from tallyflow.sinks import logs, topics as sinks
 from tallyflow.session import scratch_path
 from tallyflow.sources.files import scan_event_time_table
 from tallyflow.sources.generators import gen_backfill_stream
@@ -43,11 +44,10 @@ def test_backfill_is_right_at_every_commit(spark):
     assert len(changes) == 20
 
 
-@pytest.mark.parametrize("bound", [200_000, 3])  # followed changes, or ranked again at every commit
-def test_repeated_commit_and_compaction(spark, monkeypatch, bound):
-    monkeypatch.setattr(graph, "COMPACT_EVERY", 2)
-    monkeypatch.setattr(graph, "AFFECTED_BOUND", bound)
-    monkeypatch.setattr(graph, "TOUCHED_PART", 1e9)
+@pytest.mark.parametrize("rows", [100_000, 0])  # changes are broadcast, or both sides are shuffled
+def test_repeated_commit_and_folding(spark, monkeypatch, rows):
+    monkeypatch.setattr(logs, "FOLD_EVERY", 2)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
     rng = random.Random(1)
     edges = [(rng.randrange(12 + i // 4), rng.randrange(12 + i // 4)) for i in range(60)]
     state = scratch_path(spark, "state")
@@ -57,14 +57,16 @@ def test_repeated_commit_and_compaction(spark, monkeypatch, bound):
         if commit == 1:
             graph.apply_commit(batch, commit, state, 2)  # the same commit again, as after a failure
         assert ranks_at(spark, state, commit) == integer_pagerank(edges[: commit * 15 + 15], 2)
+    versions = graph.rank_versions(spark, state, 3).collect()
+    for commit in range(4):
+        assert {r["vertex"]: r["rank"] for r in versions if r["commit"] == commit} == ranks_at(spark, state, commit)
 
 
-def test_following_changes_equals_ranking_again(spark, monkeypatch):
+def test_following_changes_equals_ranking_again(spark):
     """Hub, repeated edge, self-loop, new vertices, and a commit that changes nothing but a degree."""
     rng = random.Random(2)
     first = [(5, 100 + i) for i in range(40)] + [(rng.randrange(30), rng.randrange(30)) for _ in range(120)]
     commits_ = [first, [(5, 5), (5, 101), (5, 101), (900, 5)], [(901, 902)], [(902, 901), (7, 7)], [(5, 300)]]
-    monkeypatch.setattr(graph, "TOUCHED_PART", 1e9)
     state, seen = scratch_path(spark, "state"), []
     for commit, edges in enumerate(commits_):
         seen += edges
@@ -80,11 +82,55 @@ def test_old_edges_are_not_shuffled_by_a_commit(spark):
     delta = spark.createDataFrame([(3, 9, 1)], "u BIGINT, v BIGINT, copies BIGINT")
     edges = graph._log(spark, state, "edges", 0)
     flows = spark.createDataFrame([(3, 5000, 2500)], "u BIGINT, sent_before BIGINT, sent BIGINT")
-    plan = graph._changed_inflow(delta, edges, flows)._jdf.queryExecution().executedPlan().toString()
+    plan = graph._changed_inflow(delta, edges, flows, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_a_commit_reads_the_buckets_of_its_changes_only(spark, monkeypatch):
+    state = scratch_path(spark, "state")
+    chain = [(i, i + 1) for i in range(200)]
+    graph.apply_commit(spark.createDataFrame(chain, "u BIGINT, v BIGINT"), 0, state, 2)
+    bucket = {r["v"]: r["b"] for r in spark.range(300).selectExpr("id v").withColumn("b", logs.bucket_of(["v"])).collect()}
+    real, reads = logs.read, []
+
+    def noted(session, path, schema, commit, buckets=None):
+        found = real(session, path, schema, commit, buckets)
+        reads.append((path.rsplit("/", 1)[1], buckets, found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(logs, "read", noted)
+    graph.apply_commit(spark.createDataFrame([(3, 250)], "u BIGINT, v BIGINT"), 1, state, 2)
+    # Step 1 reads the source's bucket, step 2 also those of the two targets; the states at the end the same.
+    steps = [{bucket[3]}, {bucket[3], bucket[4], bucket[250]}]
+    want = [steps[0], steps[0], steps[1], steps[1]]
+    assert [set(buckets) for _, buckets, _ in reads[:4]] == want and [kind for kind, _, _ in reads] == ["states", "edges"] * 2 + ["states"]
+    for _, buckets, files in reads:
+        assert files and {int(re.search(r"key_bucket=(\d+)", f)[1]) for f in files} <= set(buckets)
+    monkeypatch.undo()
+    assert ranks_at(spark, state, 1) == integer_pagerank([*chain, (3, 250)], 2)
+
+
+def test_a_commit_of_one_edge_is_few_jobs_of_one_query(spark):
+    folder, edges = scratch_path(spark, "jobs"), part_edges(spark)
+    gen_backfill_stream(edge_frame(spark, edges), len(edges) - 2, 1, f"{folder}/staged")
+    inbox, jobs = f"{folder}/inbox", []
+    arrivals = commits.published(spark, f"{folder}/staged", inbox)
+    next(arrivals)
+    source = spark.readStream.schema(graph.EDGE_STREAM_SCHEMA).parquet(inbox).select("u", "v")
+    query = graph.stream_pagerank(source, f"{folder}/state", f"{folder}/cp", 5, commits.ON_ARRIVAL)
+    try:
+        query.processAllAvailable()
+        for _ in arrivals:
+            before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId)))
+            query.processAllAvailable()
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))) - before)
+    finally:
+        query.stop()
+    assert len(jobs) == 2 and all(0 < n < 20 for n in jobs), jobs
+    assert ranks_at(spark, f"{folder}/state", 2) == integer_pagerank(edges, 5)
+
+
 def test_failing_commit_is_repeated(spark, monkeypatch):
     edges = [(i % 5, (i * 3) % 8) for i in range(40)]
     folder = scratch_path(spark, "fail")
@@ -99,17 +145,14 @@ def test_failing_commit_is_repeated(spark, monkeypatch):
 
     monkeypatch.setattr(graph, "spread_changes", fragile)
 
-    def run():
+    for _ in commits.published(spark, f"{folder}/staged", f"{folder}/inbox"):
         source = spark.readStream.schema(graph.EDGE_STREAM_SCHEMA).parquet(f"{folder}/inbox")
-        query = graph.stream_pagerank(source.select("u", "v"), f"{folder}/state", f"{folder}/checkpoint", 4)
+        start = lambda c: graph.stream_pagerank(source.select("u", "v"), f"{folder}/state", c, 4)  # noqa: E731, B023
         try:
-            query.awaitTermination()
+            commits.persist_and_resume(start, f"{folder}/checkpoint")
         except Exception:
             assert failures
-            query = graph.stream_pagerank(source.select("u", "v"), f"{folder}/state", f"{folder}/checkpoint", 4)
-        return query
-
-    commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)
+            commits.persist_and_resume(start, f"{folder}/checkpoint")
     assert failures
     for commit, seen in enumerate((20, 30, 40)):
         assert ranks_at(spark, f"{folder}/state", commit) == integer_pagerank(edges[:seen], 4)
@@ -123,6 +166,45 @@ def test_rows_before_finds_null_keys(spark):
     assert [tuple(r) for r in sinks.rows_before(batch, log, ["word"], 1).collect()] == [(None, 1)]
 
 
+def test_rows_before_read_a_bounded_tail(spark, monkeypatch):
+    """However many commits there were: a snapshot and fewer than FOLD_EVERY folders, of the buckets asked for."""
+    monkeypatch.setattr(logs, "FOLD_EVERY", 3)
+    path, schema, table = scratch_path(spark, "log"), "word STRING, count BIGINT", {}
+    for commit in range(11):
+        rows = [(w, commit) for w in ("abc"[commit % 3], f"w{commit}")]
+        batch = spark.createDataFrame(rows, schema)
+        before = {r["word"]: r["count"] for r in sinks.rows_before(batch, path, ["word"], commit).collect()}
+        assert before == {w: table[w] for w, _ in rows if w in table}
+        sinks.sink_upsert_keyed(batch, path, ["word"], commit)
+        table.update(rows)
+    asked = spark.createDataFrame([(w, 0) for w in table], schema)
+    files = logs.read(spark, path, schema, 10, None).inputFiles()
+    folders = {re.search(r"(log[^/]*)/(commit=\d+)", f).groups() for f in files}
+    assert {c for root, c in folders if root.endswith("-folded")} == {"commit=8"} and len(folders) == 1 + 2
+    assert {r["word"]: r["count"] for r in sinks.rows_before(asked, path, ["word"], 11).collect()} == table
+    one = logs.read(spark, path, schema, 10, logs.bucket_list(asked.where("word = 'a'").agg(logs.buckets_in(["word"])).first()[0]))
+    assert len({re.search(r"key_bucket=\d+", f)[0] for f in one.inputFiles()}) <= 1
+    assert {r["word"]: r["count"] for r in sinks.read_upserted(spark.read.parquet(path), ["word"]).collect()} == table
+
+
+def test_a_commit_is_one_batch_of_one_running_query(spark):
+    folder = scratch_path(spark, "one")
+    gen_backfill_stream(edge_frame(spark, [(i, i) for i in range(30)]), 12, 6, f"{folder}/staged")
+    seen = []
+
+    def run():
+        sdf = spark.readStream.schema(graph.EDGE_STREAM_SCHEMA).parquet(f"{folder}/inbox")
+        note = lambda batch, n: seen.append((n, sorted(r["id"] for r in batch.collect())))
+        writer = sdf.writeStream.option("checkpointLocation", f"{folder}/cp").trigger(**commits.ON_ARRIVAL)
+        return writer.foreachBatch(note).start()
+
+    done = commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)
+    assert not done.isActive and done.exception() is None
+    assert seen == [(0, list(range(12))), (1, list(range(12, 18))), (2, list(range(18, 24))), (3, list(range(24, 30)))]
+    assert {str(p.runId) for p in done.recentProgress} == {str(done.runId)}
+    assert {p.batchId for p in done.recentProgress if p.numInputRows} == {0, 1, 2, 3}
+
+
 def test_changelog_is_right_at_every_commit(spark):
     words = ["a", "b", "a", "c", "a", "b", "d", "a", "a", "a", "b", "d"]
     frame = spark.createDataFrame(list(enumerate(words)), "id BIGINT, word STRING")
@@ -131,9 +213,9 @@ def test_changelog_is_right_at_every_commit(spark):
 
     def run():
         sdf = spark.readStream.schema("id BIGINT, word STRING, commit_id BIGINT").parquet(f"{folder}/inbox")
-        return write_changelog(stream_wordcount(sdf), folder, f"{folder}/checkpoint")
+        return write_changelog(stream_wordcount(sdf), folder, f"{folder}/checkpoint", trigger=commits.ON_ARRIVAL)
 
-    assert len(commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)) == 3
+    commits.explicit_commit(spark, f"{folder}/staged", f"{folder}/inbox", run)
     table = {}
     for commit, upto in enumerate((6, 9, 12)):
         rows = spark.read.parquet(f"{folder}/changes/commit={commit}").collect()
