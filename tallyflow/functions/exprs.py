@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType
 
 # The control words a topic or edge file may carry between records.
-CONTROL_WORDS = ("*FINISH*", "*COMMIT*")
+COMMIT_MARK = "*COMMIT*"
+CONTROL_WORDS = ("*FINISH*", COMMIT_MARK)
 
 # The dash-separated fields in the name of a latency result file.
 NAME_FIELDS = (
@@ -176,9 +177,12 @@ def batch_of_id(id_col: Column | str, start: int, step: int) -> Column:
 
 
 def filename_meta(df: DataFrame, path_col: str = "path") -> DataFrame:
-    """Run metadata from ``.../<engine>/<dashed name>-latency.csv[/part-...]``."""
-    engine = F.regexp_extract(path_col, r"([^/]+)/[^/]+-latency\.csv(/[^/]*)?$", 1)
-    name = F.regexp_extract(path_col, r"([^/]+)-latency\.csv(/[^/]*)?$", 1)
+    """Run metadata from ``.../<engine>/<dashed name>-latency.csv[/part-...]``.
+
+    Folders of a partitioned write, ``engine=...`` and ``report=...``, are read without their column names.
+    """
+    engine = F.regexp_extract(path_col, r"(?:engine=)?([^/]+)/[^/]+-latency\.csv(/[^/]*)?$", 1)
+    name = F.regexp_extract(path_col, r"(?:report=)?([^/]+)-latency\.csv(/[^/]*)?$", 1)
     parts = F.split(name, "-")
     out = df.withColumn("engine", engine)
     for i, field in enumerate(NAME_FIELDS):

@@ -73,6 +73,11 @@ def conditional_count(df: DataFrame, cond: Column, name: str = "hits") -> DataFr
     return df.agg(F.count_if(cond).alias(name))
 
 
+def exact_key_sum() -> Column:
+    """Keys are summed as decimals: exactly, whatever their size."""
+    return F.coalesce(F.sum(F.col("k").cast("decimal(20,0)")), F.lit(0))
+
+
 def integrity_check(df: DataFrame, n: int) -> DataFrame:
     """One row of aggregates over ``k, name, value, flag[, diff]`` and whether all of them fit.
 
@@ -84,7 +89,7 @@ def integrity_check(df: DataFrame, n: int) -> DataFrame:
         F.count(F.lit(1)).alias("count"),
         F.coalesce(F.min("k"), F.lit(-1)).alias("min_k"),
         F.coalesce(F.max("k"), F.lit(-1)).alias("max_k"),
-        F.coalesce(F.sum(F.col("k").cast("decimal(20,0)")), F.lit(0)).alias("exact_sum"),
+        exact_key_sum().alias("exact_sum"),
         F.count_if(F.col("name") != F.concat(F.lit("item_"), F.col("k").cast("string"))).alias("bad_name"),
         F.count_if(F.col("value").isNull() | F.col("flag").isNull() | F.col("name").isNull()).alias("null_cols"),
     ]

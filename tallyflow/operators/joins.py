@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tallyflow.operators.ordered import next_value, ranked_histogram
-from tallyflow.session import shuffle_width
+from tallyflow.session import scratch_path, shuffle_width
 
 SALT = "_salt"
 FAN = "_fan"
@@ -25,14 +25,22 @@ def join_left_anti(a: DataFrame, b: DataFrame, on: str | Sequence[str]) -> DataF
     return a.join(b, on, "left_anti")
 
 
-def fan_outs(sizes: DataFrame, key: str, size: str) -> DataFrame:
+def noted_sizes(sizes: DataFrame, size: str) -> tuple[DataFrame, int]:
+    """``sizes`` written once, and the total that was observed on the way: its input is read no second time."""
+    path, seen = scratch_path(sizes.sparkSession, "sizes"), Observation()
+    sizes.observe(seen, F.sum(size).alias("total")).write.parquet(path)
+    return sizes.sparkSession.read.schema(sizes.schema).parquet(path), seen.get.get("total") or 0
+
+
+def fan_outs(sizes: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """``key, _fan`` for the keys that hold too much for one task.
 
-    ``sizes`` has one row per key.  A key counts as hot above ``total / (4 * width)`` rows, so there
+    ``sizes`` has one row per key; ``total`` is their sum, where it is known.  A key counts as hot above ``total / (4 * width)`` rows, so there
     are fewer than ``4 * width`` hot keys: small enough to broadcast, whatever the data.
     """
     width = shuffle_width(sizes.sparkSession)
-    total = sizes.agg(F.coalesce(F.sum(size), F.lit(0)).alias("t")).first()["t"]
+    if total is None:
+        total = sizes.agg(F.coalesce(F.sum(size), F.lit(0)).alias("t")).first()["t"]
     share = max(1, -(-total // (4 * width)))
     return sizes.where(F.col(size) > share).select(
         F.col(key), F.ceil(F.col(size) / F.lit(share)).cast("int").alias(FAN)
@@ -65,7 +73,8 @@ def join_edges_outflow(edges: DataFrame, outflow: DataFrame) -> DataFrame:
     with very many targets is spread over several tasks.
     """
     copies = edge_copies(edges)
-    fans = fan_outs(edges.groupBy("u").agg(F.count(F.lit(1)).alias("size")), "u", "size")
+    sizes, total = noted_sizes(edges.groupBy("u").agg(F.count(F.lit(1)).alias("size")), "size")
+    fans = fan_outs(sizes, "u", "size", total)
     return (
         salted(copies, "u", fans, "v")
         .join(fanned(outflow, "u", fans), ["u", SALT])
@@ -73,9 +82,18 @@ def join_edges_outflow(edges: DataFrame, outflow: DataFrame) -> DataFrame:
     )
 
 
-def join_links_ranks(links: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Neighbour lists (in chunks, see ``neighbour_list``) with the rank of their source."""
-    fans = fan_outs(links.groupBy("u").agg(F.sum("degree_part").alias("size")), "u", "size")
+def link_degrees(links: DataFrame) -> tuple[DataFrame, int]:
+    """``u, degree`` of neighbour lists in chunks, written once, and the number of links."""
+    return noted_sizes(links.groupBy("u").agg(F.sum("degree_part").alias("degree")), "degree")
+
+
+def join_links_ranks(links: DataFrame, ranks: DataFrame, degrees: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Neighbour lists (in chunks, see ``neighbour_list``) with the rank of their source.
+
+    ``degrees`` are those of ``link_degrees``, where they are at hand.
+    """
+    sizes, total = degrees or link_degrees(links)
+    fans = fan_outs(sizes, "u", "degree", total)
     return salted(links, "u", fans, "chunk").join(fanned(ranks, "u", fans), ["u", SALT]).drop(SALT)
 
 

@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyflow.functions.exprs import whole_div
-from tallyflow.operators.joins import SALT, edge_copies, fan_outs, fanned, salted
+from tallyflow.operators.joins import SALT, edge_copies, fan_outs, fanned, join_links_ranks, link_degrees, salted
 from tallyflow.session import settle, shuffle_width
 
 # Fixed values of the integer ranks: 1000 is one unit, damping 5/6, six units to start with.
@@ -204,10 +204,9 @@ def pagerank_float(edges: DataFrame, steps: int = 5, reset: float = 1 / 6) -> Da
 def udtf_contribs(links: DataFrame, ranks: DataFrame) -> DataFrame:
     """One row per neighbour: ``vertex, contribution`` with the rank shared out evenly, rounded down.
 
-    ``links`` comes in chunks of neighbours, so the degree is summed over the chunks of a source.
+    ``links`` comes in chunks of neighbours, so the degree is summed over the chunks of a source, once for the shares and
+    for the hot sources.
     """
-    from tallyflow.operators.joins import join_links_ranks
-
-    degree = links.groupBy("u").agg(F.sum("degree_part").alias("degree"))
-    sources = degree.join(ranks, "u").select("u", whole_div("rank", "degree").alias("share"))
-    return join_links_ranks(links, sources).select(F.explode("neighbours").alias("vertex"), F.col("share").alias("contribution"))
+    degrees = link_degrees(links)
+    sources = degrees[0].join(ranks, "u").select("u", whole_div("rank", "degree").alias("share"))
+    return join_links_ranks(links, sources, degrees).select(F.explode("neighbours").alias("vertex"), F.col("share").alias("contribution"))

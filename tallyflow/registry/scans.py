@@ -6,10 +6,12 @@ them back through the operator.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyflow.functions.exprs import NAME_FIELDS, batch_of_id, coalesce_null, filename_meta, log_extract
-from tallyflow.operators.aggregates import integrity_check, latency_percentiles, message_count_check, peak_memory
+from tallyflow.operators.aggregates import REPORT_PERCENTILES, integrity_check, latency_percentiles, message_count_check, peak_memory
 from tallyflow.plans import bulk_copy as copying, reports
 from tallyflow.plans.latency import latency_profile, match_latencies, report_name, sink_latency_report
 from tallyflow.registry.base import (
@@ -60,6 +62,16 @@ def scan_jsonl_edges(spark, sf):
     return files.scan_jsonl_edges(spark, path)
 
 
+@query("scan_marked_edges", f"""
+select id, u, v, case when id + 1 <= start then 0 else (id + 1 - start + step - 1) // step end as commit_id
+from ({EVENT_EDGES}), (select count(*) // 2 as start, greatest(1, count(*) // 50) as step from events)
+""")
+def scan_marked_edges(spark, sf):
+    n, path = table(spark, sf, "events").count(), scratch_path(spark, "edges-marked")
+    generators.gen_marked_edges(event_edges(spark, sf), n // 2, max(1, n // 50), path, 8)
+    return files.scan_marked_edges(spark, path)
+
+
 @query("scan_json_inferred", EVENT_EDGES)
 def scan_json_inferred(spark, sf):
     path = scratch_path(spark, "edges-json")
@@ -117,12 +129,14 @@ def _result_files(spark: SparkSession, sf: str) -> str:
     folder = scratch_path(spark, "results")
     matched = match_latencies(input_timeline(spark, sf), output_timeline(spark, sf), ["offset"])
     rows = latency_percentiles(matched, by=["word"])
-    lines = rows.select(F.concat_ws(",", "word", F.lit(report_name(RUN).replace("-", ",")), "p", "value").alias("line"), "word")
-    lines.write.partitionBy("word").text(f"{folder}/by-word")
-    for word in [r["word"] for r in lines.select("word").distinct().collect()]:
-        out = f"{folder}/results/{word}/{report_name(RUN)}-latency.csv"
-        spark.read.text(f"{folder}/by-word/word={word}").write.text(out)
-    return f"{folder}/results"
+    lines = rows.select(
+        F.concat_ws(",", "word", F.lit(report_name(RUN).replace("-", ",")), "p", "value").alias("line"),
+        F.col("word").alias("engine"),
+        F.lit(f"{report_name(RUN)}-latency.csv").alias("report"),
+    )
+    # One write: the path of a file carries what the run was.
+    lines.write.partitionBy("engine", "report").text(folder)
+    return folder
 
 
 LOG_LINES = """
@@ -239,6 +253,25 @@ def name_meta(spark, sf):
     return filename_meta(paths).select("id", "engine", "benchmark", "workers", "batch_length_ms", "recorded_dataset_size")
 
 
+_WIDE = ", ".join(
+    f"max(latency) filter (where p = {p}) as {'min' if p == 0 else 'median' if p == 50 else 'max' if p == 100 else f'p{p:02d}'}"
+    for p in REPORT_PERCENTILES
+)
+
+
+@query("results_table", f"""
+with {TIMELINES}, s as ({sorted_values('matched', 'word')}),
+r as (select word, p, latency from s join {PERCENTILE_ROWS} on pos = ((n - 1) * p) // 100)
+select word as engine, {", ".join(f"'{v}' as {k}" for k, v in RUN.items())}, {_WIDE}, null::bigint as lost
+from r group by word
+""")
+def results_table(spark, sf):
+    """The combined table with all of its columns, written and read back."""
+    path = scratch_path(spark, "combined")
+    reports.results_rollup(spark, _result_files(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("results_rollup", f"""
 with {TIMELINES}, s as ({sorted_values('matched', 'word')}),
 r as (select word, p, latency from s join {PERCENTILE_ROWS} on pos = ((n - 1) * p) // 100)
@@ -358,7 +391,6 @@ def bulk_copy(spark, sf):
         _csv_shards(spark, sf),
         lambda rows: rows.write.parquet(target),
         lambda: spark.read.parquet(target),
-        _n(spark, sf),
     )
 
 
@@ -424,3 +456,48 @@ def latency_report(spark, sf):
     paths = sink_latency_report(profile, scratch_path(spark, "report"), {"engine": "spark", **RUN})
     lines = spark.read.text(paths["latency"]).select(F.split("value", ",").alias("f"))
     return lines.select(F.element_at("f", -2).cast("bigint").alias("p"), F.element_at("f", -1).cast("bigint").alias("value"))
+
+
+_STATS = """max(latency) || ',' || max(latency) filter (where pos = (n * 19) // 20) || ',' || max(latency) filter (where pos = n // 2)
+  || ',' || max(latency) filter (where pos = n // 20) || ',' || min(latency) || ',' || max(n)"""
+
+
+@query("latency_report_outputs", f"""
+with {TIMELINES},
+found as (select * from matched where latency is not null),
+numbered as (select *, row_number() over (order by timestamp, word, "offset") > 500 as kept from found),
+s as ({sorted_values('(select latency from numbered where kept)')}),
+by_input as (select kept, timestamp, latency, row_number() over (partition by kept, timestamp order by latency) - 1 as pos,
+                    count(*) over (partition by kept, timestamp) as n from numbered),
+by_engine as ({sorted_values('(select engine_time, latency from found where engine_time is not null)', 'engine_time')})
+select 'latency' as output, p || ',' || latency as line from s join {PERCENTILE_ROWS} on pos = ((n - 1) * p) // 100
+union all select 'latency', '-1,' || count(*) filter (where latency is null) from matched
+union all select 'timeline', timestamp || ',' || latency from numbered where kept
+union all select case when kept then '' else 'pref-' end || 'aggregated-timeline', timestamp || ',' || {_STATS} from by_input group by kept, timestamp
+union all select 'ptime-aggregated-timeline', engine_time || ',' || {_STATS} from by_engine group by engine_time
+""")
+def latency_report_outputs(spark, sf):
+    """All five files of a report with a skipped prefix, each line without the columns that describe the run."""
+    profile = latency_profile(input_timeline(spark, sf), output_timeline(spark, sf), skip=500)
+    paths = sink_latency_report(profile, scratch_path(spark, "report"), {"engine": "spark", **RUN})
+    lines = []
+    for output, path in paths.items():
+        own = 1 if output == "timeline" else len(reports.RUN_FIELDS) + 1
+        line = F.array_join(F.slice(F.split("value", ","), own, 100), ",").alias("line")
+        lines.append(spark.read.text(path).select(F.lit(output).alias("output"), line))
+    return reduce(DataFrame.unionByName, lines)
+
+
+_LATER = """later as (select * from outputs qualify row_number() over (partition by word order by timestamp, "count") > 1),
+hit as ("""
+DECILES = tuple(range(0, 101, 10))
+
+
+@query("latency_deciles", f"""
+with {TIMELINES.replace("hit as (", _LATER).replace("from outputs o", "from later o")}, s as ({sorted_values('matched')})
+select p, latency as value from s join (select unnest({list(DECILES)})::bigint as p) on pos = ((n - 1) * p) // 100
+""")
+def latency_deciles(spark, sf):
+    """The eleven deciles, where the first output of each word does not count."""
+    matched = match_latencies(input_timeline(spark, sf), output_timeline(spark, sf), ["offset"], drop_first_output=True)
+    return latency_percentiles(matched, DECILES)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tallyflow.functions.exprs import CONTROL_WORDS, filename_meta, json_extract, log_extract, ts_from_id
+from tallyflow.functions.exprs import COMMIT_MARK, CONTROL_WORDS, filename_meta, json_extract, log_extract, ts_from_id
+from tallyflow.operators.ordered import running_total
 
 KV_SCHEMA = "k BIGINT, name STRING, value DOUBLE, flag BOOLEAN"
 EDGE_SCHEMA = "id BIGINT, u BIGINT, v BIGINT"
@@ -26,6 +27,19 @@ def scan_jsonl_edges(spark: SparkSession, path: str, schema: str = EDGE_SCHEMA)
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
 
 
+def scan_marked_edges(spark: SparkSession, path: str, schema: str = EDGE_SCHEMA) -> DataFrame:
+    """Edges of JSON lines in which a mark ends each commit, with the ``commit_id`` that the marks before them give.
+
+    Lines count in the order of files, of blocks in a file and of places in a block, so a file of any size is read
+    in parallel: marks are counted within slices of that order, and what earlier slices hold is carried over.
+    """
+    lines = _placed_lines(spark, path).withColumn("value", F.trim("value"))
+    is_mark = (F.col("value") == COMMIT_MARK).cast("bigint")
+    counted = running_total(lines, is_mark, ["file", "block", "line"], running="commit_id")
+    edges = counted.where(~F.col("value").isin(*CONTROL_WORDS, ""))
+    return edges.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("e"), "commit_id").select("e.*", "commit_id")
+
+
 def scan_json_inferred(spark: SparkSession, path: str, sampling: float = 1.0) -> DataFrame:
     """Schema from the data; lower ``sampling`` to infer from a part of very large inputs."""
     return spark.read.option("samplingRatio", sampling).json(path)
@@ -73,11 +87,14 @@ def scan_engine_log(spark: SparkSession, path: str) -> DataFrame:
     Within one split the running id rises with the line; the splits of a file are ordered by their
     start.  So a log of any size is read in parallel and still has a line order.
     """
+    return log_extract(_placed_lines(spark, path))
+
+
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).text(path)
-    placed = lines.select(
+    return lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
-    return log_extract(placed)

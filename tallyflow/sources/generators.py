@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyflow.functions.exprs import batch_of_id
+from tallyflow.functions.exprs import COMMIT_MARK, batch_of_id
 
 # The reference sizes.
 DICT_SIZE = 5000
@@ -64,3 +64,12 @@ def gen_backfill_stream(edges: DataFrame, start: int, step: int, out_dir: str) -
     """
     marked = edges.withColumn("commit_id", batch_of_id("id", start, step))
     marked.repartitionByRange("id").write.mode("overwrite").partitionBy("commit_id").parquet(out_dir)
+
+
+def gen_marked_edges(edges: DataFrame, start: int, step: int, out_dir: str, files: int = SHARDS) -> None:
+    """Edges ``id, u, v`` as JSON lines in order of their id, a mark after the last one of each commit."""
+    here, after = batch_of_id("id", start, step), batch_of_id(F.col("id") + 1, start, step)
+    line = F.to_json(F.struct("id", "u", "v"))
+    lines = F.when(here < after, F.array(line, F.lit(COMMIT_MARK))).otherwise(F.array(line))
+    placed = edges.repartitionByRange(files, "id").sortWithinPartitions("id")
+    placed.select(F.explode(lines).alias("value")).write.mode("overwrite").text(out_dir)

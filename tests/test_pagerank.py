@@ -119,3 +119,21 @@ def test_edges_outflow_keeps_copies_as_weight(spark):
     assert sum(r["copies"] for r in rows) == len(edges)
     assert all(r["outflow"] == r["u"] * 10 for r in rows)
     assert len(rows) == len(set(edges))
+
+
+def test_edges_are_read_twice_for_sizes_and_join(spark, tmp_path):
+    """Once to note the sizes of the sources, once to be joined; the second plan reads what was noted."""
+    path = str(tmp_path / "edges-in")
+    frame(spark, random_graph(5, hub=True)).write.parquet(path)
+    flows = spark.createDataFrame([(u, u) for u in range(200)], "u BIGINT, outflow BIGINT")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sizes", "sizes")
+    try:
+        joined = join_edges_outflow(spark.read.schema("u BIGINT, v BIGINT").parquet(path), flows)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<u:bigint,v:bigint>") == 1 and "ReadSchema: struct<u:bigint,size:bigint>" in plan
+    assert len(jobs.getJobIdsForGroup("sizes")) <= 2  # the write of the sizes: its shuffle and its result
+    assert joined.count() == len(set(random_graph(5, hub=True)))
+    assert join_edges_outflow(frame(spark, []), flows).count() == 0

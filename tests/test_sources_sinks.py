@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyflow.operators.aggregates import peak_memory
+from tallyflow.plans.bulk_copy import bulk_copy
 from tallyflow.session import scratch_path
 from tallyflow.sinks import files as file_sinks, tables, topics as sinks
 from tallyflow.sources import files, generators, topics
@@ -73,6 +74,42 @@ def test_engine_log(spark, tmp_path):
     assert tuple(again) == tuple(row)
 
 
+def test_marks_number_the_commits_of_any_split(spark):
+    edges = spark.createDataFrame([(i, i % 7, i % 5) for i in range(400)], "id BIGINT, u BIGINT, v BIGINT")
+    for start, step in ((100, 30), (0, 1), (1000, 10)):
+        path = scratch_path(spark, "marked")
+        generators.gen_marked_edges(edges.repartition(3), start, step, path, 5)
+        marks = spark.read.text(path).where("value = '*COMMIT*'").count()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+        try:
+            rows = files.scan_marked_edges(spark, path).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        want = {(i, i % 7, i % 5, 0 if i < start else (i - start) // step + 1) for i in range(400)}
+        # Without a first commit of its own, numbers begin at the first mark.
+        low = min(c for *_, c in want)
+        assert {tuple(r) for r in rows} == {(i, u, v, c - low) for i, u, v, c in want} and len(rows) == 400
+        assert marks == len({c for *_, c in want}) - (start > 400)
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        spark.createDataFrame([("*COMMIT*",), ("{bad",)], "value STRING").write.text(path + "-bad")
+        files.scan_marked_edges(spark, path + "-bad").collect()
+
+
+def test_bulk_copy_tells_what_did_not_arrive(spark):
+    source = scratch_path(spark, "shards")
+    generators.gen_kv_rows(spark, 60, 3).write.option("header", True).csv(source)
+
+    def copied(change):
+        target = scratch_path(spark, "target")
+        return bulk_copy(spark, source, lambda rows: change(rows).write.parquet(target), lambda: spark.read.parquet(target)).first()
+
+    row = copied(lambda rows: rows)
+    assert row["ok"] and (row["count"], row["sum_k"], row["sum_diff"]) == (60, 59 * 30, 60)
+    assert not copied(lambda rows: rows.where("k <> 7"))["ok"]
+    assert not copied(lambda rows: rows.where("k <> 59"))["ok"]  # what is left is dense, but not all
+    assert not copied(lambda rows: rows.union(rows.where("k = 3")))["ok"]
+
+
 def test_generators_are_stable(spark):
     a, b = generators.gen_words(spark, 500, dict_size=50), generators.gen_words(spark, 500, dict_size=50).repartition(7)
     assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in b.collect())
