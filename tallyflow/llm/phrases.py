@@ -3,11 +3,11 @@
 Every word of a piece of text begins a suffix of at most ``DEPTH`` words. A first pass over the texts counts words and
 pairs of neighbours in 2 ** 32 buckets, a second one longer runs of pairs whose buckets hold ``least`` occurrences; a
 suffix ends before its first beginning whose bucket holds fewer, as no phrase around it can be frequent. What is left is
-told by prefixes: prefixes of one word fall in classes, classes that hold more suffixes than the memory budget are extended by the next word, again and
-again, and classes are packed into groups of about one budget. Each group is one task that sorts its suffixes
-and builds their subtree from the outside in: equal suffixes are a leaf with a total, and the count of an inner node, a
-phrase, is the sum of its leaves. Nodes above an extended prefix have leaves in several groups; their partial
-sums are added up afterwards.
+told by prefixes: prefixes of one word fall in classes, classes that hold more suffixes than the memory budget are
+extended by the next word, again and again, and classes are packed into groups of about one budget. A task passes on
+the suffixes of a class as one block. The blocks of a group meet in one task, which sorts the suffixes and builds their
+subtree from the outside in: equal suffixes are a leaf with a total, and the count of an inner node, a phrase, is the sum
+of its leaves. Nodes above an extended prefix have leaves in several groups; their partial sums are added up afterwards.
 
 Words are known by 64-bit hashes of their bytes and their language, so phrases of different languages never meet.
 Bytes are read straight from the batch: all separators are ASCII, so that UTF-8 needs no decoding.
@@ -32,7 +32,7 @@ PAIRS = 2
 UNKNOWN = "und"
 
 #: Suffixes (distinct ones of a task of the pass before) that a group holds, about; classes of prefixes of one length.
-BUDGET, CLASSES = 1_000_000, 1 << 13
+BUDGET, CLASSES = 1_000_000, 1 << 10
 #: Ranges of buckets, each counted by itself; bits of the table of frequent buckets, whose size is fixed.
 RANGES, BITS = 256, 1 << 26
 #: Bytes of text, and words or suffixes, that a task looks at together or holds before it passes them on.
@@ -49,8 +49,9 @@ _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _FACTOR = 0x9E3779B97F4A7C15
 _POWERS = np.cumprod(np.full(CHUNK + 1, _FACTOR, np.uint64)) * np.uint64(pow(_FACTOR, -1, 1 << 64))
 _INVERSE = np.cumprod(np.full(CHUNK + 1, pow(_FACTOR, -1, 1 << 64), np.uint64)) * np.uint64(_FACTOR)
-
-KEYS = [f"w{k}" for k in range(1, DEPTH + 1)]
+#: Suffixes of a class and a language: so many rows of words (0 after the last one), packed, and how often each occurs.
+BLOCK = pa.schema([("class", pa.int32()), ("lang", pa.string()), ("size", pa.int64()), ("rows", pa.binary()), ("n", pa.binary())])
+BLOCK_SQL = "class int, lang string, size long, rows binary, n binary"
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -258,13 +259,44 @@ def _distinct(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
+def _classes(rows: np.ndarray, depth: int) -> np.ndarray:
+    """The class of each suffix by its first ``depth`` words."""
+    key = np.zeros(len(rows), np.uint64)
+    for column in rows.T[:depth]:
+        key = mixed(key + column)
+    return (key % np.uint64(CLASSES)).astype(np.int32)
+
+
+def _blocks(rows: np.ndarray, n: np.ndarray, lang: np.ndarray, names: list[str], depth: int) -> pa.RecordBatch:
+    """Suffixes as blocks, ``lang`` telling the place of each one's language in ``names``."""
+    with np.errstate(over="ignore"):
+        of = _classes(rows, depth)
+    order = np.lexsort([*rows.T[::-1], lang, of])
+    rows, n, lang, of = rows[order], n[order], lang[order], of[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (of[1:] != of[:-1]) | (lang[1:] != lang[:-1])
+    at = np.flatnonzero(new)
+    ends = [*at[1:].tolist(), len(rows)]
+    spans = [slice(i, j) for i, j in zip(at.tolist(), ends, strict=False)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(of[at]), pa.array([names[c] for c in lang[at].tolist()], pa.string()), pa.array([x.stop - x.start for x in spans], pa.int64()),
+         pa.array([rows[x].tobytes() for x in spans], pa.binary()), pa.array([n[x].tobytes() for x in spans], pa.binary())],
+        schema=BLOCK,
+    )
+
+
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(batch.column("rows")[i].as_buffer(), np.uint64).reshape(-1, DEPTH)
+    return rows, np.frombuffer(batch.column("n")[i].as_buffer(), np.int64)
+
+
 def suffixes(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
-    """Partial counts of suffixes as ``w1..w5, n, lang`` (0 after the last word), and words of phrases as ``key, word``.
+    """Blocks of suffixes by their first word, and rows of ``keys, words``, the words of phrases.
 
     A task adds up equal suffixes as it goes and passes them on when it holds ``HELD`` different ones.
     """
     broadcast = texts.sparkSession.sparkContext.broadcast(tables)
-    schema = pa.schema([*[(k, pa.int64()) for k in KEYS], ("n", pa.int64()), ("lang", pa.string()), ("key", pa.binary()), ("word", pa.string())])
+    schema = pa.schema([*BLOCK, ("keys", pa.list_(pa.binary())), ("words", pa.list_(pa.string()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = broadcast.value
@@ -280,22 +312,14 @@ def suffixes(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
             return len(at)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            names = pa.array(list(codes))
-            for all_rows, all_n, all_lang in held:
-                order = np.lexsort(all_rows.T[::-1])  # like stands beside like, which packs well
-                for first in range(0, len(order), 1 << 16):
-                    at = order[first : first + (1 << 16)]
-                    rows, n, lang = all_rows[at], all_n[at], all_lang[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [*[pa.array(c.view(np.int64)) for c in np.ascontiguousarray(rows.T)], pa.array(n), names.take(pa.array(lang)),
-                         pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.string())],
-                        schema=schema,
-                    )
+            for rows, n, lang in held:
+                blocks = _blocks(rows, n, lang, list(codes), 1)
+                nothing = [pa.nulls(blocks.num_rows, schema.field(k).type) for k in ("keys", "words")]
+                yield pa.RecordBatch.from_arrays([*blocks.columns, *nothing], schema=schema)
             held.clear()
             if spelled:
-                words = pa.array([np.uint64(h).byteswap().tobytes() for h in spelled], pa.binary())
-                empty = pa.nulls(len(spelled), pa.int64())
-                yield pa.RecordBatch.from_arrays([*[empty] * (DEPTH + 1), pa.nulls(len(spelled), pa.string()), words, pa.array(list(spelled.values()))], schema=schema)
+                words = {"keys": [np.uint64(h).byteswap().tobytes() for h in spelled], "words": list(spelled.values())}
+                yield pa.RecordBatch.from_pylist([words], schema=schema)
                 spelled.clear()
 
         for w, langs in _words(batches):
@@ -323,7 +347,7 @@ def suffixes(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
             add_up()
             yield from flush()
 
-    return texts.mapInArrow(cut, ", ".join(f"{k} long" for k in KEYS) + ", n long, lang string, key binary, word string")
+    return texts.mapInArrow(cut, BLOCK_SQL + ", keys array<binary>, words array<string>")
 
 
 def packed(counts: dict[int, int], budget: int, first: int) -> dict[int, int]:
@@ -336,31 +360,36 @@ def packed(counts: dict[int, int], budget: int, first: int) -> dict[int, int]:
     return out
 
 
-def partitioned(leaves: DataFrame, budget: int) -> tuple[DataFrame, int]:
-    """``leaves`` with their ``group`` and the length (``depth``) of the prefix that put them there; the number of groups.
+def partitioned(blocks: DataFrame, budget: int) -> tuple[DataFrame, int]:
+    """``blocks`` with their ``group`` and the length (``depth``) of the prefix that put them there; the number of groups.
 
-    Classes of prefixes of one word that hold more than ``budget`` are extended by a word, and so on to whole suffixes. The
-    table of each length has ``CLASSES`` rows at most. Where the classes of the last length are still larger (which takes
-    more suffixes than ``CLASSES`` budgets), so are their groups: they are sorted by Spark, which spills.
+    Classes of prefixes of one word that hold more than ``budget`` suffixes are cut into classes by a word more, and so on to
+    whole suffixes. The table of each length has ``CLASSES`` rows at most.
     """
-    spark = leaves.sparkSession
-    rows = leaves.withColumns({"group": F.lit(None).cast("int"), "depth": F.lit(None).cast("int")})
-    groups = 0
+    spark = blocks.sparkSession
+    done, groups = [], 0
     for depth in range(1, DEPTH + 1):
-        rows = rows.withColumn("class", F.pmod(F.xxhash64(*KEYS[:depth]), F.lit(CLASSES)).cast("int"))
-        counts = {r["class"]: r["n"] for r in rows.where("group is null").groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {r["class"]: r["n"] for r in blocks.groupBy("class").agg(F.sum("size").alias("n")).collect()}
         kept = {c: n for c, n in counts.items() if n <= budget or depth == DEPTH}
         placed = packed(kept, budget, groups)
         groups = max([groups, *(g + 1 for g in placed.values())])
-        if placed:
-            told = spark.createDataFrame(list(placed.items()), "class int, placed int")
-            rows = rows.join(F.broadcast(told), "class", "left").withColumns(
-                {"depth": F.coalesce("depth", F.when(F.col("group").isNull() & F.col("placed").isNotNull(), depth)), "group": F.coalesce("group", "placed")}
-            ).drop("placed")
-        rows = rows.drop("class")
+        told = spark.createDataFrame([(c, placed.get(c)) for c in counts], "class int, group int")
+        at = blocks.join(F.broadcast(told), "class").withColumn("depth", F.lit(depth))
+        done.append(at.where("group is not null"))
         if len(kept) == len(counts):
             break
-    return rows, groups
+
+        def cut(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, lang in enumerate(batch.column("lang").to_pylist()):
+                    rows, n = _unpacked(batch, i)
+                    yield _blocks(rows, n, np.zeros(len(rows), np.int64), [lang], depth + 1)
+
+        blocks = stage(at.where("group is null").select(*BLOCK.names).mapInArrow(cut, BLOCK_SQL), "blocks")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, groups
 
 
 def _keys(rows: np.ndarray) -> list[bytes]:
@@ -369,50 +398,70 @@ def _keys(rows: np.ndarray) -> list[bytes]:
     return [data[at : at + step] for at in range(0, len(data), step)]
 
 
-class Subtree:
-    """Counts of the nodes of a subtree, from its leaves in the order of their words; of each length the last node is open."""
-
-    SCHEMA = pa.schema([("key", pa.binary()), ("k", pa.int32()), ("f", pa.int64()), ("lang", pa.string()), ("whole", pa.bool_())])
-
-    def __init__(self, least: int) -> None:
-        self.least = least
-        self.last: list[tuple | None] = [None] * DEPTH
-
-    def add(self, rows: np.ndarray, n: np.ndarray, depth: np.ndarray, lang: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(1, DEPTH + 1):
-            reach = np.flatnonzero(rows[:, k - 1])
-            if not len(reach):
-                continue
-            nodes = rows[reach, :k]
-            new = np.ones(len(reach), bool)
-            new[1:] = (nodes[1:] != nodes[:-1]).any(axis=1)
-            at = np.flatnonzero(new)
-            f = np.add.reduceat(n[reach], at)
-            nodes, whole, langs = nodes[at], depth[reach][at] <= k, lang[reach][at]
-            before = self.last[k - 1]
-            if before is not None and (before[0] == nodes[:1]).all():
-                f[0] += before[1][0]
-            elif before is not None:
-                yield from self._nodes(*before)
-            self.last[k - 1] = (nodes[-1:], f[-1:], whole[-1:], langs[-1:])
-            yield from self._nodes(nodes[:-1], f[:-1], whole[:-1], langs[:-1])
-
-    def end(self) -> Iterator[pa.RecordBatch]:
-        for node in self.last:
-            if node is not None:
-                yield from self._nodes(*node)
-
-    def _nodes(self, nodes: np.ndarray, f: np.ndarray, whole: np.ndarray, lang: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A node below its group's prefix is whole and goes if it is rare; one above is a part of it."""
-        keep = (f >= self.least) | ~whole
+NODES = pa.schema([("key", pa.binary()), ("k", pa.int32()), ("f", pa.int64()), ("lang", pa.string()), ("whole", pa.bool_())])
+
+
+def subtree(rows: np.ndarray, n: np.ndarray, lang: np.ndarray, names: list[str], depth: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the nodes over sorted suffixes, length by length.
+
+    A node at or below the group's prefix of ``depth`` words is whole and goes if it is rare; one above is a part of it.
+    """
+    for k in range(1, DEPTH + 1):
+        reach = np.flatnonzero(rows[:, k - 1])
+        if not len(reach):
+            break
+        nodes = rows[reach, :k]
+        new = np.ones(len(reach), bool)
+        new[1:] = (nodes[1:] != nodes[:-1]).any(axis=1)
+        at = np.flatnonzero(new)
+        f = np.add.reduceat(n[reach], at)
+        keep = (f >= least) | (k < depth)
         if keep.any():
-            k = nodes.shape[1]
+            told = pa.array([names[c] for c in lang[reach][at][keep].tolist()], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_keys(nodes[keep]), pa.binary()), pa.array([k] * int(keep.sum()), pa.int32()), pa.array(f[keep]), pa.array(lang[keep].tolist(), pa.string()), pa.array(whole[keep])],
-                schema=self.SCHEMA,
+                [pa.array(_keys(nodes[at][keep]), pa.binary()), pa.array([k] * len(told), pa.int32()), pa.array(f[keep]), told, pa.array([k >= depth] * len(told))],
+                schema=NODES,
             )
 
 
+def subtrees(groups: DataFrame, least: int) -> DataFrame:
+    """The nodes of every group; the blocks of a group come one after the other."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        codes: dict[str, int] = {}
+        at, size = (None, 0), 0
+
+        def add_up() -> tuple[np.ndarray, ...]:
+            rows, n, lang = (np.concatenate(c) for c in zip(*held, strict=True))
+            with np.errstate(over="ignore"):
+                one, n = _distinct(rows, n)
+            held[:] = [(rows[one], n, lang[one])]
+            return held[0]
+
+        def grown() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows, n, lang = add_up()
+                order = np.lexsort(rows.T[::-1])
+                yield from subtree(rows[order], n[order], lang[order], list(codes), at[1], least)
+                held.clear()
+
+        for batch in batches:
+            places = zip(batch.column("group").to_pylist(), batch.column("depth").to_pylist(), batch.column("lang").to_pylist(), strict=True)
+            for i, (group, depth, lang) in enumerate(places):
+                if group != at[0]:
+                    yield from grown()
+                    at, size = (group, depth), 0
+                rows, n = _unpacked(batch, i)
+                held.append((rows, n, np.full(len(rows), codes.setdefault(lang, len(codes)))))
+                size += len(rows)
+                if size > 2 * BUDGET:  # copies of suffixes from many tasks
+                    size = len(add_up()[1])
+        yield from grown()
+
+    return groups.mapInArrow(build, "key binary, k int, f long, lang string, whole boolean")
+
+
 def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of ``lang, text``: phrases ``key, k, f, lang`` of up to ``DEPTH`` words with ``f >= least``; words ``key, word``; ``lang, n``.
 
@@ -424,22 +473,14 @@ def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, Data
     short = frequent_buckets(counted, least)
     longer = frequent_buckets(counted_buckets(texts, [short]), least)
     cut = stage(suffixes(texts, [short, longer]), "suffixes")
-    leaves = cut.where("word is null").select(*KEYS, "n", "lang")
-    spelled = cut.where("word is not null").groupBy("key").agg(F.min("word").alias("word"))
+    blocks = cut.where("words is null").select(*BLOCK.names)
+    spelled = cut.where("words is not null").select(F.explode(F.arrays_zip("keys", "words")).alias("w"))
+    spelled = spelled.groupBy(F.col("w.keys").alias("key")).agg(F.min("w.words").alias("word"))
     width = shuffle_width(spark)
-    budget = max(1, min(BUDGET, -(-leaves.count() // width)))
-    rows, groups = partitioned(leaves, budget)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Subtree(least)
-        for batch in batches:
-            if batch.num_rows:
-                words = np.stack([batch.column(k).to_numpy() for k in KEYS], axis=1)
-                yield from tree.add(words, batch.column("n").to_numpy(), batch.column("depth").to_numpy(), batch.column("lang").to_numpy(zero_copy_only=False))
-        yield from tree.end()
-
-    dealt = rows.repartition(max(width, groups), "group").sortWithinPartitions(*KEYS).select(*KEYS, "n", "depth", "lang")
-    nodes = stage(dealt.mapInArrow(build, "key binary, k int, f long, lang string, whole boolean"), "nodes")
+    total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    rows, groups = partitioned(blocks, max(1, min(BUDGET, -(-total // width))))
+    dealt = rows.repartition(max(width, groups), "group").sortWithinPartitions("group")
+    nodes = stage(subtrees(dealt, least), "nodes")
     above = nodes.where("not whole").groupBy("key", "k", "lang").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return stage(nodes.where("whole").select("key", "k", "f", "lang").unionByName(above), "phrases"), spelled, words
 

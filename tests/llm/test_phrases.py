@@ -57,7 +57,6 @@ def test_against_brute_force(spark, monkeypatch, budget, held, least, top):
     rows = texts_of(budget, 120, 12)
     monkeypatch.setattr(ph, "BUDGET", budget)
     monkeypatch.setattr(ph, "HELD", held)
-    monkeypatch.setattr(ph, "CLASSES", 16 if budget < 1000 else ph.CLASSES)
     docs = spark.createDataFrame([(1, t, lang, 1, "x", "y") for t, lang in rows], ROWS).repartition(5)
     got = ph.collocations(docs, least, top)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -101,13 +100,19 @@ def test_groups_keep_to_the_budget():
 
 
 def test_prefixes_are_extended_and_kept_together(spark):
-    rows = [(1, k % 40 + 2, k % 7, 0, 0, 1, "x") for k in range(400)] + [(5, 0, 0, 0, 0, 3, "x")] * 4
-    leaves = spark.createDataFrame(rows, ", ".join(f"{k} long" for k in ph.KEYS) + ", n long, lang string")
-    placed, groups = ph.partitioned(leaves, 30)
-    got = placed.collect()
-    assert len(got) == len(rows) and all(r.group is not None and r.group < groups for r in got)
-    assert {r.depth for r in got if r.w1 == 1} == {2} and {r.depth for r in got if r.w1 == 5} == {1}
-    assert all(len({r.group for r in got if (r.w1, r.w2) == (1, w)}) == 1 for w in range(2, 42))
+    rows = np.array([(1, k % 40 + 2, k % 7, 0, 0) for k in range(400)] + [(5, 0, 0, 0, 0)] * 4, np.uint64)
+    batch = ph._blocks(rows, np.full(len(rows), 3), np.zeros(len(rows), np.int64), ["x"], 1)
+    blocks = spark.createDataFrame([tuple(r.values()) for r in batch.to_pylist()], ph.BLOCK_SQL)
+    placed, groups = ph.partitioned(blocks, 30)
+    where, seen = {}, 0
+    for r in placed.collect():
+        words, n = np.frombuffer(r.rows, np.uint64).reshape(-1, 5), np.frombuffer(r.n, np.int64)
+        assert len(words) == r["size"] == len(n) and set(n) == {3} and r.group < groups and r.lang == "x"
+        seen += len(words)
+        for w in words.tolist():
+            assert r.depth == (2 if w[0] == 1 else 1)
+            where.setdefault(tuple(w[: r.depth]), set()).add(r.group)
+    assert seen == 404 and all(len(g) == 1 for g in where.values()) and len(where) == 41
 
 
 def test_products_beyond_64_bits(spark):
