@@ -54,7 +54,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Pieces are encoded without regard to added tokens; a text that holds the string of one goes whole to ``plain``.
+        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(vocabulary)
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
@@ -118,6 +121,8 @@ class Encoder:
         return True
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         # All pieces but the first one begin with the space that was cut out; the key leaves it out.
         first, *rest = text.split(" ")
         if len(self.seen) > REMEMBERED:
@@ -156,7 +161,8 @@ class _Part:
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Encode ``doc_id, text`` into files below ``folder`` (shared by all executors); returns the manifest.
 
-    Ascending doc_id, null ids first; equal ids by text. A null text is an empty one, which still gets its
+    Ascending doc_id, null ids first; equal ids by a hash of the text, then the text. Ids are those of the library as it comes:
+    the string of an added token (``<|endoftext|>``) in a text is that token. A null text is an empty one, which still gets its
     ``end_id``. Repeated rows are written as often as they occur. The manifest is staged: one row for each
     partition with documents, with ``base_docs`` and ``base_tokens``, the sums over the partitions before.
     """

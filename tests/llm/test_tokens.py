@@ -33,9 +33,7 @@ def tiktoken_encoding():
 def whole_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 24), (200, 40), (32768, 512)])
@@ -84,7 +82,10 @@ def test_files_hold_the_ids_in_order(spark):
 def test_pieces_between_spaces_are_independent():
     e = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     t = whole_tokenizer()
-    for text in [x or "" for x in TEXTS] + ["a\n b", "a\n\n b c", "x  y", "' s 's n 't"]:
+    end = "<|endoftext|>"
+    special = [end, f"{end} a b", f"a b{end}c d", f"a b {end}", f"{end}{end}", "<|endoftext| >", "<|end oftext|>"]
+    assert t.encode(end, add_special_tokens=False).ids == [50256]
+    for text in [x or "" for x in TEXTS] + special + ["a\n b", "a\n\n b c", "x  y", "' s 's n 't"]:
         assert np.frombuffer(e.encode(text), e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
 
 
