@@ -24,6 +24,8 @@ BITS_PER_KEY = 8
 HASHES = 3
 #: Bits of the largest filter that is handed to the executors: 16 MB.
 MAX_FILTER_BITS = 1 << 27
+#: Words of a filter that are put in order together.
+CHUNK = 1 << 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,14 +65,15 @@ def _bit(key: Column, level: int, i: int, bits: int) -> Column:
 
 
 def _filter(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """One row with the words of a filter; absent words are null."""
+    """One row with the words of a filter, those without a bit too: every word has a row before they are put in order."""
     hit = keys.select(F.explode(F.array(*[_bit(F.col("key"), level, i, bits) for i in range(HASHES)])).alias("bit"))
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
-    words = hit.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one).alias("bits"))
+    blank = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    words = hit.select(F.expr("bit div 64").alias("word"), one.alias("bits")).union(blank).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    in_order = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "bits"))), lambda w: w["bits"])
+    chunks = words.groupBy(F.expr(f"word div {CHUNK}").alias("chunk")).agg(in_order("word").alias("bits"))
     # At most bits / 64 words, a number that was checked.
-    return words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m")).select(
-        F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(bits // 64 - 1).cast("bigint")), lambda w: F.col("m")[w])
-    )
+    return chunks.agg(F.flatten(in_order("chunk")).alias("words"))
 
 
 def _holds(key: Column, words: Column, level: int, bits: int) -> Column:
@@ -97,7 +100,8 @@ class Cascade:
             if not left:
                 return
             bits = _bits(left)
-            words = _filter(one, level, bits).scalar()
+            # Written down: a level's keys depend on all levels before, which would be made again in each later one.
+            words = stage(_filter(one, level, bits), "url-filter").scalar()
             self.levels.append((words, bits))
             # What this level takes for its own although it is not goes into the next one.
             one, other = other.where(_holds(F.col("key"), words, level, bits)), one

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyflow.llm import url_filter as u
 from tallyflow.llm.common import ORACLES
@@ -52,3 +53,12 @@ def test_every_page_agrees_with_duckdb(spark, sf):
     got = [tuple(r) for r in op8_url_filter(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect()]
     want = check.oracle(sf).execute(f"select page_id, host, path, rule, verdict from ({ORACLES['op8_url_filter']})").fetchall()
     assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 0
+
+
+def test_many_listed_keys(spark):
+    # Three times as many asked as listed; a filter of 25,000 words, several chunks of them.
+    n = 200_000
+    name = F.concat(F.lit("h"), F.col("id").cast("string"))
+    rows = spark.range(3 * n).select(name.alias("host"), "id")
+    got = u.with_listed(rows, spark.range(0, 3 * n, 3).select(name.alias("k")), "host", "l")
+    assert got.where(F.col("l") != (F.col("id") % 3 == 0)).count() == 0 and got.where("l").count() == n
