@@ -14,8 +14,9 @@ one class, known by a 128-bit fingerprint of the set.
    signature in common. ``G`` follows from a set's size; a set is signed for every ``G`` that one it may link with
    can have. Sets of up to ``TINY`` tokens also use the combinations of all and of all but one of their tokens.
 3. Pairs. First each signature's most central class is paired with the others that have it, which is linear in their
-   number, and verified pairs are joined into components. Then, only where a signature has classes of several
-   components, classes of different components are paired, so that a group of copies is never expanded; a sketch of
+   number, and verified pairs are joined into components. Where a signature has classes of several components, those
+   classes are signed again by longer combinations, of all tokens of a part of a set, as many parts as make sure
+   that two sets that link have one in common. Under these, classes of different components are paired; a sketch of
    each set gives a lower bound of how much two sets differ, which most pairs that do not link exceed.
 4. Pairs are verified by the tokens that are not in one class only: the intersection holds no others.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyflow.llm.common import stage, text_or_empty
 from tallyflow.llm.components import components
-from tallyflow.llm.text import LOWER_ASCII, WORDS, mixed, word_hashes
+from tallyflow.llm.text import HASHES, LOWER_ASCII, WORDS, mixed, word_hashes
 from tallyflow.session import shuffle_width
 
 NGRAM, PERCENT = 5, 80
@@ -44,7 +45,10 @@ SKETCH = 8
 #: Tokens of a set for each group of its frequent tokens.
 GROUP = 12
 #: Tokens of a batch that are sent to the buckets together.
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 1_000_000
+#: What is sent to a bucket besides its number: a share of the documents, and of the classes the tokens that fall in it.
+PACKED = ("ids", "null_ids", "doc_sizes", "doc_fps", "fps", "sizes", "counts", "low", "high")
+COUNTED = ["doc_id", "n", "fp", "tokens", "df", "shared"]
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -126,80 +130,85 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def with_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, fp`` of each row, in its order; fp is null without words."""
+def counted(docs: DataFrame, width: int) -> DataFrame:
+    """Two kinds of rows from one pass over the texts.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, fps = [], []
-            for text in batch.column("text").to_pylist():
-                tokens = tokens_of(text)
-                sizes.append(len(tokens))
-                fps.append(fingerprint(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())], names=["doc_id", "n_shingles", "fp"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(
-        scan, "doc_id long, n_shingles long, fp binary"
-    )
-
-
-def shared_tokens(docs: DataFrame, width: int) -> DataFrame:
-    """``fp, n, tokens, df``: for each class that may link, its tokens that other classes have too (packed)."""
+    With ``tokens`` null: ``doc_id, n, fp`` of each document; fp is null without words. Else part of a class, from one
+    bucket: ``n, fp, tokens, df`` of its ``shared`` tokens there that other classes have too (packed).
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int | None] = []
+        doc_sizes: list[int] = []
+        doc_fps: list[bytes] = []
         fps: list[bytes] = []
         sets: list[np.ndarray] = []
-        held, known = 0, set()
+        known: set[bytes] = set()
+        held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not sets:
-                return
             lengths = np.array([len(t) for t in sets], np.int64)
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+            tokens = np.concatenate([*sets, np.empty(0, np.uint64)])
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
             bucket = tokens % np.uint64(width)
             order = np.argsort(bucket, kind="stable")
             tokens, owner, ends = tokens[order], owner[order], np.searchsorted(bucket[order], np.arange(width + 1))
+            del bucket, order
             for b in range(width):
                 t, o = tokens[ends[b] : ends[b + 1]], owner[ends[b] : ends[b + 1]]
-                if len(t):
+                mine = slice(b * len(ids) // width, (b + 1) * len(ids) // width)
+                if len(t) or ids[mine]:
                     here, counts = np.unique(o, return_counts=True)
                     rest = t // np.uint64(width)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int32()), pa.array([b"".join(fps[i] for i in here)], pa.binary()),
-                         pa.array([lengths[here].astype("<u4").tobytes()], pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary()),
-                         pa.array([(rest & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()], pa.binary()),
-                         pa.array([(rest >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2").tobytes()], pa.binary())],
-                        names=["bucket", "fps", "sizes", "counts", "low", "high"],
+                    packed = (
+                        np.array([i or 0 for i in ids[mine]], "<i8"), np.array([i is None for i in ids[mine]], "u1"), np.array(doc_sizes[mine], "<u4"),
+                        b"".join(doc_fps[mine]), b"".join(fps[i] for i in here), lengths[here].astype("<u4"), counts.astype("<u4"),
+                        (rest & np.uint64(0xFFFFFFFF)).astype("<u4"), (rest >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2"),
                     )
-            fps.clear(), sets.clear()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b], pa.int32()), *(pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in packed)], names=["bucket", *PACKED]
+                    )
+            for x in (ids, doc_sizes, doc_fps, fps, sets, known):
+                x.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = tokens_of(text)
-                if not len(tokens):
-                    continue
-                fp = fingerprint(tokens)
-                if fp in known:  # a copy within the batch adds nothing
-                    continue
-                known.add(fp)
-                fps.append(fp), sets.append(tokens)
-                held += len(tokens)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                tokens = tokens_of(text.as_py())
+                fp = fingerprint(tokens) if len(tokens) else bytes(16)
+                ids.append(doc_id), doc_sizes.append(len(tokens)), doc_fps.append(fp)
+                held += 4
+                if len(tokens) and fp not in known:  # a copy within the batch adds nothing
+                    known.add(fp)
+                    fps.append(fp), sets.append(tokens)
+                    held += len(tokens)
                 if held > BATCH_TOKENS:
                     yield from flush()
-                    held, known = 0, set()
+                    held = 0
         yield from flush()
+        HASHES.clear()  # the worker lives on
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
         for bucket in sorted({r["bucket"] for r in rows}):
             mine = [r for r in rows if r["bucket"] == bucket]
             join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in mine), kind)  # noqa: B023, E731
-            fps, sizes, counts = join("fps", "S16"), join("sizes", "<u4"), join("counts", "<u4").astype(np.int64)
+            none, n = join("null_ids", "u1").astype(bool), join("doc_sizes", "<u4").astype(np.int64)
+            doc_fps = join("doc_fps", "u1").reshape(-1, 16)
+            for at in range(0, len(n), 10_000):
+                part = slice(at, at + 10_000)
+                nothing = lambda kind: pa.nulls(len(n[part]), kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(join("ids", "<i8")[part], pa.int64(), mask=none[part]), pa.array(n[part]),
+                     pa.array([f.tobytes() if k else None for f, k in zip(doc_fps[part], n[part], strict=True)], pa.binary()),
+                     nothing(pa.binary()), nothing(pa.binary()), nothing(pa.int64())],
+                    names=COUNTED,
+                )
+            sizes, counts = join("sizes", "<u4"), join("counts", "<u4").astype(np.int64)
             raw = np.frombuffer(b"".join(r["fps"] for r in mine), "<u8").reshape(-1, 2)
             tokens = join("low", "<u4").astype(np.uint64) | join("high", "<u2").astype(np.uint64) << np.uint64(32)
             # Copies from other batches: the first of each class counts.
             _, first = np.unique(raw, axis=0, return_index=True)
-            chosen = np.zeros(len(fps), bool)
+            chosen = np.zeros(len(raw), bool)
             chosen[first] = True
             owner = np.repeat(np.arange(len(counts)), counts)
             keep = chosen[owner]
@@ -213,16 +222,20 @@ def shared_tokens(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, len(starts), 2000):
                 part = list(zip(starts[at : at + 2000].tolist(), ends[at : at + 2000].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([raw[owner[s]].tobytes() for s, _ in part], pa.binary()), pa.array([int(sizes[owner[s]]) for s, _ in part], pa.int64()),
+                    [pa.nulls(len(part), pa.int64()), pa.array([int(sizes[owner[s]]) for s, _ in part], pa.int64()), pa.array([raw[owner[s]].tobytes() for s, _ in part], pa.binary()),
                      pa.array([tokens[s:e].astype("<u8").tobytes() for s, e in part], pa.binary()), pa.array([df[s:e].astype("<u4").tobytes() for s, e in part], pa.binary()),
                      pa.array([e - s for s, e in part], pa.int64())],
-                    names=["fp", "n", "tokens", "df", "shared"],
+                    names=COUNTED,
                 )
 
-    text = docs.select(text_or_empty("text").alias("text"))
-    sent = text.mapInArrow(send, "bucket int, fps binary, sizes binary, counts binary, low binary, high binary")
-    back = sent.repartition(width, "bucket").mapInArrow(count, "fp binary, n long, tokens binary, df binary, shared long")
-    gathered = back.groupBy("fp").agg(
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
+    sent = texts.mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
+    return sent.repartition(width, "bucket").mapInArrow(count, "doc_id long, n long, fp binary, tokens binary, df binary, shared long")
+
+
+def shared_tokens(parts: DataFrame) -> DataFrame:
+    """``fp, n, tokens, df``: each class that may link, its tokens that other classes have too (packed), put together."""
+    gathered = parts.groupBy("fp").agg(
         F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df")
     )
     # A class with more tokens of its own than it can miss links with nothing.
@@ -240,26 +253,85 @@ def sketch_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def with_signatures(sets: DataFrame) -> DataFrame:
-    """``sig, fp, n, own, sketch``: ``own`` counts the tokens that no other class has."""
+    """``sig, fp, n, own``: ``own`` counts the tokens that no other class has."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "fp", "n", "own", "sketch"]
         parts = (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500))
         for batch in parts:
-            sigs, fps, ns, owns, sketches = [np.empty(0, np.uint64)], [], [], [], [np.empty((0, SKETCH), np.int64)]
+            sigs, fps, ns, owns = [np.empty(0, np.uint64)], [], [], []
             for r in batch.to_pylist():
                 tokens, df = (np.frombuffer(b"".join(r[c]), kind) for c, kind in (("tokens", "<u8"), ("df", "<u4")))
                 s = signatures(r["n"], tokens.astype(np.uint64), df.astype(np.int64))
                 sigs.append(s), fps.extend([r["fp"]] * len(s)), ns.extend([r["n"]] * len(s)), owns.extend([r["n"] - len(tokens)] * len(s))
-                sketches.append(np.tile(sketch_of(tokens.astype(np.uint64)), (len(s), 1)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(owns, pa.int64()),
-                 pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(sketches).T.copy()], [f"s{i}" for i in range(SKETCH)])],
-                names=names,
-            )
+                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(owns, pa.int64())],
+                names=["sig", "fp", "n", "own"],
+            )
+
+    return sets.mapInArrow(sign, "sig long, fp binary, n long, own long")
+
+
+def band_of(n: int) -> int:
+    """Sizes between two powers of 1.25 are a band, so that sets that link are of the same or of neighbouring ones."""
+    return next(b for b in range(int(np.log(n) / np.log(1.25)) - 1, 1 << 10) if 5 ** (b + 1) > n * 4 ** (b + 1)) if n > 1 else 0
+
+
+def long_combinations(n: int, tokens: np.ndarray) -> np.ndarray:
+    """Signatures that two sets of ``n`` which link share for certain, each of all tokens of a part of a set.
+
+    With the larger set in a band, the two differ in at most ``d`` tokens, a ninth of their sizes together. Dealt
+    to more than d parts by hash, some part is the same in both. A set is signed for its own band and the next one. It
+    leaves out the parts with the fewest tokens, as many as it can: of the parts that are sure to be the same,
+    half of those to spare, and one for each token that no other class has, as those are in no part.
+    """
+    out = []
+    for band in (band_of(n), band_of(n) + 1):
+        largest = (5 ** (band + 1) - 1) // 4 ** (band + 1)
+        d = -(-2 * largest * (100 - PERCENT) // (100 + PERCENT))
+        with np.errstate(over="ignore"):
+            part = (mixed(tokens + np.uint64(11 + band)) % np.uint64(d + 1)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            sums = np.append(np.uint64(0), np.cumsum(mixed(tokens[order] + np.uint64(13)), dtype=np.uint64))
+            held = np.bincount(part, minlength=d + 1)
+            ends = np.cumsum(held)
+            combined = mixed(mixed(sums[ends] - sums[ends - held] + np.uint64(band)) + np.arange(d + 1, dtype=np.uint64))
+        spare = (d * (100 + PERCENT) - 2 * n * (100 - PERCENT)) // (2 * (100 + PERCENT)) + n - len(tokens)
+        out.append(combined[np.argsort(held, kind="stable")[max(0, spare) :]])
+    return np.unique(np.concatenate(out))
+
+
+def with_long_combinations(classes: DataFrame) -> DataFrame:
+    """``sig, fp, root`` of classes (``fp, n, root, tokens``)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500))
+        for batch in parts:
+            sigs, fps, roots = [np.empty(0, np.uint64)], [], []
+            for r in batch.to_pylist():
+                s = long_combinations(r["n"], np.frombuffer(b"".join(r["tokens"]), "<u8").astype(np.uint64))
+                sigs.append(s), fps.extend([r["fp"]] * len(s)), roots.extend([r["root"]] * len(s))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(roots, pa.binary())], names=["sig", "fp", "root"]
+            )
+
+    return classes.mapInArrow(sign, "sig long, fp binary, root binary")
+
+
+def with_sketches(classes: DataFrame) -> DataFrame:
+    """``fp, n, own, sketch`` of classes (``fp, n, tokens``)."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(b"".join(t), "<u8").astype(np.uint64) for t in batch.column("tokens").to_pylist()]
+            own = [n - len(t) for n, t in zip(batch.column("n").to_pylist(), sets, strict=True)]
+            sketches = np.array([sketch_of(t) for t in sets], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("fp"), batch.column("n"), pa.array(own, pa.int64()), pa.StructArray.from_arrays([pa.array(c) for c in sketches.T.copy()], [f"s{i}" for i in range(SKETCH)])],
+                names=["fp", "n", "own", "sketch"],
+            )
 
     parity = ", ".join(f"s{i}: long" for i in range(SKETCH))
-    return sets.mapInArrow(sign, f"sig long, fp binary, n long, own long, sketch struct<{parity}>")
+    return classes.mapInArrow(draw, f"fp binary, n long, own long, sketch struct<{parity}>")
 
 
 #: Two classes share no more tokens than either shares with any, so only such pairs can link.
@@ -291,6 +363,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b").mapInArrow(verify, "a binary, b binary")
 
 
+def _unsettled(posts: DataFrame) -> DataFrame:
+    """``sig, fp, root`` under signatures that classes of several components have."""
+    several = posts.groupBy("sig").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("sig")
+    return posts.join(several, "sig")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -302,9 +380,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     an empty result.
     """
     width = shuffle_width(docs.sparkSession)
-    rows = stage(with_sets(docs), "sets")
-    sets = stage(shared_tokens(docs, width), "shared-tokens")
-    sigs = with_signatures(sets)
+    parts = stage(counted(docs, width), "counted")
+    rows = parts.where("tokens is null").select("doc_id", F.col("n").alias("n_shingles"), "fp")
+    sets = stage(shared_tokens(parts.where("tokens is not null")), "shared-tokens")
+    sigs = stage(with_signatures(sets), "signed")
     # Of near copies, the one with the fewest tokens of its own is the likeliest to link with all others.
     central = F.min(F.struct("own", "fp"))["fp"].alias("a")
     several = sigs.groupBy("sig").agg(central, F.count(F.lit(1)).alias("classes")).where("classes > 1").select("sig", "a")
@@ -318,21 +397,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reach = Window.partitionBy("sig")
     partner = F.greatest(F.least(F.col("n") - F.col("own"), F.max("n").over(reach)), F.min("n").over(reach))
     both = F.least(F.col("n") - F.col("own"), partner)
-    able = posts.select("sig", "fp", "n", "own", "sketch", (100 * both >= PERCENT * (F.col("n") + partner - both)).alias("able")).where("able")
-    placed = able.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "n", "own", "sketch", F.coalesce("root", "fp").alias("root"))
-    mixed_sigs = placed.groupBy("sig").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("sig")
-    left = stage(placed.join(mixed_sigs, "sig"), "unsettled")
-    parts = left.groupBy("sig", "root").agg(F.max(F.col("n") - F.col("own")).alias("most"), F.min("n").alias("least_n"))
-    apart = (
-        parts.join(parts.withColumnsRenamed({"root": "root_b", "most": "most_b", "least_n": "least_n_b"}), "sig")
-        .where(f"root < root_b and 100 * least(most, most_b) >= {PERCENT} * (least_n + least_n_b - least(most, most_b))")
-        .select("sig", "root", "root_b")
-    )
-    one = left.select("sig", "root", F.col("fp").alias("x"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("sketch").alias("sketch_a"))
-    other = left.select("sig", F.col("root").alias("root_b"), F.col("fp").alias("y"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("sketch").alias("sketch_b"))
+    able = posts.select("sig", "fp", (100 * both >= PERCENT * (F.col("n") + partner - both)).alias("able")).where("able")
+    placed = able.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
+    # Classes of such a signature get longer combinations; only under those are components compared.
+    left = stage(_unsettled(placed).select("fp", "root").distinct().join(sets, "fp").select("fp", "root", "n", "tokens"), "unsettled")
+    longer = stage(_unsettled(with_long_combinations(left)), "longer")
+    drawn = stage(with_sketches(left.select("fp", "n", "tokens")), "sketches")
+    side = lambda k: drawn.select(F.col("fp").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "own", "sketch")])
+    met = (
+        longer.select("sig", F.col("fp").alias("a"), F.col("root").alias("root_a")).join(longer.select("sig", F.col("fp").alias("b"), F.col("root").alias("root_b")), "sig")
+        .where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
     crossed = (
-        apart.join(one, ["sig", "root"]).join(other, ["sig", "root_b"]).where(FITS).where(f"{100 + PERCENT} * ({DIFFER}) <= {100 - PERCENT} * (n_a + n_b)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        met.join(side("a"), "a").join(side("b"), "b").where(FITS).where(f"{100 + PERCENT} * ({DIFFER}) <= {100 - PERCENT} * (n_a + n_b)").select("a", "b")
         .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     )
     more = stage(verified(crossed, sets), "links")

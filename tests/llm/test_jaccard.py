@@ -106,3 +106,29 @@ def test_sketches_bound_the_difference():
         x, y = (np.unique(rng.integers(0, 400, rng.integers(0, 300))).astype(np.uint64) for _ in range(2))
         bits = np.unpackbits((jaccard.sketch_of(x) ^ jaccard.sketch_of(y)).view(np.uint8)).sum()
         assert bits <= len(np.setxor1d(x, y))
+
+
+def test_linked_sets_share_a_long_combination():
+    rng = np.random.default_rng(12)
+    linked = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 150))
+        universe = rng.integers(1, 1 << 60, 3 * n + 5).astype(np.uint64)
+        x = np.unique(universe[rng.permutation(len(universe))[:n]])
+        out = int(rng.integers(0, n // 5 + 1))
+        y = np.unique(np.concatenate([x[out:], universe[rng.permutation(len(universe))[: int(rng.integers(0, n // 5 + 2))]]]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < 80 * (len(x) + len(y) - both) or not both:
+            continue
+        linked += 1
+        own = {int(t) for t in np.setxor1d(x, y) if rng.random() < 0.5}
+        s = [set(jaccard.long_combinations(len(z), np.array([t for t in z if int(t) not in own], np.uint64)).tolist()) for z in (x, y)]
+        assert s[0] & s[1]
+    assert linked > 1000
+
+
+def test_bands_of_sizes():
+    for n in range(1, 3000):
+        b = jaccard.band_of(n)
+        assert 5**b <= n * 4**b and n * 4 ** (b + 1) < 5 ** (b + 1)
+        assert jaccard.band_of(5 * n // 4) in (b, b + 1)
