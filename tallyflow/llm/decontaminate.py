@@ -7,6 +7,10 @@ step again after an edit, so they end up at a small Hamming distance. Bit-sampli
 of the embedding as key; walks and samples are repeated until an item at the largest distance allowed is found
 with probability ``recall`` or more. What shares a key with an item is verified by its exact edit distance.
 
+Walks drift apart as the root of their length while one-sided edits add up with it, so long items are cut into parts of
+``PART`` to less than twice as many words and windows are as long as those. Of a passage that holds an item, some
+part has no larger share of edits than the whole; where a window shares a key with it, the whole item is verified around it.
+
 Before that, windows that cannot match are left out without loss: an edit destroys at most two of an item's
 pairs of neighbouring words, so a window needs the other pairs from the benchmark.
 """
@@ -35,7 +39,9 @@ RECALL = 0.999
 #: Texts and windows that are looked at together.
 TEXTS, WINDOWS = 10_000, 20_000
 #: Bytes of all items' words that are handed to the tasks; a larger benchmark is taken in parts.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 16 << 20
+#: Words of the shortest part of an item that is cut.
+PART = 20
 
 
 def words_of(text: str) -> list[str]:
@@ -76,6 +82,27 @@ def best_prefix(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int]:
     return int(min(row[n], most + 1)), n
 
 
+def best_within(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int, int]:
+    """The smallest edit distance between ``a`` and any part of ``b``, where that begins and how long it is; ``most + 1``
+    if it is larger."""
+    row = np.zeros(len(b) + 1, np.int64)
+    steps = np.arange(len(b) + 1)
+    for x in a:
+        best = np.concatenate(([row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + (b != x))))
+        row = np.minimum.accumulate(best - steps) + steps
+        if row.min() > most:
+            return most + 1, 0, 0
+    end = int(row.argmin())
+    d, n = best_prefix(a[::-1], b[:end][::-1], int(row[end]))
+    return d, end - n, n
+
+
+def cuts(n: int) -> list[tuple[int, int]]:
+    """Where the parts of an item of n words begin and end."""
+    parts = max(1, n // PART)
+    return [(n * k // parts, n * (k + 1) // parts) for k in range(parts)]
+
+
 def sampled_steps(length: int) -> int:
     """Steps of a walk that keys sample: those that walks seldom have left."""
     return max(1, 2 * length - length // 4)
@@ -121,23 +148,25 @@ class Benchmark:
         words = [word_hashes(t) for t in texts]
         self.ids, self.words, self.repeats = ids, words, repeats
         self.vocabulary = {w: int(h) for t, hashes in zip(texts, words, strict=True) for w, h in zip(t, hashes, strict=True)}
-        self.lengths = sorted({len(w) for w in words})
-        self.single = np.unique(np.concatenate([w for w in words if len(w) == 1] or [np.empty(0, np.uint64)]))
-        # A table by hash tells of each pair of words in items of which lengths it occurs, a bit for each
+        #: Item, place in it and words of each part.
+        self.parts = [(i, first, w[first:end]) for i, w in enumerate(words) if len(w) for first, end in cuts(len(w))]
+        pieces = [p for _, _, p in self.parts]
+        self.lengths = sorted({len(w) for w in pieces})
+        self.single = np.unique(np.concatenate([w for w in pieces if len(w) == 1] or [np.empty(0, np.uint64)]))
+        # A table by hash tells of each pair of words in parts of which lengths it occurs, a bit for each
         # length modulo 64; what else falls on an entry only lets more windows through.
-        pairs = [(pairs_of(w), np.uint64(len(w) % 64)) for w in words if len(w) > 1]
+        pairs = [(pairs_of(w), np.uint64(len(w) % 64)) for w in pieces if len(w) > 1]
         self.table = np.zeros(1 << max(10, (32 * sum(len(p) for p, _ in pairs)).bit_length()), np.uint64)
         for p, bit in pairs:
             np.bitwise_or.at(self.table, self._slot(p), np.uint64(1) << bit)
-        self.repeated = {n: max(len(p) - len(np.unique(p)) for p in (pairs_of(w) for w in words if len(w) == n)) for n in self.lengths if n > 1}
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self.repeated = {n: max(len(p) - len(np.unique(p)) for p in (pairs_of(w) for w in pieces if len(w) == n)) for n in self.lengths if n > 1}
+        #: For each length the sorted keys of parts, of all repetitions, and whose they are.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length in self.lengths:
-            items = [i for i, w in enumerate(words) if len(w) == length]
-            keys = keys_of(np.array([words[i] for i in items], np.uint64), repeats)
-            self.tables[length] = [{} for _ in range(repeats)]
-            for i, row in zip(items, keys.tolist(), strict=True):
-                for r, key in enumerate(row):
-                    self.tables[length][r].setdefault(key, []).append(i)
+            here = np.array([k for k, w in enumerate(pieces) if len(w) == length], np.int32)
+            keys = np.concatenate([keys_of(np.array([pieces[k] for k in here[at : at + WINDOWS]], np.uint64), repeats) for at in range(0, len(here), WINDOWS)])
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.tables[length] = keys.ravel()[order], here[order // repeats]
 
     def read(self, text: str) -> np.ndarray:
         """The words of a text; 0 for those that no item has."""
@@ -179,6 +208,7 @@ class Benchmark:
     def search(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """For each text and item that match: the least distance, its place, and how many words there are."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        tried: dict[tuple[int, int], list[int]] = {}
         wanted: dict[int, list[tuple[int, np.ndarray]]] = {}
         for t, words in enumerate(texts):
             for length, starts in self.windows(words):
@@ -187,26 +217,43 @@ class Benchmark:
             owner = np.concatenate([np.full(len(starts), t) for t, starts in places])
             starts = np.concatenate([starts for _, starts in places])
             for at in range(0, len(starts), WINDOWS):
-                self._match(texts, length, owner[at : at + WINDOWS].tolist(), starts[at : at + WINDOWS].tolist(), best)
+                self._match(texts, length, owner[at : at + WINDOWS].tolist(), starts[at : at + WINDOWS].tolist(), best, tried)
         return best
 
-    def _match(self, texts: list[np.ndarray], length: int, owner: list[int], starts: list[int], best: dict) -> None:
+    def _match(self, texts: list[np.ndarray], length: int, owner: list[int], starts: list[int], best: dict, tried: dict) -> None:
         windows = np.zeros((len(owner), length), np.uint64)
         for row, (t, start) in enumerate(zip(owner, starts, strict=True)):
             part = texts[t][start : start + length]
             windows[row, : len(part)] = part
+        known, whose = self.tables[length]
+        keys = keys_of(windows, self.repeats).ravel()
+        low, high = np.searchsorted(known, keys), np.searchsorted(known, keys, "right")
         votes: Counter[tuple[int, int]] = Counter()
-        for table, column in zip(self.tables[length], keys_of(windows, self.repeats).T.tolist(), strict=True):
-            votes.update((row, i) for row, key in enumerate(column) if key in table for i in table[key])
+        for at in np.flatnonzero(high > low).tolist():
+            votes.update((at // self.repeats, k) for k in whose[low[at] : high[at]].tolist())
         # The window that lies best shares most keys, and once it is verified the others end early.
-        for (row, i), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
-            t, start = owner[row], starts[row]
-            most = best[t, i][0] - 1 if (t, i) in best else allowed(length)
-            if most >= 0:
+        for (row, k), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+            i, first, _ = self.parts[k]
+            t, start, n = owner[row], starts[row], len(self.words[i])
+            most = best[t, i][0] - 1 if (t, i) in best else allowed(n)
+            if most < 0:
+                continue
+            if n == length:
                 # A match may be shorter or longer than the item by as many words as it has edits.
-                d, n = best_prefix(self.words[i], texts[t][start : start + length + most], most)
+                d, words = best_prefix(self.words[i], texts[t][start : start + length + most], most)
                 if d <= most:
-                    best[t, i] = d, start, n
+                    best[t, i] = d, start, words
+                continue
+            # The item begins where its part does less what stands before, give or take its edits and the window's place;
+            # what was looked at for a window not further off than its edits holds that already.
+            begin, reach = start - first, allowed(n)
+            if any(abs(begin - other) <= reach for other in tried.setdefault((t, i), [])):
+                continue
+            tried[t, i].append(begin)
+            left = max(0, begin - 2 * reach - length)
+            d, at, words = best_within(self.words[i], texts[t][left : max(left, begin + n + 3 * reach + length)], most)
+            if d <= most:
+                best[t, i] = d, left + at, words
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:

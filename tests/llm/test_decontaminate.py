@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tallyflow.llm import decontaminate as d
 from tallyflow.llm.queries import op3_decontaminate
@@ -85,6 +86,35 @@ def test_recall_and_precision_against_brute_force(spark):
     assert all(key in got and got[key].edit_distance == 0 for key, best in want.items() if best == 0)
 
 
+def test_best_within():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64) for _ in range(2))
+        want = least(a.tolist(), b.tolist())
+        got, at, n = d.best_within(a, b, 20)
+        assert got == want == distance(a.tolist(), b[at : at + n].tolist())
+        assert d.best_within(a, b, 2)[0] == min(3, want)
+
+
+@pytest.mark.parametrize("kind", ["insertions", "deletions", "replacements"])
+@pytest.mark.parametrize("length", [40, 150, 300, 500])
+def test_recall_by_length_and_kind_of_edit(length, kind):
+    rng = random.Random(f"{length} {kind}")
+    items = [[f"w{rng.randrange(5000)}" for _ in range(length)] for _ in range(50)]
+    known = d.Benchmark(list(range(len(items))), items, d.repetitions())
+    texts = []
+    for item in items:
+        w = list(item)
+        for at in sorted(rng.sample(range(length), length // 5), reverse=True):
+            w[at : at + (kind != "insertions")] = [] if kind == "deletions" else [f"x{rng.randrange(999)}"]
+        texts.append([f"w{rng.randrange(5000)}" for _ in range(60)] + w + [f"w{rng.randrange(5000)}" for _ in range(60)])
+    got = known.search([known.read(" ".join(t)) for t in texts])
+    # Exactly as many edits as are allowed, so each text holds its item.
+    assert sum((k, k) in got for k in range(len(items))) >= 0.98 * len(items)
+    for (t, i), (far, first, n) in list(got.items())[:5]:
+        assert distance(items[i], texts[t][first : first + n]) == far <= length // 5
+
+
 def test_nulls_and_short_and_repeated(spark):
     items = [(1, "solo"), (2, "two words"), (3, None), (4, ""), (5, "a b c d e f g h"), (5, "other text of the same id"), (None, "null item id here ok")]
     docs = [(1, None), (2, ""), (3, "Solo"), (4, "here two WORDS"), (5, "a b c d e f g h"), (5, "a b c d e f g h"), (None, "x a b c d x f g h y"),
