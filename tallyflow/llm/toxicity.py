@@ -47,11 +47,14 @@ REPLACED, NOTHING, REPEATED = 0.7, 0.7, 0.1
 
 LETTER = r"[^\W\d_]"
 WORDS = re.compile(rf"{LETTER}+")
-# Within a token: letters with digits or signs among them, or three equal letters.
+# Within a token: letters with digits or signs among them, or three equal letters. A run of letters or of signs for letters
+# is entered at its beginning only and never given back in part, so a token of any length is read in linear time.
+LEETS = r"[0-9@$!|+(€£¡]"
+RESTS = r"[\w@$!|+(€£¡*.\-]*+"
 SUSPICIOUS = re.compile(
-    rf"[0-9@$!|+(€£¡]*{LETTER}+(?:[^\w\s]|[\d_])+{LETTER}[\w@$!|+(€£¡*.\-]*"
-    rf"|[0-9@$!|+(€£¡]+{LETTER}[\w@$!|+(€£¡*.\-]*"
-    rf"|{LETTER}*?({LETTER})\1\1{LETTER}*"
+    rf"(?<!{LEETS})(?:{LEETS}++|(?<!{LETTER})){LETTER}++(?:[^\w\s]|[\d_])++{LETTER}{RESTS}"
+    rf"|(?<!{LEETS}){LEETS}++{LETTER}{RESTS}"
+    rf"|(?<!{LETTER}){LETTER}*?({LETTER})\1\1{LETTER}*+"
 )
 # Across tokens: four or more single letters, digits or signs for letters, with a space or sign between.
 SINGLE = r"(?:[^\W_]|[@$!|+(€£¡])"

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 from tallyflow.llm import toxicity as t
@@ -41,6 +42,13 @@ def test_runs_hold_digits_and_several_words():
     assert {"house", "moron", "table"} <= set(r.of_spaced(long))
 
 
+def test_long_tokens_are_read_in_linear_time():
+    began = time.monotonic()
+    for token in ("ab" * 500_000 + "_", "1" * 1_000_000, "a" + "." * 1_000_000, "!," * 500_000, "a" * 1_000_000 + "_"):
+        list(t.SUSPICIOUS.finditer(token))
+    assert time.monotonic() - began < 20
+
+
 def corpus(spark):
     clean = [f"the house and table number{i} letter word{i % 7} again" for i in range(120)]
     toxic = [f"the moron and table thing{i} letter word{i % 7} again" for i in range(60)]
