@@ -17,7 +17,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyflow.llm.common import stage, text_or_empty
+from tallyflow.llm.common import free_name, stage, text_or_empty
 
 SHAPE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Characters on each side that count as neighbours.
@@ -138,8 +138,8 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | float:
     return RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=TREES, maxDepth=DEPTH, seed=5).fit(rows.coalesce(1))
 
 
-def with_findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` with an array ``findings`` (``candidate, start, n_chars, score``) of the secrets in ``text``.
+def with_findings(docs: DataFrame, labelled: DataFrame | None = None, out: str = "findings") -> DataFrame:
+    """``docs`` with an array ``out`` (``candidate, start, n_chars, score``) of the secrets in ``text``.
 
     Null and empty texts have none; a null ``source`` is an empty path. Each place of a candidate is judged by what stands
     beside it; where one is a secret, all places of it in the text are findings, each with its own score. ``labelled`` holds findings with a label ``y`` and the features; without it they are labelled by form.
@@ -154,16 +154,16 @@ def with_findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
     )
     names = lambda places: F.array_distinct(F.transform(F.filter(places, lambda f: f["score"] >= THRESHOLD), lambda f: f["candidate"]))
     every = lambda places: let(names(places), lambda known: F.filter(places, lambda f: F.array_contains(known, f["candidate"])))
-    return docs.withColumn("findings", let(scored, every))
+    return docs.withColumn(out, let(scored, every))
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with each secret of ``text`` replaced; texts without any, and all other columns, as they were."""
-    columns = docs.columns
+    columns, found = docs.columns, free_name(docs, "findings")
     # Long ones first: a secret within another one would leave the other's rest.
-    by_length = F.array_sort(F.array_distinct(F.transform("findings", lambda f: F.struct((-f["n_chars"]).alias("k"), f["candidate"].alias("candidate")))))
+    by_length = F.array_sort(F.array_distinct(F.transform(found, lambda f: F.struct((-f["n_chars"]).alias("k"), f["candidate"].alias("candidate")))))
     clean = F.aggregate(by_length, F.col("text"), lambda text, f: F.replace(text, f["candidate"], F.lit(MASK)))
-    return with_findings(docs, labelled).select(*[clean.alias(c) if c == "text" else F.col(c) for c in columns])
+    return with_findings(docs, labelled, found).select(*[clean.alias(c) if c == "text" else F.col(c) for c in columns])
 
 
 def _rows(found: DataFrame) -> DataFrame:

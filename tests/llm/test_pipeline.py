@@ -39,6 +39,16 @@ def test_stages_take_odd_rows(spark, sf, k):
     assert function(spark, docs.limit(0), sf).count() == 0
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_own_columns_of_clashing_names_stay(spark, sf, k):
+    own = [(1, "password = \"0a1b2c3d4e5f6a7b70\" in a text", "a", 7, "r1"), (2, "plain words of no group at all here", None, 8, "r2"), (None, None, "c", None, None)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string, findings int, ROW_OF_STAGE string")
+    out = corpus_pipeline.STAGES[k][1](spark, docs, sf)
+    assert out.columns == docs.columns
+    values = lambda df: sorted((tuple(r) for r in df.drop("text").collect()), key=repr)
+    assert values(out) == values(docs)
+
+
 @pytest.mark.parametrize("shared", [None, 7])
 def test_rows_are_told_apart_without_ids(spark, sf, shared):
     """A bad and a clean row of the same id, or of none, have each their own fate."""
@@ -64,5 +74,5 @@ def test_rows_are_told_apart_without_ids(spark, sf, shared):
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" not in entry.oracle_sql()
