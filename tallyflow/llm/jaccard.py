@@ -1,7 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's tokens are the 64-bit hashes of its distinct word 5-grams. Documents with the same set of tokens are
-one class, known by a 128-bit fingerprint of the set.
+one class, known by a 96-bit fingerprint of the set.
 
 1. Frequencies. Tasks send each token to the bucket of its hash, packed into one row for each bucket and batch.
    A bucket counts in how many classes a token occurs. Only tokens of two classes or more can be shared, so
@@ -47,7 +47,13 @@ GROUP = 12
 #: Tokens of a batch that are sent to the buckets together.
 BATCH_TOKENS = 1_000_000
 #: What is sent to a bucket besides its number: a share of the documents, and of the classes the tokens that fall in it.
-PACKED = ("ids", "null_ids", "doc_sizes", "doc_fps", "fps", "sizes", "counts", "low", "high")
+#: A class's size goes to the first of its buckets only, which ``sized`` marks; counts from ``MANY`` on are in ``many``.
+PACKED = ("ids", "null_ids", "doc_sizes", "doc_fps", "fps", "sized", "sizes", "counts", "many", "low", "high")
+MANY = 255
+#: Bytes of a fingerprint.
+FP = 12
+#: Frequencies are exact up to this one; beyond, to a sixty-fourth of a power of two.
+EXACT_DF = 4096
 COUNTED = ["doc_id", "n", "fp", "tokens", "df", "shared"]
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -72,10 +78,10 @@ def tokens_of(text: str) -> np.ndarray:
 
 
 def fingerprint(tokens: np.ndarray) -> bytes:
-    """128 bits of a set; 16 bytes."""
+    """96 bits of a set."""
     with np.errstate(over="ignore"):
         halves = (mixed(tokens).sum(dtype=np.uint64), mixed(tokens ^ _MULTIPLIERS[0]).sum(dtype=np.uint64))
-    return np.array(halves, "<u8").tobytes()
+    return np.array(halves, "<u8").tobytes()[:FP]
 
 
 def needed(n: int) -> int:
@@ -87,6 +93,22 @@ def class_of_frequency(df: np.ndarray) -> np.ndarray:
     return 1 + sum((df > bound).astype(np.int64) for bound in CLASS_BOUNDS)
 
 
+def rounded(df: np.ndarray) -> np.ndarray:
+    """Frequencies in two bytes, in the same order and on the same side of each class bound."""
+    beyond = EXACT_DF + np.ceil(64 * np.log2(np.maximum(df, EXACT_DF) / EXACT_DF)).astype(np.int64)
+    return np.where(df > EXACT_DF, np.minimum(np.maximum(beyond, EXACT_DF + 1), 0xFFFF), df).astype("<u2")
+
+
+def first_of_each(fps: np.ndarray) -> np.ndarray:
+    """Whether a fingerprint (three numbers) is the first of its kind."""
+    order = np.lexsort(fps.T)
+    new = np.ones(len(fps), bool)
+    new[1:] = (fps[order[1:]] != fps[order[:-1]]).any(axis=1)
+    chosen = np.zeros(len(fps), bool)
+    chosen[order[new]] = True
+    return chosen
+
+
 def groups_for(n: int) -> int:
     """A power of two of about a twelfth of the set."""
     return 1 << max(0, (n // GROUP).bit_length() - 1)
@@ -134,7 +156,8 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
     """Two kinds of rows from one pass over the texts.
 
     With ``tokens`` null: ``doc_id, n, fp`` of each document; fp is null without words. Else part of a class, from one
-    bucket: ``n, fp, tokens, df`` of its ``shared`` tokens there that other classes have too (packed).
+    bucket: ``fp, tokens, df`` of its ``shared`` tokens there that other classes have too (packed), and ``n``, which is 0
+    but for the first of its buckets.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +174,7 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
             tokens = np.concatenate([*sets, np.empty(0, np.uint64)])
             owner = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
             bucket = tokens % np.uint64(width)
+            home = np.minimum.reduceat(bucket, np.cumsum(lengths) - lengths) if len(sets) else bucket
             order = np.argsort(bucket, kind="stable")
             tokens, owner, ends = tokens[order], owner[order], np.searchsorted(bucket[order], np.arange(width + 1))
             del bucket, order
@@ -159,10 +183,10 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
                 mine = slice(b * len(ids) // width, (b + 1) * len(ids) // width)
                 if len(t) or ids[mine]:
                     here, counts = np.unique(o, return_counts=True)
-                    rest = t // np.uint64(width)
+                    rest, sized = t // np.uint64(width), home[here] == b
                     packed = (
                         np.array([i or 0 for i in ids[mine]], "<i8"), np.array([i is None for i in ids[mine]], "u1"), np.array(doc_sizes[mine], "<u4"),
-                        b"".join(doc_fps[mine]), b"".join(fps[i] for i in here), lengths[here].astype("<u4"), counts.astype("<u4"),
+                        b"".join(doc_fps[mine]), b"".join(fps[i] for i in here), np.packbits(sized), lengths[here][sized].astype("<u4"), np.minimum(counts, MANY).astype("u1"), counts[counts >= MANY].astype("<u4"),
                         (rest & np.uint64(0xFFFFFFFF)).astype("<u4"), (rest >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2"),
                     )
                     yield pa.RecordBatch.from_arrays(
@@ -174,7 +198,7 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 tokens = tokens_of(text.as_py())
-                fp = fingerprint(tokens) if len(tokens) else bytes(16)
+                fp = fingerprint(tokens) if len(tokens) else bytes(FP)
                 ids.append(doc_id), doc_sizes.append(len(tokens)), doc_fps.append(fp)
                 held += 4
                 if len(tokens) and fp not in known:  # a copy within the batch adds nothing
@@ -193,7 +217,7 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
             mine = [r for r in rows if r["bucket"] == bucket]
             join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in mine), kind)  # noqa: B023, E731
             none, n = join("null_ids", "u1").astype(bool), join("doc_sizes", "<u4").astype(np.int64)
-            doc_fps = join("doc_fps", "u1").reshape(-1, 16)
+            doc_fps = join("doc_fps", "u1").reshape(-1, FP)
             for at in range(0, len(n), 10_000):
                 part = slice(at, at + 10_000)
                 nothing = lambda kind: pa.nulls(len(n[part]), kind)  # noqa: B023, E731
@@ -203,13 +227,14 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
                      nothing(pa.binary()), nothing(pa.binary()), nothing(pa.int64())],
                     names=COUNTED,
                 )
-            sizes, counts = join("sizes", "<u4"), join("counts", "<u4").astype(np.int64)
-            raw = np.frombuffer(b"".join(r["fps"] for r in mine), "<u8").reshape(-1, 2)
+            counts = join("counts", "u1").astype(np.int64)
+            counts[counts == MANY] = join("many", "<u4")
+            sized = np.concatenate([np.unpackbits(np.frombuffer(r["sized"], "u1"), count=len(r["counts"])) for r in mine]).astype(bool)
+            sizes = np.zeros(len(counts), np.int64)
+            sizes[sized] = join("sizes", "<u4")
+            raw = np.frombuffer(b"".join(r["fps"] for r in mine), "<u4").reshape(-1, FP // 4)
             tokens = join("low", "<u4").astype(np.uint64) | join("high", "<u2").astype(np.uint64) << np.uint64(32)
-            # Copies from other batches: the first of each class counts.
-            _, first = np.unique(raw, axis=0, return_index=True)
-            chosen = np.zeros(len(raw), bool)
-            chosen[first] = True
+            chosen = first_of_each(raw)  # copies from other batches add nothing
             owner = np.repeat(np.arange(len(counts)), counts)
             keep = chosen[owner]
             tokens, owner = tokens[keep], owner[keep]
@@ -217,14 +242,16 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
             df = df[inverse]
             keep = df > 1
             tokens, owner, df = tokens[keep] * np.uint64(width) + np.uint64(bucket), owner[keep], df[keep]
-            starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            ends = np.append(starts[1:], len(owner))
-            for at in range(0, len(starts), 2000):
-                part = list(zip(starts[at : at + 2000].tolist(), ends[at : at + 2000].tolist(), strict=True))
+            held = np.bincount(owner, minlength=len(counts))
+            ends = np.cumsum(held)
+            told = np.flatnonzero(chosen & (sized | (held > 0)))
+            for at in range(0, len(told), 2000):
+                part = told[at : at + 2000]
+                slices = [slice(e - k, e) for e, k in zip(ends[part].tolist(), held[part].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(part), pa.int64()), pa.array([int(sizes[owner[s]]) for s, _ in part], pa.int64()), pa.array([raw[owner[s]].tobytes() for s, _ in part], pa.binary()),
-                     pa.array([tokens[s:e].astype("<u8").tobytes() for s, e in part], pa.binary()), pa.array([df[s:e].astype("<u4").tobytes() for s, e in part], pa.binary()),
-                     pa.array([e - s for s, e in part], pa.int64())],
+                    [pa.nulls(len(part), pa.int64()), pa.array(sizes[part]), pa.array([f.tobytes() for f in raw[part]], pa.binary()),
+                     pa.array([tokens[x].astype("<u8").tobytes() for x in slices], pa.binary()), pa.array([rounded(df[x]).tobytes() for x in slices], pa.binary()),
+                     pa.array(held[part])],
                     names=COUNTED,
                 )
 
@@ -260,7 +287,7 @@ def with_signatures(sets: DataFrame) -> DataFrame:
         for batch in parts:
             sigs, fps, ns, owns = [np.empty(0, np.uint64)], [], [], []
             for r in batch.to_pylist():
-                tokens, df = (np.frombuffer(b"".join(r[c]), kind) for c, kind in (("tokens", "<u8"), ("df", "<u4")))
+                tokens, df = (np.frombuffer(b"".join(r[c]), kind) for c, kind in (("tokens", "<u8"), ("df", "<u2")))
                 s = signatures(r["n"], tokens.astype(np.uint64), df.astype(np.int64))
                 sigs.append(s), fps.extend([r["fp"]] * len(s)), ns.extend([r["n"]] * len(s)), owns.extend([r["n"] - len(tokens)] * len(s))
             yield pa.RecordBatch.from_arrays(
