@@ -16,8 +16,9 @@ one class, known by a 96-bit fingerprint of the set.
 3. Pairs. First each signature's most central class is paired with the others that have it, which is linear in their
    number, and verified pairs are joined into components. Where a signature has classes of several components, those
    classes are signed again by longer combinations, of all tokens of a part of a set, as many parts as make sure
-   that two sets that link have one in common. Under these, classes of different components are paired; a sketch of
-   each set gives a lower bound of how much two sets differ, which most pairs that do not link exceed.
+   that two sets that link have one in common. Under these, the classes outside a signature's largest component are
+   paired with those of other components; sketches of the sets, which go with the signatures, give a lower bound of
+   how much two sets differ, and pairs that exceed what is allowed are not made.
 4. Pairs are verified by the tokens that are not in one class only: the intersection holds no others.
 """
 
@@ -303,11 +304,12 @@ def band_of(n: int) -> int:
     return next(b for b in range(int(np.log(n) / np.log(1.25)) - 1, 1 << 10) if 5 ** (b + 1) > n * 4 ** (b + 1)) if n > 1 else 0
 
 
-def long_combinations(n: int, tokens: np.ndarray) -> np.ndarray:
+def long_combinations(n: int, tokens: np.ndarray) -> list[np.ndarray]:
     """Signatures that two sets of ``n`` which link share for certain, each of all tokens of a part of a set.
 
     With the larger set in a band, the two differ in at most ``d`` tokens, a ninth of their sizes together. Dealt
-    to more than d parts by hash, some part is the same in both. A set is signed for its own band and the next one. It
+    to more than d parts by hash, some part is the same in both. A set is signed for its own band and the next one
+    (a list for each), which needs no pairs of sets that are both signed for the next one. It
     leaves out the parts with the fewest tokens, as many as it can: of the parts that are sure to be the same,
     half of those to spare, and one for each token that no other class has, as those are in no part.
     """
@@ -323,42 +325,34 @@ def long_combinations(n: int, tokens: np.ndarray) -> np.ndarray:
             ends = np.cumsum(held)
             combined = mixed(mixed(sums[ends] - sums[ends - held] + np.uint64(band)) + np.arange(d + 1, dtype=np.uint64))
         spare = (d * (100 + PERCENT) - 2 * n * (100 - PERCENT)) // (2 * (100 + PERCENT)) + n - len(tokens)
-        out.append(combined[np.argsort(held, kind="stable")[max(0, spare) :]])
-    return np.unique(np.concatenate(out))
+        out.append(np.unique(combined[np.argsort(held, kind="stable")[max(0, spare) :]]))
+    return out
 
 
 def with_long_combinations(classes: DataFrame) -> DataFrame:
-    """``sig, fp, root`` of classes (``fp, n, root, tokens``)."""
+    """``sig, fp, root, n, own, home, sketch`` of classes (``fp, n, root, tokens``); ``home``: signed for its own band."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500))
         for batch in parts:
-            sigs, fps, roots = [np.empty(0, np.uint64)], [], []
-            for r in batch.to_pylist():
-                s = long_combinations(r["n"], np.frombuffer(b"".join(r["tokens"]), "<u8").astype(np.uint64))
-                sigs.append(s), fps.extend([r["fp"]] * len(s)), roots.extend([r["root"]] * len(s))
+            sigs, home, times, own, sketches = [np.empty(0, np.uint64)], [np.empty(0, bool)], [], [], []
+            for r in batch.select(["n", "tokens"]).to_pylist():
+                tokens = np.frombuffer(b"".join(r["tokens"]), "<u8").astype(np.uint64)
+                here, above = long_combinations(r["n"], tokens)
+                sigs += here, above
+                home += np.ones(len(here), bool), np.zeros(len(above), bool)
+                times.append(len(here) + len(above)), own.append(r["n"] - len(tokens)), sketches.append(sketch_of(tokens))
+            of = np.repeat(np.arange(len(times)), times)
+            drawn = np.array(sketches, np.int64).reshape(-1, SKETCH)[of]
+            classes_of = batch.select(["fp", "root", "n"]).take(pa.array(of))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(fps, pa.binary()), pa.array(roots, pa.binary())], names=["sig", "fp", "root"]
-            )
-
-    return classes.mapInArrow(sign, "sig long, fp binary, root binary")
-
-
-def with_sketches(classes: DataFrame) -> DataFrame:
-    """``fp, n, own, sketch`` of classes (``fp, n, tokens``)."""
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(b"".join(t), "<u8").astype(np.uint64) for t in batch.column("tokens").to_pylist()]
-            own = [n - len(t) for n, t in zip(batch.column("n").to_pylist(), sets, strict=True)]
-            sketches = np.array([sketch_of(t) for t in sets], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("fp"), batch.column("n"), pa.array(own, pa.int64()), pa.StructArray.from_arrays([pa.array(c) for c in sketches.T.copy()], [f"s{i}" for i in range(SKETCH)])],
-                names=["fp", "n", "own", "sketch"],
-            )
+                [pa.array(np.concatenate(sigs).view(np.int64)), *classes_of.columns, pa.array(np.array(own, np.int64)[of]), pa.array(np.concatenate(home)),
+                 pa.StructArray.from_arrays([pa.array(c) for c in drawn.T.copy()], [f"s{i}" for i in range(SKETCH)])],
+                names=["sig", "fp", "root", "n", "own", "home", "sketch"],
+            )
 
     parity = ", ".join(f"s{i}: long" for i in range(SKETCH))
-    return classes.mapInArrow(draw, f"fp binary, n long, own long, sketch struct<{parity}>")
+    return classes.select("fp", "root", "n", "tokens").mapInArrow(sign, f"sig long, fp binary, root binary, n long, own long, home boolean, sketch struct<{parity}>")
 
 
 #: Two classes share no more tokens than either shares with any, so only such pairs can link.
@@ -396,6 +390,13 @@ def _unsettled(posts: DataFrame) -> DataFrame:
     return posts.join(several, "sig")
 
 
+def _with_major(posts: DataFrame) -> DataFrame:
+    """``posts`` under signatures that classes of several components have, with ``major``, the component of most of them."""
+    counts = posts.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("classes"))
+    major = counts.groupBy("sig").agg(F.max(F.struct("classes", "root"))["root"].alias("major"), F.count(F.lit(1)).alias("roots"))
+    return posts.join(major.where("roots > 1").select("sig", "major"), "sig")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -428,17 +429,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = able.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
     # Classes of such a signature get longer combinations; only under those are components compared.
     left = stage(_unsettled(placed).select("fp", "root").distinct().join(sets, "fp").select("fp", "root", "n", "tokens"), "unsettled")
-    longer = stage(_unsettled(with_long_combinations(left)), "longer")
-    drawn = stage(with_sketches(left.select("fp", "n", "tokens")), "sketches")
-    side = lambda k: drawn.select(F.col("fp").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "own", "sketch")])
+    longer = stage(_with_major(with_long_combinations(left)), "longer")
+    side = lambda k: longer.select("sig", "major", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "root", "n", "own", "home", "sketch")])
     met = (
-        longer.select("sig", F.col("fp").alias("a"), F.col("root").alias("root_a")).join(longer.select("sig", F.col("fp").alias("b"), F.col("root").alias("root_b")), "sig")
-        .where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    crossed = (
-        met.join(side("a"), "a").join(side("b"), "b").where(FITS).where(f"{100 + PERCENT} * ({DIFFER}) <= {100 - PERCENT} * (n_a + n_b)").select("a", "b")
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+        side("a").where("root_a <> major").join(side("b").drop("major"), "sig")
+        .where("(root_b = major or root_a < root_b) and (home_a or home_b)").where(FITS).where(f"{100 + PERCENT} * ({DIFFER}) <= {100 - PERCENT} * (n_a + n_b)")
+        .select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
     )
+    crossed = met.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     more = stage(verified(crossed, sets), "links")
     root = components(links.union(more))
     ids = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"))
