@@ -369,7 +369,10 @@ def sets_sizes(posts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs of classes (``a``, ``b``), those that link."""
+    """Of pairs of classes (``a``, ``b``), those that link. Only the sets of classes in pairs are moved."""
+    pairs = stage(pairs, "pairs")
+    named = stage(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "paired")
+    sets = sets.join(named, "fp", "left_semi")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,7 +431,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     able = posts.select("sig", "fp", (100 * both >= PERCENT * (F.col("n") + partner - both)).alias("able")).where("able")
     placed = able.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
     # Classes of such a signature get longer combinations; only under those are components compared.
-    left = stage(_unsettled(placed).select("fp", "root").distinct().join(sets, "fp").select("fp", "root", "n", "tokens"), "unsettled")
+    unsettled = stage(_unsettled(placed).select("fp", "root").distinct(), "unsettled")
+    left = stage(unsettled.join(sets, "fp").select("fp", "root", "n", "tokens"), "unsettled-tokens")
     longer = stage(_with_major(with_long_combinations(left)), "longer")
     side = lambda k: longer.select("sig", "major", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "root", "n", "own", "home", "sketch")])
     met = (
