@@ -55,7 +55,9 @@ MANY = 255
 FP = 12
 #: Frequencies are exact up to this one; beyond, to a sixty-fourth of a power of two.
 EXACT_DF = 4096
-COUNTED = ["doc_id", "n", "fp", "tokens", "df", "shared"]
+#: What a bucket sends to the place where the tokens of a class are put together.
+RETURNED = ("fps", "sizes", "held", "low", "high", "df")
+COUNTED = ["doc_id", "n", "fp", "target", "bucket", *RETURNED]
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -156,9 +158,9 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray) -> np.ndarray:
 def counted(docs: DataFrame, width: int) -> DataFrame:
     """Two kinds of rows from one pass over the texts.
 
-    With ``tokens`` null: ``doc_id, n, fp`` of each document; fp is null without words. Else part of a class, from one
-    bucket: ``fp, tokens, df`` of its ``shared`` tokens there that other classes have too (packed), and ``n``, which is 0
-    but for the first of its buckets.
+    With ``target`` null: ``doc_id, n, fp`` of each document; fp is null without words. Else what a ``bucket`` has for the
+    classes of a ``target``: how many tokens that other classes have too, these and their frequencies; ``sizes`` has the
+    number of all tokens of a class in the first of its buckets, else 0.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +223,10 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
             doc_fps = join("doc_fps", "u1").reshape(-1, FP)
             for at in range(0, len(n), 10_000):
                 part = slice(at, at + 10_000)
-                nothing = lambda kind: pa.nulls(len(n[part]), kind)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(join("ids", "<i8")[part], pa.int64(), mask=none[part]), pa.array(n[part]),
                      pa.array([f.tobytes() if k else None for f, k in zip(doc_fps[part], n[part], strict=True)], pa.binary()),
-                     nothing(pa.binary()), nothing(pa.binary()), nothing(pa.int64())],
+                     *(pa.nulls(len(n[part]), kind) for kind in (pa.int32(), pa.int32(), *[pa.binary()] * len(RETURNED)))],
                     names=COUNTED,
                 )
             counts = join("counts", "u1").astype(np.int64)
@@ -242,32 +243,69 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
             _, inverse, df = np.unique(tokens, return_inverse=True, return_counts=True)
             df = df[inverse]
             keep = df > 1
-            tokens, owner, df = tokens[keep] * np.uint64(width) + np.uint64(bucket), owner[keep], df[keep]
+            tokens, owner, df = tokens[keep], owner[keep], rounded(df[keep])
             held = np.bincount(owner, minlength=len(counts))
-            ends = np.cumsum(held)
-            told = np.flatnonzero(chosen & (sized | (held > 0)))
-            for at in range(0, len(told), 2000):
-                part = told[at : at + 2000]
-                slices = [slice(e - k, e) for e, k in zip(ends[part].tolist(), held[part].tolist(), strict=True)]
+            told = chosen & (sized | (held > 0))
+            target = np.where(told, raw[:, 0] % np.uint32(width), width)
+            order = np.argsort(target, kind="stable")
+            ends = np.searchsorted(target[order], np.arange(width + 1))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            of_token = np.argsort(place[owner], kind="stable")
+            tokens, df, token_ends = tokens[of_token], df[of_token], np.append(0, np.cumsum(held[order]))
+            for t in np.unique(target[told]).tolist():
+                mine_of, these = order[ends[t] : ends[t + 1]], slice(token_ends[ends[t]], token_ends[ends[t + 1]])
+                packed = (
+                    raw[mine_of], sizes[mine_of].astype("<u4"), held[mine_of].astype("<u4"),
+                    (tokens[these] & np.uint64(0xFFFFFFFF)).astype("<u4"), (tokens[these] >> np.uint64(32)).astype("<u2"), df[these],
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(part), pa.int64()), pa.array(sizes[part]), pa.array([f.tobytes() for f in raw[part]], pa.binary()),
-                     pa.array([tokens[x].astype("<u8").tobytes() for x in slices], pa.binary()), pa.array([rounded(df[x]).tobytes() for x in slices], pa.binary()),
-                     pa.array(held[part])],
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([t], pa.int32()), pa.array([bucket], pa.int32()),
+                     *(pa.array([x.tobytes()], pa.binary()) for x in packed)],
                     names=COUNTED,
                 )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
     sent = texts.mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
-    return sent.repartition(width, "bucket").mapInArrow(count, "doc_id long, n long, fp binary, tokens binary, df binary, shared long")
+    return sent.repartition(width, "bucket").mapInArrow(
+        count, "doc_id long, n long, fp binary, target int, bucket int, " + ", ".join(f"{c} binary" for c in RETURNED)
+    )
 
 
-def shared_tokens(parts: DataFrame) -> DataFrame:
+def shared_tokens(parts: DataFrame, width: int) -> DataFrame:
     """``fp, n, tokens, df``: each class that may link, its tokens that other classes have too (packed), put together."""
-    gathered = parts.groupBy("fp").agg(
-        F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df")
-    )
-    # A class with more tokens of its own than it can miss links with nothing.
-    return gathered.where(F.col("n") - F.col("shared") <= F.expr(f"n - (({PERCENT} * n + 99) div 100)")).select("fp", "n", "tokens", "df")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        for target in sorted({r["target"] for r in rows}):
+            mine = [r for r in rows if r["target"] == target]
+            join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in mine), kind)  # noqa: B023, E731
+            fps, sizes, held = join("fps", "<u4").reshape(-1, FP // 4), join("sizes", "<u4").astype(np.int64), join("held", "<u4").astype(np.int64)
+            bucket = np.repeat(np.array([r["bucket"] for r in mine], np.uint64), [len(r["df"]) // 2 for r in mine])
+            tokens = (join("low", "<u4").astype(np.uint64) | join("high", "<u2").astype(np.uint64) << np.uint64(32)) * np.uint64(width) + bucket
+            order = np.lexsort(fps.T)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            of_token = np.argsort(np.repeat(place, held), kind="stable")
+            tokens, df = tokens[of_token].astype("<u8"), join("df", "<u2")[of_token]
+            fps, sizes, held = fps[order], sizes[order], held[order]
+            first = np.ones(len(fps), bool)
+            first[1:] = (fps[1:] != fps[:-1]).any(axis=1)
+            starts = np.flatnonzero(first)
+            n, shared = np.maximum.reduceat(sizes, starts), np.add.reduceat(held, starts)
+            ends = np.cumsum(shared)
+            # A class with more tokens of its own than it can miss links with nothing.
+            able = np.flatnonzero(100 * shared >= PERCENT * n)
+            for at in range(0, len(able), 500):
+                part = able[at : at + 500]
+                slices = [slice(e - k, e) for e, k in zip(ends[part].tolist(), shared[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f.tobytes() for f in fps[starts[part]]], pa.binary()), pa.array(n[part]), *(pa.array([x[i].tobytes() for i in slices], pa.binary()) for x in (tokens, df))],
+                    names=["fp", "n", "tokens", "df"],
+                )
+
+    sent = parts.select("target", "bucket", *RETURNED).repartition(width, "target")
+    return sent.mapInArrow(gather, "fp binary, n long, tokens binary, df binary")
 
 
 def sketch_of(tokens: np.ndarray) -> np.ndarray:
@@ -288,7 +326,7 @@ def with_signatures(sets: DataFrame) -> DataFrame:
         for batch in parts:
             sigs, fps, ns, owns = [np.empty(0, np.uint64)], [], [], []
             for r in batch.to_pylist():
-                tokens, df = (np.frombuffer(b"".join(r[c]), kind) for c, kind in (("tokens", "<u8"), ("df", "<u2")))
+                tokens, df = (np.frombuffer(r[c], kind) for c, kind in (("tokens", "<u8"), ("df", "<u2")))
                 s = signatures(r["n"], tokens.astype(np.uint64), df.astype(np.int64))
                 sigs.append(s), fps.extend([r["fp"]] * len(s)), ns.extend([r["n"]] * len(s)), owns.extend([r["n"] - len(tokens)] * len(s))
             yield pa.RecordBatch.from_arrays(
@@ -337,7 +375,7 @@ def with_long_combinations(classes: DataFrame) -> DataFrame:
         for batch in parts:
             sigs, home, times, own, sketches = [np.empty(0, np.uint64)], [np.empty(0, bool)], [], [], []
             for r in batch.select(["n", "tokens"]).to_pylist():
-                tokens = np.frombuffer(b"".join(r["tokens"]), "<u8").astype(np.uint64)
+                tokens = np.frombuffer(r["tokens"], "<u8").astype(np.uint64)
                 here, above = long_combinations(r["n"], tokens)
                 sigs += here, above
                 home += np.ones(len(here), bool), np.zeros(len(above), bool)
@@ -378,7 +416,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for r in batch.select(["n_a", "n_b", "t_a", "t_b"]).to_pylist():
-                x, y = (np.frombuffer(b"".join(r[c]), "<u8") for c in ("t_a", "t_b"))
+                x, y = (np.frombuffer(r[c], "<u8") for c in ("t_a", "t_b"))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (r["n_a"] + r["n_b"] - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -412,8 +450,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     width = shuffle_width(docs.sparkSession)
     parts = stage(counted(docs, width), "counted")
-    rows = parts.where("tokens is null").select("doc_id", F.col("n").alias("n_shingles"), "fp")
-    sets = stage(shared_tokens(parts.where("tokens is not null")), "shared-tokens")
+    rows = parts.where("target is null").select("doc_id", F.col("n").alias("n_shingles"), "fp")
+    sets = stage(shared_tokens(parts.where("target is not null"), width), "shared-tokens")
     sigs = stage(with_signatures(sets), "signed")
     # Of near copies, the one with the fewest tokens of its own is the likeliest to link with all others.
     central = F.min(F.struct("own", "fp"))["fp"].alias("a")
