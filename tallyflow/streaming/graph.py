@@ -1,6 +1,6 @@
 """PageRank kept up to date over a stream of edges.
 
-A commit does not rank the graph again.  For every vertex the state holds its degree and its rank after
+A small commit does not rank the graph again.  For every vertex the state holds its degree and its rank after
 each step; a commit follows the changes it causes from step to step:
 
 * a vertex sends something else when its degree or its previous rank changed;
@@ -12,7 +12,9 @@ Ranks are whole numbers, so small differences are rounded away and the changes d
 Edges and states are logs laid out by bucket of the vertex (see ``sinks.logs``).  Each step writes its changes
 and notes, on the way, how many they are and which buckets they fall in; the next step reads those buckets of
 the two logs and no others.  Changes of up to ``BROADCAST_ROWS`` vertices are broadcast, so that old edges and
-states are not shuffled; beyond that both sides are, with the edges of a source spread over salts.
+states are not shuffled.  Beyond that every step would read and shuffle the whole log of edges; ranking the graph
+again shuffles it once for all steps, so that is what such a commit does.  The states that come out differently are
+logged, as after a small commit.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tallyflow.operators.joins import SALT, edge_copies
+from tallyflow.operators.joins import edge_copies
 from tallyflow.plans.graph import START_RANK, UNIT, integer_flow, pagerank_states
 from tallyflow.session import shuffle_width
 from tallyflow.sinks import logs
 from tallyflow.sources.generators import gen_backfill_stream
 from tallyflow.streaming.commits import ON_ARRIVAL, explicit_commit
 
-# Vertices whose changes (below 100 bytes each) a step broadcasts.
+# Vertices whose changes (below 100 bytes each) a step broadcasts; a commit that changes more ranks the graph again.
 BROADCAST_ROWS = 100_000
 
 EDGE_STREAM_SCHEMA = "id BIGINT, u BIGINT, v BIGINT, commit_id BIGINT"
@@ -123,20 +125,16 @@ def _flows(moved: DataFrame, states: DataFrame, step: int, rows: int) -> DataFra
     )
 
 
-def _changed_inflow(delta: DataFrame, edges: DataFrame, flows: DataFrame, rows: int, ends: bool = False) -> DataFrame:
+def _changed_inflow(delta: DataFrame, edges: DataFrame, flows: DataFrame, step: int) -> DataFrame:
     """``vertex, change``: by how much the inflow differs from what it was before the commit.
 
-    Along an old edge goes the difference, along a new one all of the flow; one join serves both.  With
-    ``ends``, the ends of new edges are there whatever they receive.
+    Along an old edge goes the difference, along a new one all of the flow; one join serves both.  In the
+    first step, the ends of new edges are there whatever they receive.
     """
+    ends = step == 1
     old = edges.select("u", "v", "copies", F.lit(False).alias("is_new"))
     along = old.unionByName(delta.select("u", "v", "copies", F.lit(True).alias("is_new")))
-    if rows <= BROADCAST_ROWS:
-        met = along.join(F.broadcast(flows), "u")
-    else:
-        spark = edges.sparkSession
-        salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_parts(spark) - 1).cast("bigint")))
-        met = along.withColumn(SALT, _part(spark, "v")).join(flows.withColumn(SALT, salts), ["u", SALT])
+    met = along.join(F.broadcast(flows), "u")
     more = (F.col("sent") - F.when(F.col("is_new"), 0).otherwise(F.col("sent_before"))) * F.col("copies")
     moved = met.select(F.col("v").alias("vertex"), more.alias("change"), "is_new")
     if not ends:
@@ -147,8 +145,8 @@ def _changed_inflow(delta: DataFrame, edges: DataFrame, flows: DataFrame, rows:
 
 def spread_changes(
     spark: SparkSession, state_dir: str, commit: int, rows: int, buckets: list[int], steps: int
-) -> DataFrame:
-    """New states (as logged) of all vertices that ``commit`` affects.
+) -> DataFrame | None:
+    """New states (as logged) of all vertices that ``commit`` affects; None where a step would have to broadcast too many.
 
     ``rows`` and ``buckets`` tell the number of its distinct edges and the buckets of their sources.
     """
@@ -160,8 +158,10 @@ def spread_changes(
     seen, here = rows, buckets  # of the vertices that may send something else in the next step
     everywhere, total = set(buckets), rows
     for step in range(1, steps + 1):
+        if seen > BROADCAST_ROWS:
+            return None
         states, edges = (_log(spark, state_dir, kind, commit - 1, here) for kind in ("states", "edges"))
-        change = _changed_inflow(delta, edges, _flows(moved, states, step, seen), seen, ends=step == 1)
+        change = _changed_inflow(delta, edges, _flows(moved, states, step, seen), step)
         path = f"{state_dir}/steps/step={step}"
         changed, fell = _counted(change, "vertex", lambda c, p=path: c.write.mode("overwrite").parquet(p))
         change = spark.read.schema("vertex BIGINT, change BIGINT").parquet(path)
@@ -184,6 +184,21 @@ def spread_changes(
     )
 
 
+def rank_again(
+    spark: SparkSession, state_dir: str, commit: int, steps: int, keep: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """What ``keep`` makes of the new states (as logged) of all vertices that ``commit`` affects, from the whole graph."""
+    logged = _latest(_log(spark, state_dir, "states", commit - 1))
+    known = logged.select(F.col("vertex").alias("_vertex"), F.struct("degree", "ranks").alias("_was"))
+
+    def changed(after: DataFrame) -> DataFrame:
+        met = after.join(known, F.col("vertex").eqNullSafe(F.col("_vertex")), "left")
+        differs = ~F.struct("degree", "ranks").eqNullSafe(F.col("_was"))
+        return keep(met.where(differs).select("vertex", "degree", "ranks", F.element_at("_was.ranks", -1).alias("before")))
+
+    return pagerank_states(graph_upto(spark, state_dir, commit), steps, changed)
+
+
 def _rank_changes(states: DataFrame) -> DataFrame:
     old, new = F.col("before"), F.element_at("ranks", -1)
     sides = F.array(
@@ -205,7 +220,8 @@ def apply_commit(batch: DataFrame, commit: int, state_dir: str, steps: int) -> N
         return logs.read_commits(spark, states, SCHEMAS["states"], [commit])
 
     if commit:
-        done = record(spread_changes(spark, state_dir, commit, rows, buckets, steps))
+        spread = spread_changes(spark, state_dir, commit, rows, buckets, steps)
+        done = rank_again(spark, state_dir, commit, steps, record) if spread is None else record(spread)
     else:
         fresh = lambda s: record(s.withColumn("before", F.lit(None).cast("bigint")))
         done = pagerank_states(graph_upto(spark, state_dir, 0), steps, fresh)

@@ -76,6 +76,29 @@ def test_following_changes_equals_ranking_again(spark):
     assert spark.read.parquet(f"{state}/states/commit=2").count() == 2
 
 
+def test_a_large_commit_shuffles_its_edges_once_for_all_steps(spark, monkeypatch):
+    """Commits with many edges, and with few that change many vertices, rank again; they log what a small commit logs."""
+    rng = random.Random(3)
+    first = [(rng.randrange(40), rng.randrange(40)) for _ in range(150)] + [(0, 100 + i) for i in range(30)] + [(800, 801)]
+    batches = [first, [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(0, 900)], [(0, 901)], [(700, 701)]]
+    ranked, real = [], graph.pagerank_states
+    monkeypatch.setattr(graph, "pagerank_states", lambda *a: ranked.append(1) or real(*a))
+    logged = {}
+    for rows in (10, 100_000):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+        state, seen = scratch_path(spark, "state"), []
+        ranked.clear()
+        for commit, edges in enumerate(batches):
+            seen += edges
+            graph.apply_commit(spark.createDataFrame(edges, "u BIGINT, v BIGINT"), commit, state, 5)
+            assert ranks_at(spark, state, commit) == integer_pagerank(seen, 5)
+            changes = spark.read.parquet(f"{state}/changes/commit={commit}")
+            logged[rows, commit] = sorted(map(tuple, changes.collect()))
+        assert len(ranked) == (3 if rows == 10 else 1)  # the isolated edge is followed
+        assert spark.read.parquet(f"{state}/states/commit=1").where("vertex in (800, 801)").isEmpty()
+    assert all(logged[10, c] == logged[100_000, c] for c in range(4))
+
+
 def test_old_edges_are_not_shuffled_by_a_commit(spark):
     state = scratch_path(spark, "state")
     graph.apply_commit(spark.createDataFrame([(i, i + 1) for i in range(50)], "u BIGINT, v BIGINT"), 0, state, 2)
