@@ -4,7 +4,8 @@ A writer's word comes out as leetspeak, with signs between its letters, with let
 Each suspicious run of characters is a lattice: a character stands for itself, for what it may replace (``1`` for i
 or l, ``$`` for s), for nothing (a sign between letters) or for a repetition of the letter before; at a sign or space
 a word may also end. Viterbi finds the words with the smallest cost of channel and of a character trigram model, which is
-counted over the words of all documents. Restored words join the text's own words.
+counted over the words of all documents. Restored words join the text's own words. Where there are more trigrams than the
+tasks are given, parts of the texts are joined with the rarer counts that their runs ask for, so none is left out.
 
 The score knows words and beginnings of words from labelled documents: for each, the lower bound of a
 confidence interval for the share of toxic documents among those that contain it. A document's score is the
@@ -17,12 +18,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructType
 
-from tallyflow.llm.common import fold, stage, text_or_empty
+from tallyflow.llm.common import fold, free_name, stage, text_or_empty
 from tallyflow.llm.text import REMEMBERED, sampled_labels
 
 #: Labelled documents that the lexicon is learned from, at most.
@@ -64,25 +67,47 @@ EDGE = "\x02"
 
 
 class CharModel:
-    """Trigrams of the letters of words, with add-one smoothing; ``EDGE`` marks the two ends."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.counts = counts
-        self.before = Counter()
-        for gram, n in counts.items():
-            self.before[gram[:2]] += n
-        self.size = max(2, len({g[2] for g in counts}))
+    """Trigrams of the letters of words, with add-one smoothing; ``EDGE`` marks the two ends.
+
+    ``counts`` are all trigrams; or, with ``size`` third letters in all, trigrams and the pairs of letters they begin with.
+    """
+
+    def __init__(self, counts: dict[str, int], size: int | None = None) -> None:
+        if size is None:
+            pairs: Counter[str] = Counter()
+            for gram, n in counts.items():
+                pairs[gram[:2]] += n
+            counts, size = {**counts, **pairs}, max(2, len({g[2] for g in counts}))
+        self.given, self.counts, self.size = counts, counts, size
         self.memo: dict[tuple[str, str], float] = {}
 
+    def learn(self, more: dict[str, int]) -> None:
+        """Counts for the runs that come next; costs remembered from earlier runs hold, for those knew theirs."""
+        if len(self.counts) + len(more) > len(self.given) + REMEMBERED:
+            self.counts = self.given
+        self.counts = {**self.counts, **more}
+
     def cost(self, two: str, letter: str) -> float:
         key = two, letter
         if key not in self.memo:
             if len(self.memo) > REMEMBERED:
                 self.memo.clear()
-            self.memo[key] = -math.log((self.counts.get(two + letter, 0) + 0.5) / (self.before.get(two, 0) + 0.5 * self.size))
+            self.memo[key] = -math.log((self.counts.get(two + letter, 0) + 0.5) / (self.counts.get(two, 0) + 0.5 * self.size))
         return self.memo[key]
 
 
+class Asking(CharModel):
+    """Notes the pairs and trigrams that runs ask for and that are not among the counts; those of a run do not depend on costs."""
+
+    def __init__(self, counts: dict[str, int], size: int) -> None:
+        super().__init__(counts, size)
+        self.asked: set[str] = set()
+
+    def cost(self, two: str, letter: str) -> float:
+        self.asked.update(key for key in (two, two + letter) if key not in self.counts)
+        return 0.0
+
+
 def readings(c: str) -> list[tuple[str, float]]:
     """Letters that a character may stand for, with costs; an empty one stands for nothing."""
     if c.isalpha():
@@ -125,8 +150,8 @@ def restore(run: str, model: CharModel) -> list[str]:
 class Restorer:
     """The words of texts, restored ones too, by token."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.model = CharModel(counts)
+    def __init__(self, counts: dict[str, int], size: int | None = None, model: type[CharModel] = CharModel) -> None:
+        self.model = model(counts, size)
         self.tokens: dict[str, list[str]] = {}
 
     def _restored(self, run: str) -> list[str]:
@@ -179,8 +204,102 @@ def trigrams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-#: Trigrams that the tasks get, the most frequent ones; rarer ones weigh as much as unseen ones.
+#: Counts that all tasks get, the most frequent ones; the others go to the parts of the texts whose runs ask for them.
 MOST_GRAMS = 200_000
+#: Characters of texts that make a part.
+PART = 1_000_000
+
+
+@dataclass
+class Grams:
+    """What ``Restorer`` takes, for all tasks; and ``gram, n`` of all trigrams and pairs, where that is not all of them."""
+
+    known: Broadcast
+    others: DataFrame | None
+
+
+def grams_for_tasks(docs: DataFrame) -> Grams:
+    context = docs.sparkSession.sparkContext
+    counted = stage(trigrams(docs), "trigrams")
+    most = counted.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS + 1).collect()
+    if len(most) <= MOST_GRAMS:
+        return Grams(context.broadcast(({r.gram: r.n for r in most},)), None)
+    size = counted.select(F.substring("gram", 3, 1)).distinct().count()
+    pairs = counted.groupBy(F.substring("gram", 1, 2).alias("gram")).agg(F.sum("n").alias("n"))
+    counts = stage(counted.unionByName(pairs), "trigrams-and-pairs")
+    most = counts.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
+    return Grams(context.broadcast(({r.gram: r.n for r in most}, max(2, size))), counts)
+
+
+def in_parts(rows: DataFrame, part: str, characters: int) -> DataFrame:
+    """``rows``, written, with the number of a ``part`` of about so many ``characters`` of their ``text``."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            parts = []
+            for text in batch.column("text").to_pylist():
+                if filled >= characters:
+                    at, filled = at + 1, 0
+                filled += 1 + len(text or "")
+                parts.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=[*batch.schema.names, part])
+
+    return stage(rows.mapInArrow(number, StructType([*rows.schema.fields]).add(part, LongType())), "parts")
+
+
+def asked_for(numbered: DataFrame, part: str, known: Broadcast) -> DataFrame:
+    """``part, gram``: the trigrams and pairs that the runs of a part ask for and that are not ``known``."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, now = Restorer(*known.value, model=Asking), None
+
+        def asked() -> pa.RecordBatch:
+            grams = sorted(r.model.asked)
+            r.model.asked.clear()
+            r.tokens.clear()  # a token asks anew in each part
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(grams), pa.int64()), pa.array(grams, pa.string())], names=["part", "gram"])
+
+        for batch in batches:
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != now:
+                    yield asked()
+                    now = at
+                r.words(text)
+        yield asked()
+
+    return numbered.select(part, text_or_empty("text")).mapInArrow(ask, "part long, gram string").distinct()
+
+
+def restoring(
+    rows: DataFrame, grams: Grams, begin: Callable[[Restorer], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
+    """What a function from batches to batches makes of ``rows``; a task gets it from ``begin`` for its ``Restorer``.
+
+    The restorer knows all counts that the runs of the ``text`` ask for. Beyond ``MOST_GRAMS`` the rows are dealt in parts, and
+    those of a part meet in a task with the rarer counts it asks for; a part holds about ``PART`` characters or one text.
+    """
+    known = grams.known
+    if grams.others is None:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from map(begin(Restorer(*known.value)), batches)
+
+        return rows.mapInArrow(whole, schema)
+    part = free_name(rows, "part_of_texts")
+    numbered = in_parts(rows, part, PART)
+    counts = asked_for(numbered, part, known).join(grams.others, "gram").select("part", "gram", "n")
+    of_task: list = []
+
+    def of_part(texts: pa.Table, more: pa.Table) -> pa.Table:
+        if not of_task:
+            r = Restorer(*known.value)
+            of_task.extend([r.model, begin(r)])
+        model, function = of_task
+        model.learn(dict(zip(more.column("gram").to_pylist(), more.column("n").to_pylist(), strict=True)))
+        return pa.Table.from_batches([function(batch) for batch in texts.drop_columns([part]).to_batches()])
+
+    return numbered.groupBy(part).cogroup(counts.groupBy("part")).applyInArrow(of_part, schema)
 
 
 def beginnings(word: str) -> list[str]:
@@ -194,29 +313,31 @@ def lower_bound(toxic: str, clean: str) -> Column:
     return (share + z2 / (2 * n) - Z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def word_counts(rows: DataFrame, restorer: Broadcast, telling: list[str]) -> DataFrame:
+def word_counts(rows: DataFrame, grams: Grams, telling: list[str]) -> DataFrame:
     """``word, clean, toxic``: labelled texts with a word, of those without any of the ``telling`` words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, told, counts = Restorer(*restorer.value), set(telling), (Counter(), Counter())
-        for batch in batches:
+    def begin(r: Restorer) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        told = set(telling)
+
+        def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+            counts = Counter(), Counter()
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 words = r.words(text)
                 if told.isdisjoint(words):
                     counts[y].update(words)
-        names = sorted(counts[0].keys() | counts[1].keys())
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), *(pa.array([c[w] for w in part], pa.int64()) for c in counts)], names=["word", "clean", "toxic"]
+            names = sorted(counts[0].keys() | counts[1].keys())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in counts)], names=["word", "clean", "toxic"]
             )
 
-    return rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(
+        return count
+
+    return restoring(rows, grams, begin, "word string, clean long, toxic long").groupBy("word").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
     )
 
 
-def lexicon(docs: DataFrame, labelled: DataFrame, restorer: Broadcast) -> dict[str, float]:
+def lexicon(docs: DataFrame, labelled: DataFrame, grams: Grams) -> dict[str, float]:
     """Bounds of words, and of beginnings as ``begin-``, from ``labelled`` (``doc_id, y``; bounded, each id once).
 
     Words that tell for certain come first. What they leave unexplained decides on the other words, else each word
@@ -229,9 +350,9 @@ def lexicon(docs: DataFrame, labelled: DataFrame, restorer: Broadcast) -> dict[s
     kind = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
     rows = stage(rows.groupBy(kind.alias("kind"), "y").agg(F.min("text").alias("text")), "labelled-texts")
     bound = lower_bound("toxic", "clean")
-    first = word_counts(rows, restorer, []).where("toxic > 0").select("word", bound.alias("bound")).where(F.col("bound") >= CERTAIN)
+    first = word_counts(rows, grams, []).where("toxic > 0").select("word", bound.alias("bound")).where(F.col("bound") >= CERTAIN)
     known = {r.word: r.bound for r in first.collect()}
-    rest = stage(word_counts(rows, restorer, sorted(known)), "word-counts")
+    rest = stage(word_counts(rows, grams, sorted(known)), "word-counts")
     second = rest.where("toxic > 0").select("word", bound.alias("bound")).where(F.col("bound") >= LEAST).collect()
     known.update({r.word: r.bound for r in second})
     begins = F.array(*[F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("-"))) for k in PREFIXES])
@@ -245,16 +366,16 @@ def lexicon(docs: DataFrame, labelled: DataFrame, restorer: Broadcast) -> dict[s
     return known
 
 
-def scorer(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED) -> Callable[[], Callable[[list[str]], list[float]]]:
-    """What a task calls for its function from texts to scores; learned from ``docs`` and ``labels``."""
-    context = docs.sparkSession.sparkContext
-    grams = trigrams(docs).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
-    model = context.broadcast(({r.gram: r.n for r in grams},))
+def scorer(
+    docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED
+) -> tuple[Grams, Callable[[Restorer], Callable[[list[str]], list[float]]]]:
+    """What ``restoring`` takes, and what makes a function from texts to scores of a restorer; learned from ``docs`` and ``labels``."""
+    grams = grams_for_tasks(docs)
     labelled = stage(sampled_labels(labels, "toxic", MODULUS, HELD_OUT, most_labelled), "labelled")
-    known = context.broadcast(lexicon(docs, labelled, model))
+    known = docs.sparkSession.sparkContext.broadcast(lexicon(docs, labelled, grams))
 
-    def begin() -> Callable[[list[str]], list[float]]:
-        r, bounds = Restorer(*model.value), known.value
+    def begin(r: Restorer) -> Callable[[list[str]], list[float]]:
+        bounds = known.value
         seen: dict[str, float] = {}
 
         def worst(words: list[str]) -> float:
@@ -273,7 +394,7 @@ def scorer(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED) ->
 
         return score
 
-    return begin
+    return grams, begin
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED) -> DataFrame:
@@ -281,20 +402,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = LABELLED)
 
     Labels (``doc_id``, ``toxic``) are learned from rows outside the held-out fold only, at most ``most_labelled``
     of them. A null or empty text scores 0. Without labels every score is 0. Repeated rows and null ids
-    come out as they are; extra columns are left behind. The lexicon and the trigrams that the tasks get are bounded by
-    ``most_labelled`` (a feature needs several toxic documents) and by ``MOST_GRAMS``.
+    come out as they are; extra columns are left behind. The lexicon is bounded by ``most_labelled`` (a feature needs several
+    toxic documents), the counts that all tasks get by ``MOST_GRAMS``; all other trigrams go where they are asked for.
     """
-    begin = scorer(docs, labels, most_labelled)
+    grams, begin = scorer(docs, labels, most_labelled)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = begin()
-        for batch in batches:
-            scores = score(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out")), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
+    def scoring(r: Restorer) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        score = begin(r)
+
+        def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+            scores = pa.array(score(batch.column("text").to_pylist()), pa.float64())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], names=["doc_id", "held_out", "score"])
+
+        return scored
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", (fold("doc_id", MODULUS) == HELD_OUT).alias("held_out"), text_or_empty("text").alias("text"))
-    done = rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double")
+    done = restoring(rows, grams, scoring, f"doc_id {kind}, held_out boolean, score double")
     return done.select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -303,12 +427,15 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Each row is judged by its own text, whatever its id and whichever other rows have that id.
     """
-    begin = scorer(docs, labels)
+    grams, begin = scorer(docs, labels)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = begin()
-        for batch in batches:
+    def keeping(r: Restorer) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        score = begin(r)
+
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = score([t or "" for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array([x < THRESHOLD for x in scores], pa.bool_()))
+            return batch.filter(pa.array([x < THRESHOLD for x in scores], pa.bool_()))
+
+        return keep
 
-    return docs.mapInArrow(keep, docs.schema)
+    return restoring(docs, grams, keeping, docs.schema)

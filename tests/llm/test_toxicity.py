@@ -1,6 +1,8 @@
 import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tallyflow.llm import toxicity as t
 from tallyflow.llm.queries import op2_toxicity
 
@@ -69,6 +71,24 @@ def test_scores_restored_words_and_keeps_odd_rows(spark):
     assert kept.columns == docs.columns
 
 
+def test_trigrams_beyond_those_of_all_tasks_count_the_same(spark, monkeypatch):
+    """Rare ones tell l from i in 1oser; also letters beyond 16 bits, many parts, rows that repeat and a column named as the helper."""
+    docs, labels = corpus(spark)
+    docs = docs.withColumn("text", F.expr("replace(replace(text, 'moron', 'loser'), 'm0r0n', '1oser')"))
+    wide = [(2000 + i, f"\U00010400\U00010401{i % 3}\U00010402 1oser$ and 1 o s e r{i % 5}", 1, "s") for i in range(20)]
+    docs = docs.unionByName(spark.createDataFrame([*wide, *wide[:3]], DOCS)).withColumn("Part_of_texts", F.lit(1)).repartition(3)
+    row = lambda frame: sorted(map(repr, frame.collect()))
+    scores, kept = row(t.toxicity(docs, labels)), row(t.without_toxic(docs, labels))
+    assert t.toxicity(docs, labels).where("doc_id = 1000").first().predicted == 1
+    monkeypatch.setattr(t, "MOST_GRAMS", 6)
+    monkeypatch.setattr(t, "PART", 300)
+    assert row(t.toxicity(docs, labels)) == scores and row(t.without_toxic(docs, labels)) == kept
+    every = t.grams_for_tasks(docs).others
+    assert every.where("length(gram) = 3").count() > 6 and every.count() == every.select("gram").distinct().count()
+    parts = t.in_parts(docs.select("text"), "part", 300)
+    assert parts.select("part").distinct().count() > 20 and parts.drop("part").count() == docs.count()
+
+
 def test_empty_tables(spark):
     docs, labels = corpus(spark)
     assert t.toxicity(docs.limit(0), labels).count() == 0
